@@ -5,8 +5,9 @@
 3. Banding: `BANDS` keys of `ROWS` signature slots each. A pair at 0.85 misses all of them once in over a million.
 4. Stars: every member of a bucket is held against the bucket's smallest id, and union-find groups what was confirmed. Most buckets end here.
 5. Blocks: in a bucket that still has members of several groups, those outside its largest group are held against all others of the bucket that
-   are in another group. Buckets of more than `BLOCK` members are dealt out as pairs of blocks, so no task holds a whole bucket. A block keeps a
-   pair only if its signatures can stand for the limit (4.5 standard deviations below it) and no earlier band has the pair already.
+   are in another group. Buckets of more than `BLOCK` shingles are dealt out as pairs of blocks, so no task holds a whole bucket. A block looks at
+   full sets only if the signatures can stand for the limit (4.5 standard deviations below it), no earlier band has the pair, and the two aren't
+   connected in this block yet; so it gives a forest of links, not pairs.
 6. Confirmed links of both rounds go through union-find; copies take their representative's group.
 
 No bucket, pair or partner is capped.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import scratch, textvec
 from .components import components
 
-WORDS, BANDS, ROWS, BLOCK, SALT = 5, 30, 6, 512, 256
+WORDS, BANDS, ROWS, BLOCK, SALT = 5, 30, 6, 1 << 20, 256
 SLOTS = BANDS * ROWS
 _U = np.uint64
 
@@ -112,6 +113,15 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features, "doc_id long, n_shingles long, print1 long, print2 long, signature binary, bands array<long>")
 
 
+def _alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two ascending sets have den * intersection >= num * union."""
+    if den * min(len(a), len(b)) < num * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(a, b)
+    same = int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b))
+    return den * same >= num * (len(a) + len(b) - same)
+
+
 def _confirm(num: int, den: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,19 +131,20 @@ def _confirm(num: int, den: int):
                 x, y = x.as_buffer(), y.as_buffer()
                 if left is None or last is None or not last.equals(x):
                     last, left = x, np.frombuffer(x, _U)
-                right = np.frombuffer(y, _U)
-                if den * min(len(left), len(right)) < num * max(len(left), len(right)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(left, right)
-                same = int(np.count_nonzero(left[np.minimum(at, len(left) - 1)] == right))
-                keep.append(den * same >= num * (len(left) + len(right) - same))
+                keep.append(_alike(left, np.frombuffer(y, _U), num, den))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([us.filter(mask), vs.filter(mask)], ["u", "v"])
 
     return confirm
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, set) of the documents named in `ids`; only their texts are read through."""
+    ids = scratch.save(ids.distinct(), "ids")
+    need = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(scratch.small_side(ids, ids.count()), "doc_id", "left_semi")
+    return scratch.save(need.mapInArrow(_hash_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The rows of `pairs` (u, v) whose full sets have den * intersection >= num * union, written to shared storage.
 
@@ -141,42 +152,40 @@ def verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame
     and its set is copied once to each bucket.
     """
     pairs = scratch.save(pairs, "pairs")
-    ids = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")).distinct()
-    ids = scratch.save(ids, "ids")
-    need = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(scratch.small_side(ids, ids.count()), "doc_id", "left_semi")
-    sets = scratch.save(need.mapInArrow(_hash_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
+    sets = _sets_of(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")), docs)
     width = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     left = sets.join(width.withColumnRenamed("u", "doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("set").alias("su"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     right = pairs.join(width, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt")).join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("sv")), "v")
     return scratch.save(right.join(left, ["u", "salt"]).select("u", "v", "su", "sv").mapInArrow(_confirm(num, den), "u long, v long"), "links")
 
 
-def _candidates(num: int, den: int):
+def _block(num: int, den: int):
     limit = num / den
     least = limit - 4.5 * (limit * (1 - limit) / SLOTS) ** 0.5
     least = least + (1 - least) / 256  # bytes of unequal slots agree by chance
 
-    def candidates(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one block: stragglers against members of other groups."""
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between stragglers (side 0) and members of other groups (side 1) of one block, as many as connect them."""
         band = int(key[0])
         sig = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, SLOTS)
-        ids, group, n, straggler = (pdf[c].to_numpy() for c in ("doc_id", "group", "n_shingles", "straggler"))
+        ids, group, n, straggler, side = (pdf[c].to_numpy(copy=True) for c in ("doc_id", "group", "n_shingles", "straggler", "side"))
         bands = np.array(pdf["bands"].tolist(), np.int64).reshape(-1, BANDS)[:, :band]
-        side = pdf["side"].to_numpy()
-        rights = np.flatnonzero(side == 1)
-        us, vs = [], []
+        sets = [np.frombuffer(x, _U) for x in pdf["set"]]
+        rights, us, vs = np.flatnonzero(side == 1), [], []
         for i in np.flatnonzero(side == 0):
             js = rights[(group[rights] != group[i]) & (~straggler[rights] | (ids[rights] > ids[i])) & (den * np.minimum(n[rights], n[i]) >= num * np.maximum(n[rights], n[i]))]
             if len(js):
                 js = js[(sig[js] == sig[i]).mean(1) >= least]
             if len(js):
                 js = js[~(bands[js] == bands[i]).any(1)]
-            us.append(np.full(len(js), ids[i]))
-            vs.append(ids[js])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+            for j in js:
+                if group[j] != group[i] and _alike(sets[i], sets[j], num, den):
+                    group[group == group[j]] = group[i]
+                    us.append(min(ids[i], ids[j]))
+                    vs.append(max(ids[i], ids[j]))
+        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
-    return candidates
+    return block
 
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
@@ -191,33 +200,34 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     """
     feats = scratch.save(features(docs), "features")
     sets = feats.where("doc_id is not null and n_shingles > 0")
-    copies = sets.groupBy("n_shingles", "print1", "print2").agg(F.min("doc_id").alias("rep"))
-    of = scratch.save(sets.select("doc_id", "n_shingles", "print1", "print2").join(copies, ["n_shingles", "print1", "print2"]).select("doc_id", "rep").distinct(), "copies")
-    reps = sets.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "n_shingles", "print1", "print2"])
+    prints = ["n_shingles", "print1", "print2"]
+    copies = scratch.save(sets.groupBy(prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    of = scratch.save(sets.select("doc_id", *prints).join(copies, prints, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "copies-of")
+    reps = sets.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", *prints])
 
     keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     members = scratch.save(keyed.join(buckets, ["band", "key"]), "members")
-    # where some id is the smallest of a bucket and some is the largest, two of many are met by both
     stars = members.where("doc_id != first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct()
     links = verified(stars, docs, num, den)
     groups = components(links)
 
     grouped = members.select("band", "key", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("group"))
-    sizes = grouped.groupBy("band", "key", "group").agg(F.count("*").alias("n"))
-    # of a bucket: members, groups, the largest group. The star's members are in its group or were held against its centre.
-    state = sizes.groupBy("band", "key").agg(F.sum("n").alias("members"), F.count("*").alias("groups"), F.max(F.struct("n", (-F.col("group")).alias("g"))).alias("top")).where("groups > 1 and members > 2")
-    state = state.select("band", "key", "members", (-F.col("top.g")).alias("core"), (F.col("members") - F.col("top.n")).alias("outside"))
-    open_ = grouped.join(state, ["band", "key"]).withColumn("straggler", F.col("group") != F.col("core"))
+    grouped = grouped.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
+    sizes = grouped.groupBy("band", "key", "group").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
+    # of a bucket: its largest group, and shingles in all and outside that group. The star's members are in its group or were held against its centre.
+    state = sizes.groupBy("band", "key").agg(F.sum("n").alias("members"), F.count("*").alias("groups"), F.sum("all").alias("all"), F.max(F.struct("all", (-F.col("group")).alias("g"))).alias("top"))
+    state = state.where("groups > 1 and members > 2").select("band", "key", "all", (-F.col("top.g")).alias("core"), (F.col("all") - F.col("top.all")).alias("outside"))
+    open_ = scratch.save(grouped.drop("n_shingles").join(state, ["band", "key"]).withColumn("straggler", F.col("group") != F.col("core")), "open")
     chunks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), chunks(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
     cols = ["band", "key", "doc_id", "group", "straggler"]
-    left = open_.where("straggler").select(*cols, F.lit(0).alias("side"), own("outside").alias("i"), upto("members").alias("j"))
-    right = open_.select(*cols, F.lit(1).alias("side"), upto("outside").alias("i"), own("members").alias("j"))
-    blocks = left.unionByName(right).join(reps.select("doc_id", "n_shingles", "signature", "bands"), "doc_id")
-    more = blocks.groupBy("band", "key", "i", "j").applyInPandas(_candidates(num, den), "u long, v long").join(stars, ["u", "v"], "left_anti")
-    links = links.unionAll(verified(more, docs, num, den))
+    left = open_.where("straggler").select(*cols, F.lit(0).alias("side"), own("outside").alias("i"), upto("all").alias("j"))
+    right = open_.select(*cols, F.lit(1).alias("side"), upto("outside").alias("i"), own("all").alias("j"))
+    whole = reps.select("doc_id", "n_shingles", "signature", "bands").join(_sets_of(open_.select("doc_id"), docs), "doc_id")
+    more = left.unionByName(right).join(whole, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(_block(num, den), "u long, v long")
+    links = links.unionAll(scratch.save(more, "more-links"))
 
     roots = components(links)
     named = of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("component_id"))

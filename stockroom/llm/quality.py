@@ -33,8 +33,8 @@ class Bands:
 
     level: int = 3
     chunk_bytes: int = 4096
-    documents: tuple[tuple[int, float, float], ...] = ((256, 0.20, 0.95), (1024, 0.12, 0.85), (4096, 0.08, 0.78), (16384, 0.05, 0.74), (65536, 0.03, 0.72))
-    chunk: tuple[float, float] = (0.10, 0.78)
+    documents: tuple[tuple[int, float, float], ...] = ((256, 0.22, 0.85), (1024, 0.16, 0.72), (4096, 0.12, 0.66), (16384, 0.09, 0.64), (65536, 0.07, 0.62))
+    chunk: tuple[float, float] = (0.12, 0.70)
     bad_share: float = 0.34
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import scratch
 
@@ -48,3 +49,50 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
     return encode(scratch.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
+@query
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(scratch.table(spark, sf_dir, "documents").select("doc_id", "text"), scratch.table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "key", "selected")
+
+
+@query
+def op6_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = scratch.table(spark, sf_dir, "documents")
+    out = score(docs, fit(docs, scratch.table(spark, sf_dir, "labels")))
+    return out.select("doc_id", scratch.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = scratch.table(spark, sf_dir, "documents")
+    out = identify(docs, fit(docs.where(~scratch.held_out(F.col("doc_id")))))
+    return out.select("doc_id", scratch.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
+@query
+def op9_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import nearest
+
+    vectors = scratch.table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chat
+
+    return format_chat(scratch.table(spark, sf_dir, "conversations"))
+
+
+@query
+def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(scratch.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")

@@ -21,6 +21,17 @@ _WIDE_INV = _U(pow(0xD1342543DE82EF95, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+OTHER = np.ones(256, bool)
+OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def fold(buf: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z, and U+00C0 to U+00DE in UTF-8, in lower case."""
+    out = buf + ((buf >= 65) & (buf <= 90)) * np.uint8(32)
+    after = (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97) & (buf[:-1] == 0xC3)
+    out[1:][after] += 0x20
+    return out
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: every input bit reaches every output bit."""
@@ -72,11 +83,15 @@ class Words:
     start, end: places in the buffer. ptr: words of text i are ptr[i]:ptr[i + 1]. doc: text of each word.
     """
 
-    def __init__(self, texts: pa.Array) -> None:
-        self.buf, self.ends = buf, ends = flat(texts)
+    def __init__(self, texts: pa.Array, letters: bool = False) -> None:
+        """With `letters`, words are runs of letters and digits instead (ASCII ones, or any byte of other characters), with case folded in Latin-1."""
+        buf, ends = flat(texts)
+        if letters:
+            buf = fold(buf)
+        self.buf, self.ends = buf, ends
         n = len(buf)
         full = np.zeros(n + 1, bool)
-        np.logical_not(SPACE[buf], out=full[:n])
+        np.logical_not((OTHER if letters else SPACE)[buf], out=full[:n])
         first = np.empty(n + 1, bool)
         first[0] = True
         np.logical_not(full[: n], out=first[1:])
