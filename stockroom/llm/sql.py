@@ -1,3 +1,53 @@
-"""DuckDB SQL with the same rows as the queries of this subpackage, where SQL can express them."""
+"""DuckDB SQL with the same rows as the queries of this subpackage, where SQL can express them.
 
-SQL: dict[str, str] = {}
+The others: packing and piece ids need tokenizer files, compression bands zstandard, tool calls JSON in canonical form; importance resampling, toxicity, languages
+and vectors are models. tests/llm holds these against brute force, exact round trips or held-out labels.
+"""
+
+from __future__ import annotations
+
+from .urls import DAMPING, ROUNDS, RULES
+
+_NEAR_DUPLICATES = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, hash(list_sort(s)) AS print FROM s),
+rep AS (SELECT n_shingles, print, min(doc_id) AS rep FROM n WHERE n_shingles > 0 GROUP BY 1, 2),
+e AS (SELECT doc_id, unnest(s) AS sh FROM s WHERE doc_id IN (SELECT rep FROM rep)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 85 * (a.n_shingles + b.n_shingles - i)
+  UNION SELECT rep, doc_id FROM n JOIN rep USING (n_shingles, print) WHERE rep <> doc_id),
+both_ways AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.doc_id WHERE r.root < b.v),
+c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
+
+def _link_graph() -> str:
+    host = "translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in longest)
+    given = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in longest)
+    rounds = "".join(
+        f""", r{i} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT * FROM seed UNION ALL SELECT f.kind, f.to_, {DAMPING} * r.score * f.share FROM r{i - 1} r JOIN flow f ON f.kind = r.kind AND f.from_ = r.host) GROUP BY 1, 2)"""
+        for i in range(1, ROUNDS + 1)
+    )
+    return rf"""
+WITH u AS (SELECT page_id, html, {host} AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+j AS (SELECT *, CASE {rule} END AS rule, CASE {given} END AS given FROM u),
+l AS (SELECT DISTINCT page_id, host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM u),
+g AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+b AS (SELECT 'trust' AS kind, src AS from_, dst AS to_, n FROM g UNION ALL SELECT 'distrust', dst, src, n FROM g),
+flow AS (SELECT kind, from_, to_, n::DOUBLE / sum(n) OVER (PARTITION BY kind, from_) AS share FROM b),
+k AS (SELECT host, given, count(*) AS n FROM j WHERE given IS NOT NULL AND host <> '' GROUP BY 1, 2),
+seed AS (SELECT CASE given WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, (1 - {DAMPING}::DOUBLE) * n / (SELECT sum(n) FROM k)::DOUBLE AS score FROM k),
+r0 AS (SELECT * FROM seed){rounds},
+h AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM r{ROUNDS} GROUP BY 1)
+SELECT page_id, j.host, path, rule, coalesce(given, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN h ON h.host = j.host
+"""
+
+
+SQL: dict[str, str] = {"op1_minhash_dedup": _NEAR_DUPLICATES, "op7_link_graph": _link_graph()}
