@@ -14,14 +14,9 @@ def same_sizes(files: DataFrame, other: DataFrame) -> DataFrame:
     return files.where("size_bytes > 0").join(other.select("size_bytes").distinct(), "size_bytes", "left_semi")
 
 
-def prefix_budget(reference: DataFrame, candidate: DataFrame, limit: int = LIMITS.compare_budget) -> tuple[DataFrame, DataFrame]:
-    """Both sides with `admitted`: references first, smallest first; candidates get what is left."""
-    sizes = lambda df: df.groupBy("size_bytes").agg(F.count("*").alias("n"))
-    ref_counts = budget.prefix_counts(sizes(reference), limit)
-    used = ref_counts.agg(F.coalesce(F.sum(F.col("size_bytes") * F.col("admitted")), F.lit(0))).first()[0]
-    left = budget.admit(reference, ref_counts)
-    wanted = same_sizes(candidate, left.where("admitted"))
-    return left, budget.admit(wanted, budget.prefix_counts(sizes(wanted), limit - int(used)))
+def within_prefix(files: DataFrame, limit: int) -> DataFrame:
+    """`files` with `admitted`: smallest first, as far as the budget goes. References are admitted first; candidates get what their reading left."""
+    return budget.admit(files, budget.prefix_counts(files.groupBy("size_bytes").agg(F.count("*").alias("n")), limit))
 
 
 def classified(reference: DataFrame, candidate: DataFrame) -> DataFrame:
