@@ -394,3 +394,32 @@ least(size_bytes, 32768) AS edge_bytes FROM p""")
 def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
     return _files(spark, sf_dir).select("path", paths.parent(p).alias("parent_path"), paths.name(p).alias("name"), paths.extension(p).alias("extension"), paths.hex_id(F.col("doc_id")).alias("hex_id"), display.path_text(p, 16).alias("short"), paths.edge_bytes(F.col("size_bytes")).alias("edge_bytes"))
+
+
+@query(f"WITH {FILES_SQL}, t AS (SELECT *, {_STATUS} AS content_status FROM files ORDER BY size_bytes DESC, path DESC LIMIT 300) SELECT path, size_bytes FROM t WHERE content_status = 'local'")
+def top_files_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status filter works on the ranking's rows: it does not move below the limit."""
+    return report.top_files(_files(spark, sf_dir)).where("content_status = 'local'").select("path", "size_bytes")
+
+
+@query(f"WITH {_TARGETS} SELECT path, links AS hardlink_count FROM a WHERE status = 'measured' AND links > 1")
+def shared_hard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _allocation(spark, sf_dir).where("hardlink_count > 1").select("path", "hardlink_count")
+
+
+@query(f"""WITH {FILES_SQL} SELECT count(*) FILTER (WHERE {_READABLE.replace('AND attributes & 4461568 = 0', '')} AND attributes & 4461568 <> 0 AND n > 1) AS skipped_content_files,
+count(*) FILTER (WHERE size_bytes > 0 AND attributes & 4461568 <> 0 AND n > 1) = 0 AS complete FROM (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS n FROM files)""")
+def duplicate_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose size others share but whose content may not be read, and whether the analysis is complete."""
+    files = _files(spark, sf_dir).select("size_bytes", "attributes")
+    skipped = files.where(paths.avoids_content(F.col("attributes"))).join(duplicates.size_buckets(files).select("size_bytes"), "size_bytes", "left_semi")
+    return skipped.agg(F.count("*").alias("skipped_content_files")).withColumn("complete", F.col("skipped_content_files") == 0)
+
+
+@query("SELECT 'C' AS drive, 'Healthy' AS health_status, 1000204886016 AS size_bytes, 34 AS temperature_celsius, CAST(NULL AS INTEGER) AS wear_percent")
+def device_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import records
+
+    line = '{"drive":"C","healthStatus":"Healthy","sizeBytes":1000204886016,"temperatureCelsius":34,"wearPercent":null}'
+    h = records.health(spark.createDataFrame([(line,)], "value string"), "c")
+    return h.select("drive", F.col("healthStatus").alias("health_status"), F.col("sizeBytes").alias("size_bytes"), F.col("temperatureCelsius").alias("temperature_celsius"), F.col("wearPercent").alias("wear_percent"))

@@ -282,3 +282,43 @@ def list_quarantine(spark: SparkSession, manifest: DataFrame, folder: str) -> li
     entries = tree.read(spark, folder, depth="1")
     listing = entries.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "size_bytes", (F.col("kind") == "file").alias("is_regular"))
     return _rows(audit.quarantined(manifest, listing).orderBy(F.desc("created_at_unix"), "id"))
+
+
+def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records: DataFrame, ids: DataFrame, job: Job | None = None) -> dict:
+    """Bring a snapshot up to `now` (a journal.Watermark) by the cheapest way that holds: `unchanged`, `delta`, or `walk`.
+
+    records: usn, file_id, reason, size_bytes; ids: file_id, path, one row a file. A delta needs an unbroken journal, no structural change, few enough
+    records and files, and every changed file in the snapshot. An unchanged tree keeps its watermark, so the next refresh reads these records again.
+    """
+    from dataclasses import asdict
+
+    from ..operators import journal
+
+    s, clock = store.Store(spark, base), _Clock()
+    scope = s.scope(root)
+    old = journal.Watermark(**scope.watermark) if scope is not None and scope.watermark else None
+    if old is not None and journal.continues(old, now):
+        some = journal.relevant(journal.between(records, old, now)).persist()
+        try:
+            stats = {"root": root, "files": scope.file_count, "added": 0, "removed": 0, "skippedDirectories": 0, "completedAtUnix": scope.completed_at_unix}
+            if some.isEmpty():
+                return stats | {"changed": 0, "unchanged": scope.file_count, "batchesWritten": 0, "indexMethod": "unchanged", "elapsedMs": clock.ms()}
+            last = journal.latest(some)
+            changed = last.join(ids, "file_id", "left").select("path", F.col("size_bytes"))
+            if journal.structural(some).isEmpty() and journal.small_enough(changed, some) and changed.where("path is null").isEmpty():
+                rows = [(r["path"], r["size_bytes"]) for r in changed.collect()]  # LIMITS.delta_files at most
+                new = apply_changes(spark, base, root, rows, asdict(now))
+                return stats | {"changed": len(rows), "unchanged": scope.file_count - len(rows), "batchesWritten": 1, "completedAtUnix": new.completed_at_unix, "indexMethod": "delta", "elapsedMs": clock.ms()}
+        except ValueError:
+            pass  # a changed file that the snapshot does not have: read the tree
+        finally:
+            some.unpersist()
+    return refresh_index(spark, base, root, watermark=asdict(now), job=job)
+
+
+def quick_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, object]:
+    """`df` with counters that are filled while it runs: files and bytes, and no names."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count("*").alias("files_scanned"), F.sum("size_bytes").alias("logical_bytes")), seen

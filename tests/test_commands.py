@@ -199,3 +199,26 @@ def test_stream_equals_batch_and_maintains_totals(spark, tmp_path):
     last = {f"/r/f{r['file_id']}": r["size_bytes"] for r in journal.latest(df).collect()}
     assert len(totals) == 3 and set(last) <= set(sizes) and totals[-1] == sum(sizes.values())
     assert all(sizes[p] in {r[3] for r in rows if r[2] == 0x2 and f"/r/f{r[1]}" == p} for p in last)
+
+
+def test_refresh_takes_the_cheapest_way(spark, tmp_path):
+    base, root = f"file://{tmp_path}/store", str(tmp_path / "data")
+    write(tmp_path, data__sub__a=b"1234", data__file=b"123")
+    mark = lambda n: journal.Watermark(7, 1, n, 55, "500")
+    records_ = spark.createDataFrame([(10, 1, 0x80000000, 4), (20, 1, 0x2, 9), (30, 2, 0x100, 3), (40, 9, 0x2, 1)], stream.RECORDS)
+    ids = spark.createDataFrame([(1, f"{root}/sub/a"), (2, f"{root}/file")], "file_id long, path string")
+    go = lambda n: commands.refresh_from_journal(spark, base, root, mark(n), records_, ids)
+    assert go(5)["indexMethod"] == "walk"
+    assert go(15)["indexMethod"] == "unchanged"
+    r = go(25)
+    assert (r["indexMethod"], r["changed"]) == ("delta", 1)
+    assert commands.browse_index_tree(spark, base, root, root)["nodes"][0]["sizeBytes"] == 9
+    assert go(35)["indexMethod"] == "walk"
+    assert go(45)["indexMethod"] == "walk"
+    assert go(44)["indexMethod"] == "walk"
+
+
+def test_progress(spark):
+    df, seen = commands.quick_progress(spark.createDataFrame([("/a", 3), ("/b", 4)], "path string, size_bytes long"))
+    df.collect()
+    assert seen.get == {"files_scanned": 2, "logical_bytes": 7}
