@@ -15,15 +15,18 @@ from stockroom.llm.minhash_dedup import near_duplicates
 from stockroom.llm.packing import pack
 from stockroom.llm.quality import rate
 
+#: Stands before the names of columns that stages add and take away again, so that documents may have columns of any other name.
+OWN = "__stage_"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the compression bands."""
-    return rate(docs).where("quality.kept").select(*docs.columns)
+    return rate(docs, column=OWN).where(f"{OWN}.kept").select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling selects."""
-    return resample(docs, scratch.table(spark, sf_dir, "labels")).where("selected").select(*docs.columns)
+    return resample(docs, scratch.table(spark, sf_dir, "labels"), prefix=OWN).where(f"{OWN}selected").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

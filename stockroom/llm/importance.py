@@ -77,9 +77,9 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None) -> DataFrame:
-    """All rows and columns of `docs` (doc_id, text), with log_weight double, key double (log weight and noise) and selected boolean; columns of these names
-    are replaced. `labels`: doc_id, quality (1 is good).
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, prefix: str = "") -> DataFrame:
+    """All rows and columns of `docs` (doc_id, text), with log_weight double, key double (log weight and noise) and selected boolean, each behind `prefix`;
+    columns of these names are replaced. `labels`: doc_id, quality (1 is good).
 
     keep: share of rows to select. By default the share of good rows among the labelled rows of `docs`, plus three standard errors of it, so that an error
     of the share costs bad rows kept rather than good ones lost; without labelled rows, all. The target model is fitted to at most TARGETS labelled
@@ -103,7 +103,8 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None) -> D
         counts[:, b] = r, t
     raw, wanted = (np.log((c + SMOOTHING) / (c.sum() + SMOOTHING * BUCKETS)) for c in counts)
 
-    names = [c for c in docs.columns if c not in ("log_weight", "key", "selected")]
+    log_weight, key, chosen = (prefix + c for c in ("log_weight", "key", "selected"))
+    names = [c for c in docs.columns if c not in (log_weight, key, chosen)]
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED)), 11) + 0.5) / float(1 << 53)
     packed = docs.select(F.struct(*(F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in names)).alias("row"), (-F.log(-F.log(uniform))).alias("noise"))
     schema = T.StructType([packed.schema["row"], *(T.StructField(c, t) for c, t in (("log_weight", T.DoubleType()), ("key", T.DoubleType()), ("rank_bits", T.LongType())))])
@@ -115,4 +116,4 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None) -> D
     k = math.ceil(rows_in * keep)
     least = kth_largest(weighed, "rank_bits", k) if k < rows_in else None
     selected = F.lit(k > 0) if least is None else F.col("rank_bits") >= least
-    return weighed.select("row.*", "log_weight", "key", selected.alias("selected"))
+    return weighed.select("row.*", F.col("log_weight").alias(log_weight), F.col("key").alias(key), selected.alias(chosen))

@@ -125,19 +125,19 @@ def _verdict(bands: Bands):
     return F.coalesce(inside, F.lit(True)) & (F.coalesce("bad_chunks", F.lit(0.0)) <= bands.bad_share)
 
 
-def rate(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """All rows and columns of `docs`, with a column `quality`: struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bytes, ratio,
-    bad_chunks (share of chunks outside their band), base_failed, kept. A column of that name is replaced.
+def rate(docs: DataFrame, bands: Bands = Bands(), column: str = "quality") -> DataFrame:
+    """All rows and columns of `docs`, with one more column: struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bytes, ratio, bad_chunks
+    (share of chunks outside their band), base_failed, kept. A column of `docs` with that name is replaced.
 
     Words are runs of bytes other than ASCII white space. base_failed: under 50 words, or over half of them in repeated 3-word windows. kept: not
     base_failed, and inside the bands. A null or blank text has no words: base_failed. Texts too short for a band have a null ratio; those of one
     chunk have null bad_chunks. Ids aren't looked at, so null or repeated ones change nothing. An empty table gives no rows.
     """
     scratch.small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c != "quality"]
+    names = [c for c in docs.columns if c != column]
     rows = docs.select(F.struct(*(F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in names)).alias("row"))
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("n_bytes", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("bad_chunks", T.DoubleType())])
     out = rows.mapInArrow(_rate(bands), schema)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & _verdict(bands))
-    return out.select("row.*", F.struct(*(c for c in out.columns if c != "row")).alias("quality"))
+    return out.select("row.*", F.struct(*(c for c in out.columns if c != "row")).alias(column))
