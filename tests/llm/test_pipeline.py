@@ -1,7 +1,5 @@
 """The pipeline's stages against brute force on the smallest tables, and awkward rows through all of them."""
 
-import public_tokenizers  # noqa: F401
-
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
