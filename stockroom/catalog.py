@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import LIMITS
 from .functions import display, paths
 from .operators import audit, budget, compare, duplicates, hierarchy, journal, report, search, snapshot
-from .sources import adapter
+from .sources import adapter, scratch
 from .sources.adapter import FILES_SQL, PAGES_SQL, ROOT, URLS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,7 +114,7 @@ _FIRST = "f AS (SELECT size_bytes, hash, identity, min(path) AS path FROM d GROU
 
 
 def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.digested(duplicates.eligible(_files(spark, sf_dir)))
+    return duplicates.eligible(scratch.save(duplicates.digested(_files(spark, sf_dir)), "digests"))
 
 
 @query(f"WITH {FILES_SQL} SELECT size_bytes, count(*) AS n FROM files WHERE size_bytes > 0 GROUP BY 1 HAVING count(*) > 1")
@@ -185,7 +185,7 @@ c AS (SELECT cand.path AS candidate_path, size_bytes, hash, reference_path,
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir).where("size_bytes > 0").select("path", "size_bytes", "identity", "source", F.sha2("content", 256).alias("hash"))
+    f = scratch.save(_files(spark, sf_dir).where("size_bytes > 0").select("path", "size_bytes", "identity", "source", F.sha2("content", 256).alias("hash")), "digests")
     inside = F.col("source").isin(*_REFERENCE)
     return compare.classified(f.where(inside).drop("source"), f.where(~inside).drop("source"))
 

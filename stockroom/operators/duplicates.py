@@ -15,9 +15,12 @@ from . import budget
 
 
 def digested(files: DataFrame) -> DataFrame:
-    """path, size_bytes, attributes, identity, fingerprint, hash of files (content): content goes no further."""
-    c, n = F.col("content"), F.col("size_bytes")
-    return files.select("path", "size_bytes", "attributes", "identity", paths.edge_digest(c, n).alias("fingerprint"), F.sha2(c, 256).alias("hash"))
+    """path, size_bytes, attributes, identity, fingerprint, hash of non-empty files (content): content goes no further. No digests where it may not be read.
+
+    Written to shared storage by the caller, this is the one scan of content; buckets, groups and metrics all read the digests.
+    """
+    c, n, may = F.col("content"), F.col("size_bytes"), ~paths.avoids_content(F.col("attributes"))
+    return files.where("size_bytes > 0").select("path", "size_bytes", "attributes", "identity", F.when(may, paths.edge_digest(c, n)).alias("fingerprint"), F.when(may, F.sha2(c, 256)).alias("hash"))
 
 
 def size_buckets(files: DataFrame) -> DataFrame:

@@ -65,4 +65,4 @@ def results(files: DataFrame) -> DataFrame:
 
 def top_files(files: DataFrame, n: int = LIMITS.top) -> DataFrame:
     """Largest files; of equal sizes the last path first."""
-    return results(files.orderBy(F.desc("size_bytes"), F.desc("path")).limit(n))
+    return results(files).orderBy(F.desc("size_bytes"), F.desc("path")).limit(n)

@@ -45,7 +45,7 @@ def matches(path: Column, pattern: str | None) -> Column:
 def search(files: DataFrame, pattern: str | None = None, min_size: int = 0, n: int = LIMITS.matches) -> DataFrame:
     """The largest matches, of equal sizes the last path first, with total_matches on every row."""
     found = files.where((F.col("size_bytes") >= min_size) & matches(F.col("path"), pattern))
-    top = results(found.orderBy(F.desc("size_bytes"), F.desc("path")).limit(n))
+    top = results(found).orderBy(F.desc("size_bytes"), F.desc("path")).limit(n)
     return top.join(F.broadcast(found.agg(F.count("*").alias("total_matches"))))
 
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import time
 from dataclasses import asdict, dataclass, field
 
@@ -18,15 +17,6 @@ FILES = "path string, parent_path string, size_bytes long, modified_ns long, att
 DIRECTORIES = "path string, parent_path string, size_bytes long, files long"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for intermediate tables under spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="stockroom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stockroom/{name}"
-
-
 @dataclass(frozen=True)
 class Scope:
     root: str

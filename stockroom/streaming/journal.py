@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import journal
-from ..plans import store
+from ..sources import scratch
 
 RECORDS = "usn long, file_id long, reason long, size_bytes long"
 
@@ -27,7 +27,7 @@ def latest_of(stream: DataFrame) -> DataFrame:
 def latest_by_stream(records: DataFrame, parts: int = 4) -> DataFrame:
     """journal.latest() of a bounded table, by way of a stream of `parts` micro-batches over shared storage."""
     spark = records.sparkSession
-    base = store.scratch(spark, f"journal-{uuid.uuid4().hex}")
+    base = scratch.folder(spark, f"journal-{uuid.uuid4().hex}")
     records.repartition(parts, "usn").write.parquet(f"{base}/records")
     out = f"{base}/latest"
     # complete mode rewrites the result of each batch in a folder of its own; the last one counts
