@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..config import LIMITS
+from . import scratch
 
 
 def _facts(path: str) -> tuple | None:
@@ -54,6 +55,7 @@ def digests(files: DataFrame, edges: bool, column: str) -> DataFrame:
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, column, "status", "bytes_read"])
 
+    scratch.ship(files.sparkSession)
     base = files.drop("status", "bytes_read")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return base.mapInArrow(run, f"{schema}, `{column}` string, status string, bytes_read long")

@@ -1,13 +1,30 @@
-"""Intermediate tables on storage that all executors share."""
+"""Intermediate tables on storage that all executors share, and this package's code on the executors."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: they need not have it installed."""
+    sc, package = spark.sparkContext, Path(__file__).parents[1]
+    if sc.applicationId in _shipped or not package.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="stockroom-")) / f"{package.name}-code.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, Path(package.name) / p.relative_to(package))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A folder under spark.checkpoint.dir; under a temporary one only where that is unset."""

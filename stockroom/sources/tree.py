@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import scratch
+
 SCHEMA = "path string, kind string, size_bytes long, modified_ns long, attributes long, identity string, hardlink_count long, allocated_bytes long, error string"
 ORDINARY = 0x20
 
@@ -83,6 +85,7 @@ def checked_root(root: str) -> str:
 
 def read(spark: SparkSession, root: str, depth: str = "all") -> DataFrame:
     """Entries below `root`; depth "1": its own entries only."""
+    scratch.ship(spark)
     spark.dataSource.register(FileTree)
     return spark.read.format("file_tree").option("root", checked_root(root)).option("depth", depth).load()
 
