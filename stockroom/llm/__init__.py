@@ -1,4 +1,4 @@
 """Operators for building training corpora.
 
-Self-contained: nothing else in the library imports this subpackage, and it imports nothing else of the library.
+Nothing else in the library imports this subpackage.
 """

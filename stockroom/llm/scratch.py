@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import ship
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Rows in an Arrow batch. Texts are a few kB, so a batch stays at a few MB; a batch of very long texts is cut further by textvec.slices().
 BATCH_ROWS = 512
@@ -43,7 +45,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, so that a Python worker's memory does not depend on the longest texts of 10,000 rows."""
+    """Keep Arrow batches of texts small, so that a Python worker's memory does not depend on the longest texts of 10,000 rows; and see that workers have the code."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
