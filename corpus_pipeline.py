@@ -17,6 +17,8 @@ from stockroom.llm.quality import rate
 
 #: Stands before the names of columns that stages add and take away again, so that documents may have columns of any other name.
 OWN = "__stage_"
+#: Least Jaccard similarity, as a fraction, of the five-word shingle sets of documents that near_dedup takes for near-duplicates.
+ALIKE = (80, 100)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +32,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id. Blank texts and rows without a doc_id are in no group and stay.
+    """One document of each group of near-duplicates (similarity `ALIKE` or more): that of the smallest doc_id. Blank texts and rows without a doc_id are in no group and stay.
 
     Rows that repeat a doc_id are one document: one of those with text stays, whichever.
     """
-    found = scratch.save(near_duplicates(docs), "near-duplicates")
+    found = scratch.save(near_duplicates(docs, *ALIKE), "near-duplicates")
     gone = found.where("not kept").select("doc_id").distinct()
     out = docs.join(scratch.small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     twice = scratch.save(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("__twice")), "repeated")

@@ -2,7 +2,8 @@
 
 1. `features`: each document's set of five-word shingles (64-bit hashes), its SuperMinHash signature and an order-free 128-bit print of the set.
 2. Equal sets collapse to the smallest doc_id, so exact copies cost one row from here on, however many there are.
-3. Banding: `BANDS` keys of `ROWS` signature slots each. A pair at 0.85 misses all of them once in over a million.
+3. Banding: keys of some signature slots each, as many as the limit allows (`banding`): 30 keys of 6 slots at 0.85, 36 of 5 at 0.8. A pair at the
+   limit misses all of them once in over a million.
 4. Stars: every member of a bucket is held against the bucket's smallest id, and union-find groups what was confirmed. Most buckets end here.
 5. Blocks: in a bucket that still has members of several groups, those outside its largest group are held against all others of the bucket that
    are in another group. Buckets of more than `BLOCK` shingles are dealt out as pairs of blocks, so no task holds a whole bucket. A block looks at
@@ -26,11 +27,19 @@ from pyspark.sql import functions as F
 from . import scratch, textvec
 from .components import components
 
-WORDS, BANDS, ROWS, BLOCK, SALT = 5, 30, 6, 1 << 20, 256
-SLOTS = BANDS * ROWS
+WORDS, SLOTS, BLOCK, SALT = 5, 180, 1 << 20, 256
+#: How often a pair right at the limit may miss all bands.
+MISSED = 1e-6
 _U = np.uint64
 
 
+def banding(num: int, den: int) -> tuple[int, int]:
+    """(bands, rows): the most rows a band that let a pair with Jaccard num / den miss all bands at most `MISSED` times."""
+    fit = [r for r in range(1, SLOTS + 1) if SLOTS % r == 0 and (1 - (num / den) ** r) ** (SLOTS // r) <= MISSED]
+    rows = max(fit, default=1)
+    return SLOTS // rows, rows
+
+
 def superminhash(h: np.ndarray, ptr: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """Signatures (texts x slots, uint64) of sets of distinct hashes h[ptr[i]:ptr[i + 1]], after Ertl (2017).
 
@@ -82,23 +91,26 @@ def _sums(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return c[ptr[1:]] - c[ptr[:-1]]
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, h, ptr in _sets(batch.column("text")):
-            n = len(ptr) - 1
-            sig = textvec.mix(superminhash(h, ptr))
-            some = np.diff(ptr) > 0
-            bands = np.zeros((n, BANDS), _U)
-            for r in range(ROWS):
-                bands = textvec.mix(bands * textvec._WIDE + sig[:, r::ROWS] + np.arange(BANDS, dtype=_U))
-            bytes_ = (sig & _U(0xFF)).astype(np.uint8)
-            flat = pa.array(bands.view(np.int64).ravel())
-            offsets = pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(at, n), pa.array(np.diff(ptr).astype(np.int64)),
-                pa.array(_sums(textvec.mix(h ^ _U(0xA5A5)), ptr).view(np.int64)), pa.array(_sums(textvec.mix(h + _U(0x5A5A)), ptr).view(np.int64)),
-                pa.array([x.tobytes() for x in bytes_], pa.binary()), pa.ListArray.from_arrays(offsets, flat, mask=pa.array(~some)),
-            ], ["doc_id", "n_shingles", "print1", "print2", "signature", "bands"])
+def _features(n_bands: int, rows: int):
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, h, ptr in _sets(batch.column("text")):
+                n = len(ptr) - 1
+                sig = textvec.mix(superminhash(h, ptr))
+                some = np.diff(ptr) > 0
+                bands = np.zeros((n, n_bands), _U)
+                for r in range(rows):
+                    bands = textvec.mix(bands * textvec._WIDE + sig[:, r::rows] + np.arange(n_bands, dtype=_U))
+                bytes_ = (sig & _U(0xFF)).astype(np.uint8)
+                flat = pa.array(bands.view(np.int64).ravel())
+                offsets = pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(at, n), pa.array(np.diff(ptr).astype(np.int64)),
+                    pa.array(_sums(textvec.mix(h ^ _U(0xA5A5)), ptr).view(np.int64)), pa.array(_sums(textvec.mix(h + _U(0x5A5A)), ptr).view(np.int64)),
+                    pa.array([x.tobytes() for x in bytes_], pa.binary()), pa.ListArray.from_arrays(offsets, flat, mask=pa.array(~some)),
+                ], ["doc_id", "n_shingles", "print1", "print2", "signature", "bands"])
+
+    return features
 
 
 def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +119,10 @@ def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ptr) - 1), pa.array([h[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], ["doc_id", "set"])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, print1, print2 (of the set), signature (one byte a slot), bands (null for an empty set)."""
+def features(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, print1, print2 (of the set), signature (one byte a slot), bands for the limit num / den (null for an empty set)."""
     scratch.small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features, "doc_id long, n_shingles long, print1 long, print2 long, signature binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features(*banding(num, den)), "doc_id long, n_shingles long, print1 long, print2 long, signature binary, bands array<long>")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -160,7 +172,7 @@ def verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _block(num: int, den: int):
-    limit = num / den
+    limit, n_bands = num / den, banding(num, den)[0]
     least = limit - 4.5 * (limit * (1 - limit) / SLOTS) ** 0.5
     least = least + (1 - least) / 256  # bytes of unequal slots agree by chance
 
@@ -169,7 +181,7 @@ def _block(num: int, den: int):
         band = int(key[0])
         sig = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, SLOTS)
         ids, group, n, straggler, side = (pdf[c].to_numpy(copy=True) for c in ("doc_id", "group", "n_shingles", "straggler", "side"))
-        bands = np.array(pdf["bands"].tolist(), np.int64).reshape(-1, BANDS)[:, :band]
+        bands = np.array(pdf["bands"].tolist(), np.int64).reshape(-1, n_bands)[:, :band]
         sets = [np.frombuffer(x, _U) for x in pdf["set"]]
         rights, us, vs = np.flatnonzero(side == 1), [], []
         for i in np.flatnonzero(side == 0):
@@ -198,7 +210,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     that repeat a doc_id give as many rows; if their texts differ, a link of any of them counts for the id. Ties don't occur: ids decide. An
     empty table gives no rows. Other columns of `docs` are not looked at.
     """
-    feats = scratch.save(features(docs), "features")
+    feats = scratch.save(features(docs, num, den), "features")
     sets = feats.where("doc_id is not null and n_shingles > 0")
     prints = ["n_shingles", "print1", "print2"]
     copies = scratch.save(sets.groupBy(prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from stockroom.llm.components import components
-from stockroom.llm.minhash_dedup import near_duplicates
+from stockroom.llm.minhash_dedup import SLOTS, banding, near_duplicates
 
 
 def brute(rows):
@@ -91,3 +91,10 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
     assert got == {**{i: 100 for i in range(100, 181)}, 3: 3, 5: 3, 9: 3, **{i: 1000 for i in range(1000, 1400)}}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_bands_follow_the_limit():
+    for num, den in ((85, 100), (80, 100), (1, 2), (95, 100)):
+        bands, rows = banding(num, den)
+        assert bands * rows == SLOTS and (1 - (num / den) ** rows) ** bands <= 1e-6
+    assert banding(85, 100) == (30, 6) and banding(80, 100) == (36, 5)

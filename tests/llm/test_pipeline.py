@@ -1,10 +1,12 @@
 """The pipeline's stages against brute force on the smallest tables, and awkward rows through all of them."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from stockroom.llm.importance import resample
-from tests.llm.test_dedup import brute
+from tests.llm.test_dedup import brute, edited
 from tests.llm.test_packing_pieces import check_packed
 from tests.llm.test_quality import counted
 
@@ -37,3 +39,30 @@ def test_awkward(spark, awkward, nothing, sf_dir):
     assert (left["rank"], left["row"], left["good"], left["noise"], left["group"], left["key"], left["quality"]) == (1, "r", True, 0.5, "g", "k", "q")
     clash = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("quality", F.lit("q")).withColumn("row", F.lit(1))
     assert {(r["quality"], r["row"]) for r in cp.quality_rules(spark, clash, sf_dir).collect()} == {("q", 1)}
+
+def test_near_copies_from_four_fifths_on_fall_away(spark, sf_dir):
+    """Pairs at, just over and just under 0.8, and chains of edits, against brute force at 0.8."""
+    rnd, texts = random.Random(3), []
+    word = lambda: f"w{rnd.randrange(5000)}"
+    for n in range(60, 140):  # the last `cut` words of the copy are others: (w - 4 - cut) of (w - 4 + cut) shingles are shared
+        t = [word() for _ in range(n)]
+        cut = round((n - 4) / 9) + rnd.randrange(-2, 2)
+        texts += [t, t[:-cut] + [word() for _ in range(cut)]]
+    for _ in range(5):
+        t = [word() for _ in range(150)]
+        for _ in range(8):
+            texts.append(t)
+            t = edited(rnd, t, rnd.randrange(1, 5))
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    up = list(range(len(sets)))
+    between = exact = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            same, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            between, exact = between + (80 * all_ <= 100 * same < 85 * all_), exact + (10 * same == 8 * all_)
+            if 100 * same >= 80 * all_ and up[i] != up[j]:
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    assert between > 40 and exact > 3
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in cp.near_dedup(spark, docs, sf_dir).collect()) == sorted({*up})
