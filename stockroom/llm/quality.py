@@ -1,12 +1,13 @@
 """Quality rules: counted base rules and compression bands.
 
 Text that zstandard shrinks far more than prose of its length repeats itself; text that it can't shrink is noise, codes or encoded bytes. Short texts
-compress worse than long ones for the same kind of content, so the limits depend on length. Whole documents are measured, and fixed chunks too:
-a chunk far outside its band shows a repetitive or random passage that the whole document's ratio hides.
+compress worse than long ones for the same kind of content, so the limits depend on length. Whole documents are measured, and chunks of even length
+that cover all of a text: one outside its band shows a repetitive or random passage that the whole document's ratio hides.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,15 +28,16 @@ _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 class Bands:
     """Limits of compressed bytes over bytes. `documents`: (from this many bytes on, least, most) for whole texts, by length; `chunk`: for chunks.
 
-    A document is rejected if its ratio is outside its band, or if more than `bad_share` of its chunks are outside theirs.
-    Texts of under the first length are too short for a ratio to tell anything and have no band.
+    A text is cut into bytes // chunk_bytes chunks, even to a byte, so each has chunk_bytes to 1.5 times as many and no tail is left over; one of fewer
+    than two chunks is measured whole. A document is rejected if its ratio is outside its band, or if more than `bad_share` of its chunks are outside
+    theirs. Texts of under the first length are too short for a ratio to tell anything and have no band.
     """
 
     level: int = 3
-    chunk_bytes: int = 4096
-    documents: tuple[tuple[int, float, float], ...] = ((256, 0.22, 0.85), (1024, 0.16, 0.72), (4096, 0.12, 0.66), (16384, 0.09, 0.64), (65536, 0.07, 0.62))
-    chunk: tuple[float, float] = (0.12, 0.70)
-    bad_share: float = 0.34
+    chunk_bytes: int = 512
+    documents: tuple[tuple[int, float, float], ...] = ((256, 0.42, 0.78), (512, 0.38, 0.72), (1024, 0.34, 0.66), (2048, 0.30, 0.60), (4096, 0.28, 0.56), (16384, 0.26, 0.54), (65536, 0.24, 0.52))
+    chunk: tuple[float, float] = (0.42, 0.74)
+    bad_share: float = 0.0
 
 
 def _repeats(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -110,7 +112,8 @@ def _rate(bands: Bands):
                     if b - a >= bands.documents[0][0]:
                         whole[i] = len(press.compress(buf[a:b])) / (b - a)
                         if (n := (b - a) // bands.chunk_bytes) > 1:  # else the whole text says as much
-                            parts = (len(press.compress(buf[x : x + bands.chunk_bytes])) / bands.chunk_bytes for x in range(a, a + n * bands.chunk_bytes, bands.chunk_bytes))
+                            cuts = [a + (b - a) * j // n for j in range(n + 1)]
+                            parts = (len(press.compress(buf[x:y])) / (y - x) for x, y in itertools.pairwise(cuts))
                             share[i] = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in parts) / n
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(part)), *(pa.array(found[n].astype(np.int64)) for n in COUNTS), pa.array(np.diff(ends)), *(pa.array(x, from_pandas=True) for x in (whole, share))], ["row", *COUNTS, "n_bytes", "ratio", "bad_chunks"])
 

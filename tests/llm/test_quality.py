@@ -1,5 +1,6 @@
 """Quality rules and importance resampling."""
 
+import base64
 import random
 from collections import Counter
 
@@ -79,3 +80,30 @@ def test_gumbel_selects_exactly_k_and_repeats(spark, awkward, nothing):
     assert out.count() == awkward.count() and out.columns == [c for c in awkward.columns if c != "key"] + ["log_weight", "key", "selected"]
     assert {r["log_weight"] for r in out.where("doc_id in (0, 1, 2)").collect()} == {0.0}
     assert resample(nothing, labels).collect() == [] and resample(docs, labels.limit(0)).where("selected").count() == 200
+
+
+def test_repetitive_and_random_passages_are_rejected(spark):
+    """Whole texts under 8 kB, passages of 1.5 kB at any place, also at the end, and texts that the base rules would keep."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    codes = lambda n: base64.b64encode(rnd.randbytes(n * 3 // 4)).decode()
+    twins = lambda n: " ".join(f"{w} {w}{i}" for i, w in enumerate(["aaaaaaaaaaaaaaaaaaaa"] * n))  # noqa: E731  no 3-word window twice
+    texts = {f"prose {n}": (prose(n), True) for n in (60, 90, 180, 400, 800, 3000)}
+    texts |= {f"codes behind {n}": (prose(n) + " " + codes(1600), False) for n in (100, 400, 700, 3000)}
+    texts |= {"codes in front": (codes(1600) + " " + prose(700), False), "codes inside": (prose(350) + " " + codes(1600) + " " + prose(350), False), "half codes": (prose(700) + " " + codes(3700), False)}
+    texts |= {"repeats": (twins(60), False), "repeats behind": (prose(700) + " " + twins(40), False), "repeats inside a long text": (prose(1500) + " " + twins(40) + " " + prose(1500), False)}
+    rows = rate(spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id string, text string")).collect()
+    assert not any(r["quality"]["base_failed"] for r in rows)
+    assert {r["doc_id"]: r["quality"]["kept"] for r in rows} == {k: kept for k, (_, kept) in texts.items()}
+
+
+def test_bands_reject_what_the_base_rules_call_repetitive(spark):
+    """Without the base rules' help, and none of the documents that pass them."""
+    bands = Bands()
+    rows = rate(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")).where("quality.n_words >= 50").select("quality.*").collect()
+    def inside(r):
+        least, most = [(a, b) for n, a, b in bands.documents if r["n_bytes"] >= n][-1] if r["ratio"] is not None else (0, 1)
+        return least <= (r["ratio"] or 0) <= most and (r["bad_chunks"] or 0) <= bands.bad_share
+    repetitive = [r for r in rows if r["base_failed"]]
+    assert len(repetitive) > 600 and not any(map(inside, repetitive)) and all(r["kept"] for r in rows if not r["base_failed"])
