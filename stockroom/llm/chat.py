@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Longest chain of dependent calls that is ordered; what is not settled by then is in a cycle or depends on one.
-LONGEST_CHAIN = 64
+#: order_level of calls that are in a cycle or depend on one: behind all others of their turn.
+UNSETTLED = (1 << 31) - 1
 #: Names that a JSON schema gives to types, and a pattern for the names that variants give.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID$"}
 
@@ -46,22 +46,28 @@ def calls(parsed: DataFrame) -> DataFrame:
 def levels(found: DataFrame) -> DataFrame:
     """conv_id, call_id, level: 0 for calls that depend on none, else 1 more than the highest level they depend on; null in or behind a cycle.
 
-    Ids that no call has are not waited for. Rounds end when nothing changes; tables without dependencies need none.
+    Ids that no call has are not waited for. Each round settles the calls whose needs are all settled; then a need that itself has one need only is
+    replaced by that one, with the steps between added up, so a chain takes rounds by the logarithm of its length. The lowest call that is not in or
+    behind a cycle is settled in every round, so a round that settles none leaves cycles alone. Steps stay within the number of calls, as
+    those of any path without a cycle do. Tables without dependencies need no round.
     """
     nodes = found.where("call_id is not null").select("conv_id", "call_id").distinct()
     needs = found.where("call_id is not null").select("conv_id", "call_id", F.explode("depends_on").alias("need")).distinct()
-    needs = scratch.save(needs.join(nodes.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"), "needs")
+    needs = scratch.save(needs.join(nodes.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi").withColumn("steps", F.lit(1)), "needs")
     now = scratch.save(nodes.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    waiting = needs.count()
-    for _ in range(LONGEST_CHAIN):
-        if not waiting:
-            break
+    most = nodes.count() if needs.limit(1).count() else 0
+    while needs.limit(1).count():
         state = needs.join(now.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"], "left").groupBy("conv_id", "call_id")
-        ready = state.agg(F.count("*").alias("all"), F.count("level").alias("known"), (F.max("level") + 1).alias("level")).where("all = known").select("conv_id", "call_id", "level")
-        after = scratch.save(now.where("level = 0").unionByName(ready), "levels")
-        if after.count() == now.count():
+        ready = state.agg(F.count("*").alias("all"), F.count("level").alias("known"), F.max(F.col("level") + F.col("steps")).alias("level")).where("all = known")
+        ready = scratch.save(ready.select("conv_id", "call_id", "level"), "ready")
+        if not ready.limit(1).count():
             break
-        now = after
+        now = scratch.save(now.unionByName(ready), "levels")
+        left = needs.join(ready, ["conv_id", "call_id"], "left_anti")
+        only = left.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("need").alias("to"), F.min("steps").alias("more")).where("n = 1").select("conv_id", F.col("call_id").alias("need"), "to", "more")
+        jump = F.col("more").isNotNull() & (F.col("steps").cast("long") + F.col("more") <= most)
+        after = left.join(only, ["conv_id", "need"], "left").select("conv_id", "call_id", F.when(jump, F.col("to")).otherwise(F.col("need")).alias("need"), F.when(jump, F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"))
+        needs = scratch.save(after.groupBy("conv_id", "call_id", "need").agg(F.max("steps").alias("steps")), "needs")
     return nodes.join(now, ["conv_id", "call_id"], "left")
 
 
@@ -121,12 +127,12 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     c = c.join(scratch.save(validity(found, structured), "validity").distinct(), ["conv_id", "turn", "at"], "left")
     linked = F.col("answered") & (F.col("c.turn") == F.col("turn")) & (F.col("c.at") == F.col("at"))
     cycle = F.col("call_id").isNotNull() & F.col("conv_id").isNotNull() & F.col("level").isNull()
-    key = [F.col("turn").alias("order_turn"), F.coalesce("level", F.lit(LONGEST_CHAIN)).alias("order_level"), F.col("at").alias("order_at"), F.lit(0).alias("order_kind"), "turn"]
+    key = [F.col("turn").alias("order_turn"), F.coalesce("level", F.lit(UNSETTLED)).alias("order_level"), F.col("at").alias("order_at"), F.lit(0).alias("order_kind"), "turn"]
     as_json = lambda **parts: F.to_json(F.struct(*(v.alias(k) for k, v in sorted(parts.items()))))
     call_rows = c.select("conv_id", F.lit("call").alias("kind"), *key, "call_id", F.when(cycle, "cycle").when(F.coalesce(linked, F.lit(False)), "linked").otherwise("unanswered").alias("status"), "valid", "problem", as_json(role=F.lit("assistant"), tool_call=F.struct(F.col("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"))).alias("json"))
 
     r = results.join(first, ["conv_id", "call_id"], "left").join(level, ["conv_id", "call_id"], "left")
-    key = [F.coalesce("c.turn", "turn").alias("order_turn"), F.when(F.col("c").isNull(), 0).otherwise(F.coalesce("level", F.lit(LONGEST_CHAIN))).alias("order_level"), F.coalesce("c.at", F.lit(0)).alias("order_at"), F.lit(1).alias("order_kind"), "turn"]
+    key = [F.coalesce("c.turn", "turn").alias("order_turn"), F.when(F.col("c").isNull(), 0).otherwise(F.coalesce("level", F.lit(UNSETTLED))).alias("order_level"), F.coalesce("c.at", F.lit(0)).alias("order_at"), F.lit(1).alias("order_kind"), "turn"]
     empty = [F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("problem")]
     result_rows = r.select("conv_id", F.lit("result").alias("kind"), *key, "call_id", F.when(F.col("c").isNull(), "orphan").otherwise("linked").alias("status"), *empty, as_json(content=F.col("content"), role=F.lit("tool"), tool_call_id=F.col("call_id")).alias("json"))
 

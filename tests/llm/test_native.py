@@ -107,3 +107,15 @@ def test_trust_and_distrust_spread(spark):
         for i, u in ((0, "good.org"), (1, "t1.net"), (2, "t2.net"), (3, "bad.net"), (4, "c.com"), (5, "worse.net")):
             assert got[i][kind] == pytest.approx(now.get(u, 0), abs=1e-12)
     assert judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_long_chains_and_cycles_are_told_apart(spark):
+    """A chain of 150 calls, a ladder whose calls have two needs, both in one conversation, beside cycles of 3 and what waits for them."""
+    chain = [{"id": f"n{i}", "name": "f", "depends_on": [f"n{i + 1}"]} for i in range(149)] + [{"id": "n149", "name": "f"}]
+    ladder = [{"id": f"m{i}", "name": "f", "depends_on": [x for x in (f"m{i + 1}", f"m{i + 2}") if int(x[1:]) < 9]} for i in range(9)]
+    loop = [{"id": "x", "name": "f", "depends_on": ["y"]}, {"id": "y", "name": "f", "depends_on": ["z", "n149"]}, {"id": "z", "name": "f", "depends_on": ["x"]}, {"id": "own", "name": "f", "depends_on": ["own"]}, {"id": "behind", "name": "f", "depends_on": ["n5", "x"]}]
+    mixed = [{"id": "top", "name": "f", "depends_on": ["n3", "m2", "n80"]}]
+    got = [r for r in messages(spark, [(1, 0, "assistant", calls(*chain, *ladder, *loop, *mixed))]) if r["kind"] == "call"]
+    want = {f"n{i}": 149 - i for i in range(150)} | {f"m{i}": 8 - i for i in range(9)} | {"top": 147}
+    assert {r["call_id"]: r["order_level"] for r in got if r["status"] != "cycle"} == want
+    assert {r["call_id"] for r in got if r["status"] == "cycle"} == {"x", "y", "z", "own", "behind"} == {r["call_id"] for r in got[-5:]}
