@@ -39,7 +39,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round is a large-star and a small-star step (Kiveris et al., "Connected Components in MapReduce and Beyond"), written to shared storage.
     Rounds grow with the logarithm of the number of nodes. An edge table without rows gives no rows.
     """
-    scratch.small_batches(edges.sparkSession)
+    scratch.ship(edges.sparkSession)
     stars = scratch.save(edges.where("u != v").mapInPandas(_forest, "u long, v long"), "forest")  # v < u always
     for _ in range(most_rounds):
         both = stars.select("u", "v").unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -90,7 +90,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, pref
     then all weights come from smoothing alone.
     """
     spark = docs.sparkSession
-    scratch.small_batches(spark)
+    scratch.ship(spark)
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long"), "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(~scratch.held_out(F.col("doc_id"))).join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
     known = scratch.save(known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(TARGETS), "labelled")

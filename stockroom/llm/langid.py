@@ -62,7 +62,7 @@ def _logs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and a row of bucket log likelihoods for each, from all rows of `docs` (lang, text) with both. BUCKETS floats a language come to the driver."""
-    scratch.small_batches(docs.sparkSession)
+    scratch.ship(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     sums = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.groupBy("lang").applyInPandas(_logs, "lang string, logs binary").orderBy("lang").collect()  # a group has BUCKETS rows at most
@@ -145,5 +145,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     Of equal proportions the language first by name wins. Null and repeated doc_ids are kept as they are. An empty table gives no rows. Other
     columns are not looked at.
     """
-    scratch.small_batches(docs.sparkSession)
+    scratch.ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predict(*model), "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")

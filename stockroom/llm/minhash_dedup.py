@@ -121,7 +121,7 @@ def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, print1, print2 (of the set), signature (one byte a slot), bands for the limit num / den (null for an empty set)."""
-    scratch.small_batches(docs.sparkSession)
+    scratch.ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features(*banding(num, den)), "doc_id long, n_shingles long, print1 long, print2 long, signature binary, bands array<long>")
 
 

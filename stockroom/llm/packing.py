@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> D
     `size`, the first of which is what is left over. Every sequence is filled from 0 without gaps. An empty table gives no rows. Other
     columns are not looked at.
     """
-    scratch.small_batches(docs.sparkSession)
+    scratch.ship(docs.sparkSession)
     pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long, number long, task int")
     pieces = scratch.save(pieces, "pieces")
     by_task = scratch.save(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")

@@ -206,6 +206,6 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     `path`: a merge-type model file on every executor. A null text is as an empty one: begin and end ids, decoded to "". A null or repeated doc_id changes
     nothing. An empty table gives no rows. Other columns are not looked at.
     """
-    scratch.small_batches(docs.sparkSession)
+    scratch.ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(path, not digests), schema)

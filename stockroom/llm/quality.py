@@ -136,7 +136,7 @@ def rate(docs: DataFrame, bands: Bands = Bands(), column: str = "quality") -> Da
     base_failed, and inside the bands. A null or blank text has no words: base_failed. Texts too short for a band have a null ratio; those of one
     chunk have null bad_chunks. Ids aren't looked at, so null or repeated ones change nothing. An empty table gives no rows.
     """
-    scratch.small_batches(docs.sparkSession)
+    scratch.ship(docs.sparkSession)
     names = [c for c in docs.columns if c != column]
     rows = docs.select(F.struct(*(F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in names)).alias("row"))
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("n_bytes", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("bad_chunks", T.DoubleType())])

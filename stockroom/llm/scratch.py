@@ -1,53 +1,15 @@
-"""Shared scratch space and the few pieces that every operator needs."""
+"""The few pieces that every operator needs."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import ship
-
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-#: Rows in an Arrow batch. Texts are a few kB, so a batch stays at a few MB; a batch of very long texts is cut further by textvec.slices().
-BATCH_ROWS = 512
-
-
-def _root(spark: SparkSession) -> str:
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:  # only where the cluster names none, as in tests on one machine
-        root = "file://" + tempfile.mkdtemp(prefix="stockroom-")
-        spark.conf.set(CHECKPOINT_DIR, root)
-    return root.rstrip("/")
+from ..sources.scratch import save, ship
 
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session has ended before; the folder is the cluster's to clean
-        pass
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet under the shared checkpoint folder and read it back.
-
-    This cuts the lineage: a lost executor costs its running tasks, not what has been written. The folder goes at exit.
-    """
-    spark = df.sparkSession
-    path = f"{_root(spark)}/stockroom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small, so that a Python worker's memory does not depend on the longest texts of 10,000 rows; and see that workers have the code."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+__all__ = ["held_out", "save", "ship", "small_side", "split_join", "table"]
+#: Rows of one join key from which it is joined apart from the others.
+HOT = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +24,22 @@ def held_out(doc_id: Column) -> Column:
 def small_side(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """`df` marked for broadcast if its counted rows (a few numbers each) are no more than `most`; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df
+
+
+def split_join(big: DataFrame, side: DataFrame, on: list[str], n: str, rows: int, how: str = "inner", hot: int | None = None) -> DataFrame:
+    """`big` joined (inner or left) with `side`, which has one row a key and in column `n` how many rows of `big` have that key; `rows`: of `big`, counted.
+
+    Keys with more than `hot` rows, of which there are fewer than rows / hot, are broadcast, so no task gets all rows of one key; the others are
+    shuffled, and rows with a null key stay where they are. Where `big` has no more rows than `hot`, no key can have.
+    """
+    hot = HOT if hot is None else hot
+    if rows <= hot:
+        return big.join(side, on, how)
+    often = side.where(F.col(n) > hot)
+    keyed = big.where(" and ".join(f"{c} is not null" for c in on))
+    rest = keyed.join(F.broadcast(often.select(on)), on, "left_anti").join(side.where(F.col(n) <= hot), on, how)
+    out = keyed.join(F.broadcast(often), on).unionByName(rest)
+    if how == "left":
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema if f.name not in on]
+        out = out.unionByName(big.where(" or ".join(f"{c} is null" for c in on)).select("*", *blank))
+    return out

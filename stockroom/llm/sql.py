@@ -6,7 +6,7 @@ and vectors are models. tests/llm holds these against brute force, exact round t
 
 from __future__ import annotations
 
-from .urls import DAMPING, ROUNDS, RULES
+from .urls import DAMPING, MARGIN, RULES
 
 _NEAR_DUPLICATES = r"""
 WITH RECURSIVE
@@ -31,12 +31,8 @@ def _link_graph() -> str:
     longest = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in longest)
     given = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in longest)
-    rounds = "".join(
-        f""", r{i} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (SELECT * FROM seed UNION ALL SELECT f.kind, f.to_, {DAMPING} * r.score * f.share FROM r{i - 1} r JOIN flow f ON f.kind = r.kind AND f.from_ = r.host) GROUP BY 1, 2)"""
-        for i in range(1, ROUNDS + 1)
-    )
     return rf"""
-WITH u AS (SELECT page_id, html, {host} AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, html, {host} AS host, coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 j AS (SELECT *, CASE {rule} END AS rule, CASE {given} END AS given FROM u),
 l AS (SELECT DISTINCT page_id, host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM u),
 g AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
@@ -44,9 +40,9 @@ b AS (SELECT 'trust' AS kind, src AS from_, dst AS to_, n FROM g UNION ALL SELEC
 flow AS (SELECT kind, from_, to_, n::DOUBLE / sum(n) OVER (PARTITION BY kind, from_) AS share FROM b),
 k AS (SELECT host, given, count(*) AS n FROM j WHERE given IS NOT NULL AND host <> '' GROUP BY 1, 2),
 seed AS (SELECT CASE given WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, (1 - {DAMPING}::DOUBLE) * n / (SELECT sum(n) FROM k)::DOUBLE AS score FROM k),
-r0 AS (SELECT * FROM seed){rounds},
-h AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM r{ROUNDS} GROUP BY 1)
-SELECT page_id, j.host, path, rule, coalesce(given, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN h ON h.host = j.host
+step AS (SELECT 0 AS i, kind, host, score FROM seed UNION ALL SELECT i + 1, s.kind, f.to_, sum({DAMPING} * s.score * f.share) FROM step s JOIN flow f ON f.kind = s.kind AND f.from_ = s.host WHERE i < 400 GROUP BY 1, 2, 3),
+h AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM step GROUP BY 1)
+SELECT page_id, j.host, path, rule, coalesce(given, CASE WHEN distrust > trust * (1 + {MARGIN}::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN h ON h.host = j.host
 """
 
 

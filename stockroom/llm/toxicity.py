@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     docs: doc_id, text. labels: doc_id, toxic (0 or 1); rows with nulls are left out, and of a document with both labels 1 counts. A labelled document
     without text is an example without words.
     """
-    scratch.small_batches(docs.sparkSession)
+    scratch.ship(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~scratch.held_out(F.col("doc_id")))
     rows = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not rows:
@@ -227,5 +227,5 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
     A null or empty text has no terms and gets what other texts without terms get. Without an index (no labels) all scores are 0 and evidence is empty. Null
     and repeated doc_ids are kept as they are. An empty table gives no rows. Other columns are not looked at.
     """
-    scratch.small_batches(docs.sparkSession)
+    scratch.ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(index), "doc_id long, score double, vote double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")

@@ -2,7 +2,7 @@
 
 Rules decide the pages they fit. Other pages get their host's verdict: pages that rules allow make their hosts trusted seeds, pages that rules block make theirs
 blocked seeds. Trust flows along links by personalised PageRank; distrust flows against them, to hosts that link to blocked ones. A host is blocked
-if more distrust than trust reaches it.
+if more distrust than trust reaches it. Both are summed until they are settled, over ways of any length.
 """
 
 from __future__ import annotations
@@ -14,7 +14,11 @@ from . import scratch
 
 #: host, path, verdict. A rule fits its host and all subdomains, for paths that start with its path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DAMPING, ROUNDS, SAVE_EVERY, SALT = 0.85, 16, 8, 8
+#: Scores are settled when no host's last inflow is more than TOLERANCE of its score: its error is then under TOLERANCE / (1 - DAMPING). Distrust must
+#: exceed trust by more than MARGIN of it, which is more than both errors and any rounding, so equal scores never block.
+DAMPING, TOLERANCE, MARGIN = 0.85, 5e-8, 1e-6
+#: Rounds between two looks at the tolerance; rounds after which it is an error not to have settled; edges of one host that are one task's work.
+SAVE_EVERY, MOST_ROUNDS, HUB = 8, 20_000, 1_000_000
 _URL = r"://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 
@@ -44,25 +48,34 @@ def links(pages: DataFrame) -> DataFrame:
     return found.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("pages"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, allow, block: numbers of pages) over edges (src, dst, pages).
+def spread(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(host, trust, distrust) from seeds (host, allow, block: numbers of pages) over edges (src, dst, pages): personalised PageRank, settled.
 
-    Each round: (1 - d) * seed + d * what flows in. Distrust takes the edges backwards. Edges of one host are dealt to SALT buckets, so that a hub is not one
-    task's work. Rounds are few and the table of hosts is small beside the pages; every SAVE_EVERY rounds it is written, which cuts the lineage.
+    A score is the sum of what arrives over paths of 0, 1, 2, ... links, damped at each. A round adds the next length; rounds go on until every host's
+    last inflow is within TOLERANCE of its score, so also until no further host is reached, however long the way. Distrust takes the edges
+    backwards. Edges of a host with more than HUB of them are dealt to buckets by their number. The table is written every SAVE_EVERY rounds.
     """
-    both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "pages").unionAll(edges.select(F.lit("distrust"), "dst", "src", "pages"))
-    out = both.groupBy("kind", "from").agg(F.sum("pages").alias("all"))
-    flows = scratch.save(both.join(out, ["kind", "from"]).select("kind", "from", "to", (F.col("pages") / F.col("all")).alias("share"), F.pmod(F.xxhash64("to"), F.lit(SALT)).cast("int").alias("salt")), "flows")
+    both = scratch.save(edges.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "pages").unionAll(edges.select(F.lit("distrust"), "dst", "src", "pages")), "both-ways")
+    m = both.count()
+    out = both.groupBy("kind", "from").agg(F.sum("pages").alias("all"), F.count("*").alias("n"))
+    salts = F.ceil(F.col("n") / HUB).cast("int")
+    flows = scratch.split_join(both, out, ["kind", "from"], "n", m, hot=HUB).select("kind", "from", "to", (DAMPING * F.col("pages") / F.col("all")).alias("share"), F.pmod(F.xxhash64("to"), salts).cast("int").alias("salt"))
+    hubs = out.where(F.col("n") > HUB).select("kind", F.col("from").alias("host"), salts.alias("salts")) if m > HUB else None  # fewer than m / HUB
     total = F.lit(float(seeds.agg(F.coalesce(F.sum(F.col("allow") + F.col("block")), F.lit(0))).first()[0] or 1))
-    start = scratch.save(seeds.select(F.lit("trust").alias("kind"), "host", (F.lit(1 - DAMPING) * F.col("allow") / total).alias("score")).unionAll(seeds.select(F.lit("distrust"), "host", F.lit(1 - DAMPING) * F.col("block") / total)).where("score > 0"), "seeds")
-    now = start
-    if flows.limit(1).count():
-        for i in range(1, rounds + 1):
-            salted = now.select("kind", F.col("host").alias("from"), "score", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-            inflow = salted.join(flows, ["kind", "from", "salt"]).select("kind", F.col("to").alias("host"), (DAMPING * F.col("score") * F.col("share")).alias("score"))
-            now = start.unionByName(inflow).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if i % SAVE_EVERY == 0 or i == rounds:
-                now = scratch.save(now, "spread")
+    start = seeds.select(F.lit("trust").alias("kind"), "host", (F.lit(1 - DAMPING) * F.col("allow") / total).alias("score")).unionAll(seeds.select(F.lit("distrust"), "host", F.lit(1 - DAMPING) * F.col("block") / total))
+    now = scratch.save(start.where("score > 0").withColumn("last", F.col("score")), "spread")
+    # a row from each host to itself, without a share, carries its score into the next round: so a round reads the last one once
+    hosts = both.select("kind", "from").unionAll(both.select("kind", "to")).unionAll(now.select("kind", "host")).distinct()
+    flows = scratch.save(flows.unionByName(hosts.select("kind", "from", F.col("from").alias("to"), F.lit(None).cast("double").alias("share"), F.lit(0).alias("salt"))), "flows")
+    done = 0
+    while m and not now.where(F.col("last") > TOLERANCE * F.col("score")).isEmpty():
+        if done >= MOST_ROUNDS:
+            raise RuntimeError(f"trust did not settle in {MOST_ROUNDS} rounds")
+        for _ in range(SAVE_EVERY):
+            step = now.withColumn("salt", F.lit(0)) if hubs is None else now.join(F.broadcast(hubs), ["kind", "host"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+            moved = step.withColumnRenamed("host", "from").join(flows, ["kind", "from", "salt"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.when(F.col("share").isNull(), F.col("score")).otherwise(0.0)).alias("score"), F.sum(F.coalesce(F.col("last") * F.col("share"), F.lit(0.0))).alias("last"))
+            now = moved.select("kind", "host", (F.col("score") + F.col("last")).alias("score"), "last")
+        now, done = scratch.save(now, "spread"), done + SAVE_EVERY
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return now.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -70,8 +83,8 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFram
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row for each row of `pages` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust (of the host).
 
-    rule: the longest fitting rule as host + path, else null; its verdict holds. Else the host is blocked if its distrust exceeds its trust, and allowed
-    otherwise: also if nothing is known of it, or it is empty (a null url, or one without `://`). A null html has no links. Null and repeated
+    rule: the longest fitting rule as host + path, else null; its verdict holds. Else the host is blocked if its distrust exceeds its trust (by more than
+    MARGIN of it), and allowed otherwise: also if nothing is known of it, or it is empty (a null url, or one without `://`). A null html has no links. Null and repeated
     page_ids are kept as they are. An empty table gives no rows. Other columns are not looked at.
     """
     host, path = host_and_path(F.col("url"))
@@ -81,7 +94,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     count = lambda v: F.count_if(F.col("given") == v).alias(v)
     seeds = scratch.save(ruled.where("given is not null and host != ''").groupBy("host").agg(count("allow"), count("block")), "ruled-hosts")
     scores = scratch.save(spread(seeds, scratch.save(links(pages), "links")), "hosts")
-    known = ruled.join(scratch.small_side(scores, scores.count()), "host", "left")
+    n_scores = scores.count()
+    if n_scores <= scratch.HOT:
+        known = ruled.join(F.broadcast(scores), "host", "left")
+    else:
+        of_host = ruled.groupBy("host").agg(F.count("*").alias("n"))
+        known = scratch.split_join(ruled, scores.join(of_host, "host"), ["host"], "n", ruled.count(), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("given", F.when(distrust > trust, "block").otherwise("allow"))
+    verdict = F.coalesce("given", F.when(distrust > trust * (1 + MARGIN), "block").otherwise("allow"))
     return known.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -163,7 +163,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RE
     precision. Recall follows from `rerank` (candidates scored exactly in each chunk of CHUNK).
     """
     spark = vectors.sparkSession
-    scratch.small_batches(spark)
+    scratch.ship(spark)
     infinite = float("inf")
 
     def sound(df: DataFrame) -> DataFrame:
@@ -193,6 +193,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RE
     met = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).join(index, "chunk")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # here a row is a whole chunk with a block of queries
     found = scratch.save(met.mapInArrow(_search(books, k, rerank), "query_id long, vec_id long, score double"), "found")
-    scratch.small_batches(spark)
+    scratch.ship(spark)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
