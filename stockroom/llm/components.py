@@ -41,16 +41,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     scratch.ship(edges.sparkSession)
     stars = scratch.save(edges.where("u != v").mapInPandas(_forest, "u long, v long"), "forest")  # v < u always
+    seen = _print(stars)
     for _ in range(most_rounds):
         both = stars.select("u", "v").unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = scratch.split_join(both, least, ["u"], "n", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = scratch.split_join(large, low, ["u"], "n", 2 * seen[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = scratch.save(small.where("u != v").distinct(), "stars")
-        if _print(after) == _print(stars):
+        now = _print(after)
+        if now == seen:
             break
-        stars = after
+        stars, seen = after, now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(stars.select("v", "v").distinct().toDF("node", "root"))

@@ -1,15 +1,15 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, verification on full shingle sets, union-find.
 
 1. `features`: each document's set of five-word shingles (64-bit hashes), its SuperMinHash signature and an order-free 128-bit print of the set.
-2. Equal sets collapse to the smallest doc_id, so exact copies cost one row from here on, however many there are.
+2. Equal sets collapse to one row, so exact copies cost one row from here on, however many there are. Rows have numbers of their own: a doc_id may repeat.
 3. Banding: keys of some signature slots each, as many as the limit allows (`banding`): 30 keys of 6 slots at 0.85, 36 of 5 at 0.8. A pair at the
    limit misses all of them once in over a million.
-4. Stars: every member of a bucket is held against the bucket's smallest id, and union-find groups what was confirmed. Most buckets end here.
+4. Stars: every member of a bucket is held against the bucket's first row, and union-find groups what was confirmed. Most buckets end here.
 5. Blocks: in a bucket that still has members of several groups, those outside its largest group are held against all others of the bucket that
    are in another group. Buckets of more than `BLOCK` shingles are dealt out as pairs of blocks, so no task holds a whole bucket. A block looks at
-   full sets only if the signatures can stand for the limit (4.5 standard deviations below it), no earlier band has the pair, and the two aren't
-   connected in this block yet; so it gives a forest of links, not pairs.
-6. Confirmed links of both rounds go through union-find; copies take their representative's group.
+   full sets only if the signatures can stand for the limit (4.5 standard deviations below it, unless switched off), no earlier band has the pair, and
+   the two aren't connected in this block yet; so it gives a forest of links, not pairs.
+6. Confirmed links of both rounds, and of rows with one doc_id, go through union-find; copies take their representative's group.
 
 No bucket, pair or partner is capped.
 """
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from . import scratch, textvec
 from .components import components
 
-WORDS, SLOTS, BLOCK, SALT = 5, 180, 1 << 20, 256
+#: BLOCK is in shingles; a row counts ROW more for its signature and bands.
+WORDS, SLOTS, BLOCK, SALT, ROW = 5, 180, 1 << 20, 256, 64
+PRINTS = ["n_shingles", "print1", "print2"]
 #: How often a pair right at the limit may miss all bands.
 MISSED = 1e-6
 _U = np.uint64
@@ -91,6 +93,11 @@ def _sums(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return c[ptr[1:]] - c[ptr[:-1]]
 
 
+def _prints(h: np.ndarray, ptr: np.ndarray) -> list[pa.Array]:
+    """Size, and two order-free sums, of each set."""
+    return [pa.array(np.diff(ptr).astype(np.int64)), pa.array(_sums(textvec.mix(h ^ _U(0xA5A5)), ptr).view(np.int64)), pa.array(_sums(textvec.mix(h + _U(0x5A5A)), ptr).view(np.int64))]
+
+
 def _features(n_bands: int, rows: int):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,10 +112,8 @@ def _features(n_bands: int, rows: int):
                 flat = pa.array(bands.view(np.int64).ravel())
                 offsets = pa.array(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(at, n), pa.array(np.diff(ptr).astype(np.int64)),
-                    pa.array(_sums(textvec.mix(h ^ _U(0xA5A5)), ptr).view(np.int64)), pa.array(_sums(textvec.mix(h + _U(0x5A5A)), ptr).view(np.int64)),
-                    pa.array([x.tobytes() for x in bytes_], pa.binary()), pa.ListArray.from_arrays(offsets, flat, mask=pa.array(~some)),
-                ], ["doc_id", "n_shingles", "print1", "print2", "signature", "bands"])
+                    batch.column("doc_id").slice(at, n), *_prints(h, ptr), pa.array([x.tobytes() for x in bytes_], pa.binary()), pa.ListArray.from_arrays(offsets, flat, mask=pa.array(~some)),
+                ], ["doc_id", *PRINTS, "signature", "bands"])
 
     return features
 
@@ -116,7 +121,7 @@ def _features(n_bands: int, rows: int):
 def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, h, ptr in _sets(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ptr) - 1), pa.array([h[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ptr) - 1), *_prints(h, ptr), pa.array([h[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], ["doc_id", *PRINTS, "set"])
 
 
 def features(docs: DataFrame, num: int, den: int) -> DataFrame:
@@ -150,37 +155,39 @@ def _confirm(num: int, den: int):
     return confirm
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, set) of the documents named in `ids`; only their texts are read through."""
-    ids = scratch.save(ids.distinct(), "ids")
-    need = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(scratch.small_side(ids, ids.count()), "doc_id", "left_semi")
-    return scratch.save(need.mapInArrow(_hash_sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
+def _sets_of(ids: DataFrame, who: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set) of the rows named in `ids`; only texts of their documents are read through. who: id, doc_id and prints of all that may be named."""
+    named = scratch.save(who.join(ids.distinct(), "id", "left_semi"), "ids")
+    n = named.count()
+    need = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(scratch.small_side(named.select("doc_id").distinct(), n), "doc_id", "left_semi")
+    made = need.mapInArrow(_hash_sets, "doc_id long, n_shingles long, print1 long, print2 long, set binary")
+    return scratch.save(made.join(scratch.small_side(named, n), ["doc_id", *PRINTS]).select("id", "set").dropDuplicates(["id"]), "sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, who: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The rows of `pairs` (u, v) whose full sets have den * intersection >= num * union, written to shared storage.
 
-    Only documents in a pair are read again. One document may stand in very many pairs (as u): its pairs go to buckets of SALT by the other side,
-    and its set is copied once to each bucket.
+    Only documents in a pair are read again. One row may stand in very many pairs (as u): its pairs go to buckets of SALT by the other side, and its
+    set is copied once to each bucket.
     """
     pairs = scratch.save(pairs, "pairs")
-    sets = _sets_of(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")), docs)
-    width = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    left = sets.join(width.withColumnRenamed("u", "doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("set").alias("su"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    right = pairs.join(width, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt")).join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("sv")), "v")
+    sets = _sets_of(pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")), who, docs)
+    width = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"), F.count("*").alias("n"))
+    left = sets.join(width.withColumnRenamed("u", "id"), "id").select(F.col("id").alias("u"), F.col("set").alias("su"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = scratch.split_join(pairs, width, ["u"], "n", pairs.count()).select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt")).join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
     return scratch.save(right.join(left, ["u", "salt"]).select("u", "v", "su", "sv").mapInArrow(_confirm(num, den), "u long, v long"), "links")
 
 
-def _block(num: int, den: int):
+def _block(num: int, den: int, estimate: bool):
     limit, n_bands = num / den, banding(num, den)[0]
     least = limit - 4.5 * (limit * (1 - limit) / SLOTS) ** 0.5
-    least = least + (1 - least) / 256  # bytes of unequal slots agree by chance
+    least = least + (1 - least) / 256 if estimate else -1.0  # bytes of unequal slots agree by chance
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Links between stragglers (side 0) and members of other groups (side 1) of one block, as many as connect them."""
         band = int(key[0])
         sig = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(-1, SLOTS)
-        ids, group, n, straggler, side = (pdf[c].to_numpy(copy=True) for c in ("doc_id", "group", "n_shingles", "straggler", "side"))
+        ids, group, n, straggler, side = (pdf[c].to_numpy(copy=True) for c in ("id", "group", "n_shingles", "straggler", "side"))
         bands = np.array(pdf["bands"].tolist(), np.int64).reshape(-1, n_bands)[:, :band]
         sets = [np.frombuffer(x, _U) for x in pdf["set"]]
         rights, us, vs = np.flatnonzero(side == 1), [], []
@@ -200,50 +207,62 @@ def _block(num: int, den: int):
     return block
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, estimate: bool = True) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if den * |A n B| >= num * |A u B| for their sets of five-word shingles (words: bytes other than ASCII white space, A-Z as
     a-z; a text of fewer words is one shingle). component_id is the smallest doc_id reachable over links.
 
     A null or blank text has an empty set: n_shingles 0, its own component, kept. A null doc_id can't be linked to: component_id null, kept. Rows
-    that repeat a doc_id give as many rows; if their texts differ, a link of any of them counts for the id. Ties don't occur: ids decide. An
-    empty table gives no rows. Other columns of `docs` are not looked at.
+    that repeat a doc_id give as many rows; if their texts differ, a link of any of them counts for the id, in whatever order they come. Ties don't
+    occur: ids decide. An empty table gives no rows. Other columns of `docs` are not looked at.
+
+    estimate: leave a pair that shares a band unread if its signatures lie far below the limit (3 in 10^6 of pairs at the limit are lost so); False reads all
+    full sets of such pairs.
     """
-    feats = scratch.save(features(docs, num, den), "features")
+    feats = scratch.save(features(docs, num, den).withColumn("row", F.monotonically_increasing_id()), "features")
     sets = feats.where("doc_id is not null and n_shingles > 0")
-    prints = ["n_shingles", "print1", "print2"]
-    copies = scratch.save(sets.groupBy(prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
-    of = scratch.save(sets.select("doc_id", *prints).join(copies, prints, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "copies-of")
-    reps = sets.join(of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", *prints])
-
-    keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    members = scratch.save(keyed.join(buckets, ["band", "key"]), "members")
-    stars = members.where("doc_id != first").select(F.col("first").alias("u"), F.col("doc_id").alias("v")).distinct()
-    links = verified(stars, docs, num, den)
+    rows = sets.count()
+    copies = scratch.save(sets.groupBy(PRINTS).agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
+    of = scratch.split_join(sets.select("row", "doc_id", *PRINTS), copies, PRINTS, "n", rows, "left").select("row", "doc_id", F.coalesce("rep", "row").alias("rep"))
+    of = scratch.save(of, "copies-of")
+    reps = sets.join(of.where("row = rep").select("row"), "row", "left_semi").withColumnRenamed("row", "id")
+    who = reps.select("id", "doc_id", *PRINTS)
+
+    n_bands = banding(num, den)[0]
+    keyed = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last")
+    members = scratch.save(scratch.split_join(keyed, buckets, ["band", "key"], "n", rows * n_bands).drop("n"), "members")
+    n_members = members.count()
+    stars = members.where("id != first").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
+    links = verified(stars, who, docs, num, den)
     groups = components(links)
 
-    grouped = members.select("band", "key", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("group"))
-    grouped = grouped.join(reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
-    sizes = grouped.groupBy("band", "key", "group").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
-    # of a bucket: its largest group, and shingles in all and outside that group. The star's members are in its group or were held against its centre.
+    grouped = members.select("band", "key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("root", "id").alias("group"))
+    grouped = grouped.join(reps.select("id", (F.col("n_shingles") + ROW).alias("cost")), "id")
+    sizes = grouped.groupBy("band", "key", "group").agg(F.count("*").alias("n"), F.sum("cost").alias("all"))
+    # of a bucket: its largest group, and its cost in all and outside that group. The star's members are in its group or were held against its centre.
     state = sizes.groupBy("band", "key").agg(F.sum("n").alias("members"), F.count("*").alias("groups"), F.sum("all").alias("all"), F.max(F.struct("all", (-F.col("group")).alias("g"))).alias("top"))
-    state = state.where("groups > 1 and members > 2").select("band", "key", "all", (-F.col("top.g")).alias("core"), (F.col("all") - F.col("top.all")).alias("outside"))
-    open_ = scratch.save(grouped.drop("n_shingles").join(state, ["band", "key"]).withColumn("straggler", F.col("group") != F.col("core")), "open")
+    state = state.where("groups > 1 and members > 2").select("band", "key", "members", "all", (-F.col("top.g")).alias("core"), (F.col("all") - F.col("top.all")).alias("outside"))
+    open_ = scratch.save(scratch.split_join(grouped.drop("cost"), state, ["band", "key"], "members", n_members).withColumn("straggler", F.col("group") != F.col("core")), "open")
     chunks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), chunks(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
-    cols = ["band", "key", "doc_id", "group", "straggler"]
+    cols = ["band", "key", "id", "group", "straggler"]
     left = open_.where("straggler").select(*cols, F.lit(0).alias("side"), own("outside").alias("i"), upto("all").alias("j"))
     right = open_.select(*cols, F.lit(1).alias("side"), upto("outside").alias("i"), own("all").alias("j"))
-    whole = reps.select("doc_id", "n_shingles", "signature", "bands").join(_sets_of(open_.select("doc_id"), docs), "doc_id")
-    more = left.unionByName(right).join(whole, "doc_id").groupBy("band", "key", "i", "j").applyInPandas(_block(num, den), "u long, v long")
+    whole = reps.select("id", "n_shingles", "signature", "bands").join(_sets_of(open_.select("id"), who, docs), "id")
+    more = left.unionByName(right).join(whole, "id").groupBy("band", "key", "i", "j").applyInPandas(_block(num, den, estimate), "u long, v long")
     links = links.unionAll(scratch.save(more, "more-links"))
 
-    roots = components(links)
-    named = of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("root", "rep").alias("component_id"))
-    least = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = feats.select("doc_id", "n_shingles").join(least, "doc_id", "left")
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last"), F.count("*").alias("n")).where("u < last").drop("last")
+    same_id = scratch.split_join(of.select("doc_id", F.col("rep").alias("v")), several, ["doc_id"], "n", rows).where("u != v").select("u", "v").distinct()
+    roots = components(links.unionAll(scratch.save(same_id, "same-id")))
+    named = of.groupBy("rep").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", "n", F.coalesce("root", "rep").alias("root"))
+    named = scratch.save(named, "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_reps"))
+    named = scratch.split_join(named.select("rep", "n", "root"), least, ["root"], "n_reps", rows).select("rep", "n", "component_id")
+    named = scratch.split_join(of.select("row", "rep"), named, ["rep"], "n", rows).select("row", "component_id")
+    out = feats.select("row", "doc_id", "n_shingles").join(named, "row", "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

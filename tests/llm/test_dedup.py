@@ -8,7 +8,7 @@ from stockroom.llm.components import components
 from stockroom.llm.minhash_dedup import SLOTS, banding, near_duplicates
 
 
-def brute(rows):
+def brute(rows, num=85):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -23,7 +23,7 @@ def brute(rows):
     ids = sorted(sets)
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
-            if any(a and b and 100 * len(a & b) >= 85 * len(a | b) for a in sets[i] for b in sets[j]):
+            if any(a and b and 100 * len(a & b) >= num * len(a | b) for a in sets[i] for b in sets[j]):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     return {i: root(i) for i in ids}
@@ -98,3 +98,28 @@ def test_bands_follow_the_limit():
         bands, rows = banding(num, den)
         assert bands * rows == SLOTS and (1 - (num / den) ** rows) ** bands <= 1e-6
     assert banding(85, 100) == (30, 6) and banding(80, 100) == (36, 5)
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_ids_with_several_texts_take_the_links_of_all(spark, backwards, monkeypatch):
+    """Repeated ids with different texts, equal ones, and blanks, in both orders of the rows; hot keys joined apart."""
+    from stockroom.llm import scratch
+
+    monkeypatch.setattr(scratch, "HOT", 3)
+    rnd = random.Random(11)
+    a, z, y = ([f"w{rnd.randrange(2000)}" for _ in range(120)] for _ in range(3))
+    rows = [(1, a), (2, edited(rnd, a, 1)), (2, z), (3, edited(rnd, z, 1)), (4, y), (5, y), (5, a), (6, z), (7, y[:60]), (7, y[:60]), (8, []), (8, a), (9, [])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    rows = rows[::-1] if backwards else rows
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(found) == len(rows)
+    want = brute(rows)
+    assert all(r["component_id"] == (want[r["doc_id"]] if r["n_shingles"] else r["doc_id"]) for r in found) and want[3] == want[6] == want[4] == 1 and want[7] == 7
+
+
+def test_without_the_estimate(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(900)}" for _ in range(110)]
+    rows = [(i, " ".join(edited(rnd, base, rnd.randrange(0, 3)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df, estimate=False).collect()} == brute(rows)
