@@ -1,8 +1,9 @@
 """Languages of a text as a mixture: expectation-maximisation over n-gram likelihoods, and a penalised choice of the set.
 
 Each language has a model of hashed byte trigrams over words with their ends. A word's likelihood under a language is the product of its trigrams'. A
-document is a mixture: each word comes from one of its languages. EM estimates the proportions; of the sets made of the one, two, ... most probable
-languages, the one with the largest log likelihood less `PENALTY` times ln(words) for each further language is taken.
+document is a mixture: each word comes from one of its languages. EM, run until a text's log likelihood settles, estimates the proportions; of the sets made
+of the one, two, ... all most probable languages, the one with the largest log likelihood less `PENALTY` times ln(words) for each further language is
+taken. Sets grow until a text's penalised likelihood falls.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from . import scratch, textvec
 
 BUCKETS, SMOOTHING = 1 << 15, 0.5
-ROUNDS, LARGEST_SET, PENALTY = 8, 3, 2.0
+PENALTY = 2.0
+#: EM of a text ends when a round adds less than GAIN to its log likelihood: a thousandth of the least penalty. A text that takes MOST_ROUNDS is an error.
+GAIN, MOST_ROUNDS = 1e-3, 100_000
 UNKNOWN = "und"
 
 
@@ -69,48 +72,73 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in found], np.array([np.frombuffer(r["logs"], "<f4") for r in found]).reshape(len(found), BUCKETS)
 
 
-def _mixture(like: np.ndarray, doc: np.ndarray, ptr: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (texts x languages) within `allowed`, and log likelihood of each text, after ROUNDS rounds. like: words x languages, largest 1."""
-    some = np.flatnonzero(np.diff(ptr) > 0)
+def _pick(ptr: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the texts `which`, and where each of these texts' words start."""
+    n = ptr[which + 1] - ptr[which]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    return np.repeat(ptr[which] - starts[:-1], n) + np.arange(starts[-1]), starts
+
+
+def _mixture(like: np.ndarray, ptr: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (texts x languages) within `allowed`, and the log likelihood of each text, when EM has settled. like: words x languages, largest 1."""
     share = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(ROUNDS):
-        part = like * share[doc]
-        part /= part.sum(1, keepdims=True)
-        share = share.copy()
-        share[some] = np.add.reduceat(part, ptr[some], axis=0) / np.diff(ptr)[some, None]
     logs = np.zeros(len(ptr) - 1)
-    logs[some] = np.add.reduceat(np.log((like * share[doc]).sum(1)), ptr[some])
-    return share, logs
+    live = np.flatnonzero(np.diff(ptr) > 0)
+    at, starts = _pick(ptr, live)
+    mine, before = like[at], np.full(len(live), -np.inf)
+    for _ in range(MOST_ROUNDS):
+        n = np.diff(starts)
+        part = mine * np.repeat(share[live], n, axis=0)
+        of_word = part.sum(1)
+        logs[live] = now = np.add.reduceat(np.log(of_word), starts[:-1]) if len(live) else np.zeros(0)
+        going = now - before > GAIN
+        if not going.any():
+            return share, logs
+        new = np.add.reduceat(part / of_word[:, None], starts[:-1], axis=0) / n[:, None]
+        share[live[going]] = new[going]
+        if going.all():
+            before = now
+        else:
+            keep = np.repeat(going, n)
+            live, before, mine = live[going], now[going], mine[keep]
+            starts = np.concatenate([[0], np.cumsum(n[going])])
+    raise RuntimeError(f"proportions did not settle in {MOST_ROUNDS} rounds")
 
 
 def proportions(texts: pa.Array, logs: np.ndarray) -> np.ndarray:
     """Language proportions of each text of a slice (texts x languages), zero for languages outside the chosen set and for texts without words."""
     words, bucket = _grams(texts)
     docs, langs = len(texts), len(logs)
+    best = np.zeros((docs, langs))
     if not len(words.start):
-        return np.zeros((docs, langs))
+        return best
     of_word = np.empty((len(words.start), langs))
     sums = np.zeros(len(words.buf) + 1)
     for i in range(langs):
         np.cumsum(logs[i][bucket], out=sums[1:], dtype=np.float64)
         of_word[:, i] = sums[words.end] - sums[words.start]
     like = np.exp(np.maximum(of_word - of_word.max(1, keepdims=True), -50.0))
-    everything = np.ones((docs, langs))
-    share, ll = _mixture(like, words.doc, words.ptr, everything)
+    share, ll = _mixture(like, words.ptr, np.ones((docs, langs)))
     order = np.argsort(-share, axis=1, kind="stable")
-    best, value = np.zeros((docs, langs)), np.full(docs, -np.inf)
     price = PENALTY * np.log(np.maximum(words.counts, 2))
-    for size in range(1, min(langs, LARGEST_SET) + 1):
-        allowed = np.zeros((docs, langs))
-        np.put_along_axis(allowed, order[:, :size], 1.0, 1)
-        share, ll = _mixture(like, words.doc, words.ptr, allowed) if size > 1 else (allowed, np.zeros(docs))
-        if size == 1:
-            some = words.counts > 0
-            one = np.log(like[np.arange(len(words.doc)), order[words.doc, 0]])
-            ll[some] = np.add.reduceat(one, words.ptr[:-1][some])
-        better = ll - price * (size - 1) > value
-        best[better], value[better] = share[better], (ll - price * (size - 1))[better]
-    best[words.counts == 0] = 0
+    live, value = np.flatnonzero(words.counts > 0), np.full(docs, -np.inf)
+    for size in range(1, langs + 1):
+        if not len(live):
+            break
+        allowed = np.zeros((len(live), langs))
+        np.put_along_axis(allowed, order[live, :size], 1.0, 1)
+        if size == langs:
+            found, logs_of = share[live], ll[live]
+        else:
+            at, starts = _pick(words.ptr, live)
+            if size == 1:
+                found, logs_of = allowed, np.add.reduceat(np.log(like[at, np.repeat(order[live, 0], np.diff(starts))]), starts[:-1])
+            else:
+                found, logs_of = _mixture(like[at], starts, allowed)
+        now = logs_of - price[live] * (size - 1)
+        better = now > value[live]
+        best[live[better]], value[live[better]] = found[better], now[better]
+        live = live[better]
     return best
 
 
