@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 from . import scratch, textvec
 
 BUCKETS, SMOOTHING, SEED = 1 << 14, 1.0, 20
-#: Most labelled documents that the target model is fitted to, and that the share of good documents is taken from.
+#: Most labelled documents that the target model is fitted to. The share of good documents is taken from all labelled ones.
 TARGETS = 20_000
+#: By how much the share of rows to select exceeds the share of good documents, so that errors of the ranking cost bad rows kept rather than good ones lost.
+MARGIN = 0.01
 
 
 def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +79,12 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, prefix: str = "") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, prefix: str = "", margin: float = MARGIN) -> DataFrame:
     """All rows and columns of `docs` (doc_id, text), with log_weight double, key double (log weight and noise) and selected boolean, each behind `prefix`;
     columns of these names are replaced. `labels`: doc_id, quality (1 is good).
 
-    keep: share of rows to select. By default the share of good rows among the labelled rows of `docs`, plus three standard errors of it, so that an error
-    of the share costs bad rows kept rather than good ones lost; without labelled rows, all. The target model is fitted to at most TARGETS labelled
-    rows outside the held-out fold; the raw model counts all of `docs`.
+    keep: share of rows to select. By default the share of good documents among all labelled ones of `docs` outside the held-out fold, plus `margin`; without
+    labelled good ones, all. The target model is fitted to at most TARGETS labelled rows outside the held-out fold; the raw model counts all of `docs`.
 
     A null or empty text has weight 0. A null doc_id gets one noise for all such rows; rows that repeat a doc_id get the same noise. Rows that tie
     with the last one selected are selected too. A document labelled both good and bad counts as bad. Empty tables give no rows, or no target:
@@ -93,9 +94,9 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, pref
     scratch.ship(spark)
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long"), "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(~scratch.held_out(F.col("doc_id"))).join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
-    known = scratch.save(known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(TARGETS), "labelled")
+    known = scratch.save(known, "labelled")
     n, good = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
-    target = known.where("quality = 1").select("doc_id", F.lit(True).alias("good"))
+    target = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(TARGETS).where("quality = 1").select("doc_id", F.lit(True).alias("good"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(target), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     sums = rows.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # at most BUCKETS rows
     counts = np.zeros((2, BUCKETS))
@@ -111,8 +112,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, pref
     weighed = scratch.save(packed.mapInArrow(_weigh(wanted - raw), schema), "weighed")
     rows_in = weighed.count()
     if keep is None:
-        share = good / n if n else 1.0
-        keep = min(1.0, share + 3 * math.sqrt(share * (1 - share) / max(n, 1))) if good else 1.0
+        keep = min(1.0, good / n + margin) if good else 1.0
     k = math.ceil(rows_in * keep)
     least = kth_largest(weighed, "rank_bits", k) if k < rows_in else None
     selected = F.lit(k > 0) if least is None else F.col("rank_bits") >= least
