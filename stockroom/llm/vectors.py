@@ -2,10 +2,11 @@
 
 A unit vector is coded as the sum of one full-dimensional codeword from each of `BOOKS` codebooks. Codebooks start as k-means of residuals and are then
 refitted together by least squares; encoding is a beam search over the residual after each book. Beside the codes, the norm of the sum is stored. A query
-makes a table of its inner products with all codewords; a candidate's score is the sum of `BOOKS` entries over the stored norm. The best `RERANK` of each
-chunk of candidates are scored exactly, in double precision, on the original vectors.
+makes a table of its inner products with all codewords; a candidate's score is the sum of `BOOKS` entries over the stored norm. The `SHORTLIST` candidates of
+all that score best are scored exactly, in double precision, on the original vectors.
 
-Queries are a stated set: blocks of queries meet chunks of candidates by an equi-join on the chunk, and each meeting gives the few nearest of each query.
+Queries are a stated set: blocks of queries meet chunks of codes by an equi-join on the chunk, and each meeting gives the few best of each query. Original
+vectors are fetched for shortlisted candidates only.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-BOOKS, WORDS, BEAM = 8, 256, 4
+BOOKS, WORDS, BEAM, REFITS = 32, 64, 4, 3
 #: Vectors that the codebooks are fitted to, at most; all vectors are indexed.
-SAMPLE = 16_384
-CHUNK, BLOCK, RERANK = 4096, 4096, 320
+SAMPLE = 8192
+#: Candidates of a query that are scored exactly, however many there are in all. Rows of a chunk of codes and of a block of queries.
+SHORTLIST, CHUNK, BLOCK = 128, 16_384, 256
 SEED = 9
 
 
@@ -68,7 +70,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(book[codes[:, i]] for i, book in enumerate(books))
 
 
-def fit(x: np.ndarray, rounds: int = 2) -> np.ndarray:
+def fit(x: np.ndarray, rounds: int = REFITS) -> np.ndarray:
     """Codebooks (books x words x dimensions, float32) for unit vectors."""
     rng = np.random.default_rng(SEED)
     x = x.astype(np.float32)
@@ -78,12 +80,13 @@ def fit(x: np.ndarray, rounds: int = 2) -> np.ndarray:
         rest = rest - books[-1][((books[-1] ** 2).sum(1) - 2 * rest @ books[-1].T).argmin(1)]
     books = np.stack(books)
     for _ in range(rounds):
-        codes = encode(x, books).astype(np.int64) + np.arange(BOOKS) * WORDS
+        codes = encode(x, books).astype(np.int64)
         gram, side = np.eye(BOOKS * WORDS) * 1e-2, np.zeros((BOOKS * WORDS, x.shape[1]))
         for i in range(BOOKS):
-            np.add.at(side, codes[:, i], x)
+            mine = slice(i * WORDS, (i + 1) * WORDS)
+            np.add.at(side[mine], codes[:, i], x)
             for j in range(BOOKS):
-                gram += np.bincount(codes[:, i] * BOOKS * WORDS + codes[:, j], minlength=gram.size).reshape(gram.shape)
+                gram[mine, j * WORDS : (j + 1) * WORDS] += np.bincount(codes[:, i] * WORDS + codes[:, j], minlength=WORDS * WORDS).reshape(WORDS, WORDS)
         books = np.linalg.solve(gram, side + 1e-2 * books.reshape(-1, x.shape[1])).astype(np.float32).reshape(books.shape)
     return books
 
@@ -106,53 +109,52 @@ def _index(books: np.ndarray):
     def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """One row for a chunk of candidates."""
         pdf = pdf.sort_values("vec_id", kind="stable")
-        x = _matrix(pdf["embedding"])
-        codes = encode(_unit(x).astype(np.float32), books)
+        codes = encode(_unit(_matrix(pdf["embedding"])).astype(np.float32), books)
         norms = np.sqrt((decode(codes, books).astype(np.float64) ** 2).sum(1))
-        return pd.DataFrame({"chunk": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()]})
+        return pd.DataFrame({"chunk": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [norms.astype(np.float32).tobytes()]})
 
     return index
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"query_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "queries": [_matrix(pdf["embedding"]).tobytes()]})
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"block": [key[0]], "query_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "queries": [_matrix(pdf["embedding"]).tobytes()]})
 
 
-def _search(books: np.ndarray, k: int, rerank: int):
+def _search(books: np.ndarray, shortlist: int):
     words = books.reshape(-1, books.shape[2]).astype(np.float64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
-                x, q = (np.frombuffer(row[c], np.float64).reshape(-1, books.shape[2]) for c in ("vectors", "queries"))
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).astype(np.int64) + np.arange(len(books)) * books.shape[1]
-                norms = np.frombuffer(row["norms"], np.float64)
-                norms = np.where(norms > 0, norms, 1.0)
-                ux, found = _unit(x), [[], [], []]
-                for lo in range(0, len(q), 64):
-                    uq = _unit(q[lo : lo + 64])
-                    lut = (uq @ words.T).astype(np.float32)
-                    score = np.zeros((len(uq), len(ids)), np.float32)
-                    for i in range(codes.shape[1]):
-                        score += lut[:, codes[:, i]]
-                    score /= norms.astype(np.float32)
-                    score[qids[lo : lo + 64, None] == ids] = -np.inf
-                    n = min(rerank, len(ids))
-                    near = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(uq), 1))
-                    for i, at in enumerate(near):
-                        at = np.sort(at[ids[at] != qids[lo + i]])
-                        exact = (ux[at] * uq[i]).sum(1)
-                        best = np.lexsort((ids[at], -exact))[:k]
-                        for col, v in zip(found, (np.full(len(best), qids[lo + i]), ids[at][best], exact[best]), strict=True):
-                            col.append(v)
-                if found[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_buffer() for c in ("ids", "codes", "norms", "query_ids", "queries")}
+                ids, qids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["norms"], np.float32)
+                q = np.frombuffer(row["queries"], np.float64).reshape(-1, books.shape[2])
+                codes = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).T) + np.arange(len(books))[:, None] * books.shape[1]
+                scale = 1 / np.where(norms > 0, norms, np.float32(1))
+                n = min(shortlist, len(ids))
+                for lo in range(0, len(q), 32):
+                    lut = (_unit(q[lo : lo + 32]) @ words.T).astype(np.float32)
+                    score = np.zeros((len(lut), len(ids)), np.float32)
+                    for code in codes:
+                        score += lut[:, code]
+                    score *= scale
+                    score[qids[lo : lo + 32, None] == ids] = -np.inf
+                    near = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                    found, who = np.take_along_axis(score, near, 1).ravel(), np.repeat(qids[lo : lo + 32], n)
+                    other = found > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(who[other]), pa.array(ids[near].ravel()[other]), pa.array(found[other])], ["query_id", "vec_id", "approximate"])
 
     return search
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RERANK) -> DataFrame:
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (_unit(batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1)) for c in ("query", "embedding"))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array((a * b).sum(1))], ["query_id", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of `queries` the k rows of `vectors` found nearest by cosine, without the one of its own id.
 
     Both tables: vec_id long, embedding array of numbers. Ties go to the smaller vec_id. A null vec_id, and vectors that are null, empty, zero, or
@@ -160,7 +162,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RE
     frequent). Rows that repeat a vec_id count once, with the smallest vector. Fewer candidates than k give fewer rows; an empty table gives none.
 
     Of equal vectors only the k + 1 smallest ids are candidates: no more can be among a query's k nearest. Exact scores are cosines in double
-    precision. Recall follows from `rerank` (candidates scored exactly in each chunk of CHUNK).
+    precision. Recall follows from `shortlist`: how many candidates of a query are scored exactly, those whose codes score best.
     """
     spark = vectors.sparkSession
     scratch.ship(spark)
@@ -181,18 +183,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = RE
     kept = scratch.save(every.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"), "distinct")
     asked = scratch.save(sound(queries).where(F.size("embedding") == size["d"]), "queries")
     n, n_asked = kept.count(), asked.count()
-    if not n_asked:
+    if not n_asked or not n:
         return none
     sample = kept.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE)
     books = np.frombuffer(sample.groupBy().applyInPandas(lambda pdf: _fit(pdf), "books binary").first()["books"], np.float32).reshape(BOOKS, WORDS, size["d"])
 
     chunks, blocks = math.ceil(n / CHUNK), math.ceil(n_asked / BLOCK)
     by = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    index = scratch.save(kept.withColumn("chunk", by(chunks)).groupBy("chunk").applyInPandas(_index(books), "chunk int, ids binary, vectors binary, codes binary, norms binary"), "index")
-    packed = asked.withColumn("block", by(blocks)).groupBy("block").applyInPandas(lambda pdf: _pack(pdf), "query_ids binary, queries binary")
-    met = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).join(index, "chunk")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # here a row is a whole chunk with a block of queries
-    found = scratch.save(met.mapInArrow(_search(books, k, rerank), "query_id long, vec_id long, score double"), "found")
-    scratch.ship(spark)
+    upto = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    index = scratch.save(kept.withColumn("chunk", by(chunks)).groupBy("chunk").applyInPandas(_index(books), "chunk int, ids binary, codes binary, norms binary"), "index")
+    packed = scratch.save(asked.withColumn("block", by(blocks)).groupBy("block").applyInPandas(lambda key, pdf: _pack(key, pdf), "block int, query_ids binary, queries binary"), "blocks")
+    met = packed.withColumn("chunk", upto(chunks)).join(index.withColumn("block", upto(blocks)), ["chunk", "block"])
+    near = scratch.save(met.mapInArrow(_search(books, shortlist), "query_id long, vec_id long, approximate float"), "near")
+    best = Window.partitionBy("query_id").orderBy(F.desc("approximate"), "vec_id")
+    short = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= shortlist).select("query_id", "vec_id")
+    pairs = short.join(kept, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+    found = scratch.save(pairs.mapInArrow(_exact, "query_id long, vec_id long, score double"), "found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
