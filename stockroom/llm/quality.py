@@ -26,19 +26,27 @@ _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of compressed bytes over bytes. `documents`: (from this many bytes on, least, most) for whole texts, by length; `chunk`: for chunks.
+    """Limits of compressed bytes over bytes. `documents`: (bytes, least, most) for whole texts, in between by the logarithm of the length, behind the last as
+    there; `chunk`: for chunks.
 
-    A text is cut into bytes // chunk_bytes chunks, even to a byte, so each has chunk_bytes to 1.5 times as many and no tail is left over; one of fewer
-    than two chunks is measured whole. A document is rejected if its ratio is outside its band, or if more than `bad_share` of its chunks are outside
-    theirs. Texts of under the first length are too short for a ratio to tell anything and have no band.
+    Up to 4 kB, the least values lie about 0.01 below the smallest ratio that documents labelled as good have at each length, the most values above the
+    largest, both in the training fold of the labels; from 8 kB on the least are lower still, as long texts of few words, such as licenses, compress well. A text is cut into bytes // chunk_bytes chunks, even to a byte, so each has chunk_bytes to 1.5 times as many and
+    no tail is left over; one of fewer than two chunks is measured whole. A document is rejected if its ratio is outside its band, or if more than
+    `bad_share` of its chunks are outside theirs. Texts of under the first length are too short for a ratio to tell anything and have no band.
     """
 
     level: int = 3
     chunk_bytes: int = 512
-    documents: tuple[tuple[int, float, float], ...] = ((256, 0.42, 0.78), (512, 0.38, 0.72), (1024, 0.34, 0.66), (2048, 0.30, 0.60), (4096, 0.28, 0.56), (16384, 0.26, 0.54), (65536, 0.24, 0.52))
+    documents: tuple[tuple[int, float, float], ...] = ((256, 0.50, 0.80), (512, 0.49, 0.75), (1024, 0.465, 0.68), (2048, 0.44, 0.62), (4096, 0.425, 0.57), (8192, 0.395, 0.54), (16384, 0.37, 0.53), (32768, 0.355, 0.52), (65536, 0.34, 0.52), (262144, 0.32, 0.52), (1 << 20, 0.29, 0.52))
     chunk: tuple[float, float] = (0.42, 0.74)
     bad_share: float = 0.0
 
+    def limits(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most ratio of whole texts of these sizes; 0 and infinity below the first."""
+        at, least, most = zip(*self.documents, strict=True)
+        some, x = size >= at[0], np.log2(np.maximum(size, 1))
+        return np.where(some, np.interp(x, np.log2(at), least), 0.0), np.where(some, np.interp(x, np.log2(at), most), np.inf)
+
 
 def _repeats(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Words of each text that lie in a 3-word window found twice or more in it."""
@@ -107,7 +115,7 @@ def _rate(bands: Bands):
             for at, part in textvec.slices(batch.column("row").field("text")):
                 found = counts(part)
                 buf, ends = textvec.flat(part)
-                whole, share = np.full(len(part), np.nan), np.full(len(part), np.nan)
+                whole, share, size = np.full(len(part), np.nan), np.full(len(part), np.nan), np.diff(ends)
                 for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                     if b - a >= bands.documents[0][0]:
                         whole[i] = len(press.compress(buf[a:b])) / (b - a)
@@ -115,22 +123,16 @@ def _rate(bands: Bands):
                             cuts = [a + (b - a) * j // n for j in range(n + 1)]
                             parts = (len(press.compress(buf[x:y])) / (y - x) for x, y in itertools.pairwise(cuts))
                             share[i] = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in parts) / n
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(part)), *(pa.array(found[n].astype(np.int64)) for n in COUNTS), pa.array(np.diff(ends)), *(pa.array(x, from_pandas=True) for x in (whole, share))], ["row", *COUNTS, "n_bytes", "ratio", "bad_chunks"])
+                least, most = bands.limits(size)
+                inside = np.isnan(whole) | ((whole >= least) & (whole <= most) & (np.nan_to_num(share) <= bands.bad_share))
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(part)), *(pa.array(found[n].astype(np.int64)) for n in COUNTS), pa.array(size), *(pa.array(x, from_pandas=True) for x in (whole, share)), pa.array(inside)], ["row", *COUNTS, "n_bytes", "ratio", "bad_chunks", "inside"])
 
     return rate
 
 
-def _verdict(bands: Bands):
-    ratio, size = F.col("ratio"), F.col("n_bytes")
-    inside = F.lit(True)
-    for least_bytes, least, most in bands.documents:
-        inside = F.when(size >= least_bytes, ratio.between(least, most)).otherwise(inside)
-    return F.coalesce(inside, F.lit(True)) & (F.coalesce("bad_chunks", F.lit(0.0)) <= bands.bad_share)
-
-
 def rate(docs: DataFrame, bands: Bands = Bands(), column: str = "quality") -> DataFrame:
     """All rows and columns of `docs`, with one more column: struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bytes, ratio, bad_chunks
-    (share of chunks outside their band), base_failed, kept. A column of `docs` with that name is replaced.
+    (share of chunks outside their band), inside (the bands' verdict), base_failed, kept. A column of `docs` with that name is replaced.
 
     Words are runs of bytes other than ASCII white space. base_failed: under 50 words, or over half of them in repeated 3-word windows. kept: not
     base_failed, and inside the bands. A null or blank text has no words: base_failed. Texts too short for a band have a null ratio; those of one
@@ -139,8 +141,8 @@ def rate(docs: DataFrame, bands: Bands = Bands(), column: str = "quality") -> Da
     scratch.ship(docs.sparkSession)
     names = [c for c in docs.columns if c != column]
     rows = docs.select(F.struct(*(F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in names)).alias("row"))
-    schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("n_bytes", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("bad_chunks", T.DoubleType())])
+    schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("n_bytes", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("bad_chunks", T.DoubleType()), T.StructField("inside", T.BooleanType())])
     out = rows.mapInArrow(_rate(bands), schema)
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & _verdict(bands))
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("inside"))
     return out.select("row.*", F.struct(*(c for c in out.columns if c != "row")).alias(column))
