@@ -1,13 +1,13 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated scores.
 
-Whole texts differ in thousands of words that say nothing about toxicity, so the index holds the terms that tell the labels apart: those whose presence
-has a likelihood ratio (G squared) of `LEAST_G2` and odds at least `LEAST_ODDS` times higher in one class. One more term, with weight 1, is in every
-text: it keeps a single weak term from looking like a full match, and makes texts without any term neighbours of each other.
-
-Examples lie in blocks of `BLOCK`; for each term and block the largest weight is stored. A query adds up these to an upper bound for each block, scores
-blocks from the highest bound down, and stops when no block left can reach its k-th best cosine: the neighbours are exact. All examples that tie with
-the k-th share the places that are left. Votes are weighted by closeness and by how many labelled rows of its class an example stands for; leave-one-out votes of the
-examples give the logistic map from votes to probabilities.
+Every word of every example is a term. Document frequencies are counted over all documents. A term's weight is (1 + ln tf) * idf * association, where
+association is the term's likelihood ratio (G squared) against the label among the examples: whole texts differ in hundreds of words that say nothing of
+toxicity, and by plain TF-IDF (`associate=False`) the nearest examples are those of like topic. No term is left out.
+
+Examples lie in blocks of `BLOCK`; for each term and block that it occurs in, the largest weight is stored. A query adds up these to an upper bound for each
+block, scores blocks from the highest bound down, and stops when no block left can reach its k-th best cosine: the neighbours are exact. All examples
+that tie with the k-th share the places that are left. Votes are weighted by closeness and by how many labelled rows of its class an example stands for;
+leave-one-out votes of the examples give the logistic map from votes to probabilities.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 from . import scratch, textvec
 
 #: Labelled examples of each class that are indexed at most. Their choice goes by a hash of the id.
-EXAMPLES = 4096
-TERMS, LEAST_G2, LEAST_ODDS = 2048, 24.0, 4.0
+EXAMPLES = 2048
 NEIGHBOURS, BLOCK, SEED = 15, 64, 6
 
 
@@ -36,41 +35,56 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes(), words.doc
 
 
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places lo[i] .. lo[i] + n[i] - 1, one after another."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 @dataclass
 class Index:
-    """vocabulary: ascending hashes. Postings of term t in block b: examples and weights post[at[t, b]:at[t, b + 1]]. The last term is in every text."""
+    """vocabulary: ascending hashes. Cells of term t, one a block it occurs in: cell_at[t]:cell_at[t + 1], with the block, the largest weight in it (ceiling), and
+    postings cell_post[c]:cell_post[c + 1] of examples and weights. prior: share of toxic ones among labelled rows."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
-    at: np.ndarray
+    cell_at: np.ndarray
+    block: np.ndarray
+    ceiling: np.ndarray
+    cell_post: np.ndarray
     post: np.ndarray
     weight: np.ndarray
-    ceiling: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     stands_for: np.ndarray
+    prior: float
     slope: float
     intercept: float
 
     def vector(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms, the last one added, and their weights, of length 1."""
-        w = np.append((1 + np.log(n)) * self.idf[term], 1.0)
-        return np.append(term, len(self.idf)), w / np.sqrt((w * w).sum())
+        """Terms of a weight above 0 and their weights, of length 1."""
+        w = (1 + np.log(n)) * self.idf[term]
+        some = w > 0
+        return term[some], w[some] / np.sqrt((w * w).sum()) if some.any() else w[some]
 
     def neighbours(self, term: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples whose cosine is that of the k-th nearest or more, nearest first, and their cosines; `leave` is left out."""
-        most, best, kth = w @ self.ceiling[term], np.zeros(len(self.ids)), -1.0
-        order = np.argsort(-most, kind="stable")
-        done = 0
+        """Examples with a term of the query whose cosine is that of the k-th nearest or more, nearest first, and their cosines; `leave` is left out."""
+        n = self.cell_at[term + 1] - self.cell_at[term]
+        cells, of_cell = _spread(self.cell_at[term], n), np.repeat(w, n)
+        most = np.bincount(self.block[cells], of_cell * self.ceiling[cells], -(-len(self.ids) // BLOCK))
+        by_block = np.argsort(self.block[cells], kind="stable")
+        cells, of_cell = cells[by_block], of_cell[by_block]
+        starts = np.searchsorted(self.block[cells], np.arange(len(most) + 1))
+        order, best, kth, done = np.argsort(-most, kind="stable"), np.zeros(len(self.ids)), 1e-9, 0
         while done < len(order) and most[order[done]] >= kth - 1e-12:
             blocks = order[done : done + max(4, done)]
             done += len(blocks)
-            lo, hi = self.at[np.ix_(term, blocks)], self.at[np.ix_(term, blocks + 1)]
-            n = (hi - lo).ravel()
-            where = np.repeat(lo.ravel() - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            best += np.bincount(self.post[where], np.repeat(np.repeat(w, len(blocks)), n) * self.weight[where], minlength=len(best))
+            mine = _spread(starts[blocks], starts[blocks + 1] - starts[blocks])
+            c = cells[mine]
+            n = self.cell_post[c + 1] - self.cell_post[c]
+            where = _spread(self.cell_post[c], n)
+            best += np.bincount(self.post[where], np.repeat(of_cell[mine], n) * self.weight[where], minlength=len(best))
             if leave >= 0:
-                best[leave] = -2.0
+                best[leave] = 0.0
             k = min(NEIGHBOURS, len(best))
             kth = max(float(np.partition(best, len(best) - k)[len(best) - k]), 1e-9)
         found = np.flatnonzero(best >= kth - 1e-12)
@@ -78,28 +92,26 @@ class Index:
         return found, np.minimum(best[found], 1.0)
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of toxic among the neighbours, weighted by closeness; those that tie for the last places share these places."""
+        """Share of toxic among the neighbours, weighted by closeness; those that tie for the last places share these places. Without any, the prior."""
         w = self.stands_for[found] * cosine / (1.02 - cosine)
         if len(found) > NEIGHBOURS:
             tied = cosine <= cosine[-1] + 1e-12
             w[tied] *= (NEIGHBOURS - np.count_nonzero(~tied)) / np.count_nonzero(tied)
-        return float((w * self.toxic[found]).sum() / w.sum()) if len(found) else 0.0
+        return float((w * self.toxic[found]).sum() / w.sum()) if len(found) else self.prior
 
     def score(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * _logit(np.array(vote)) + self.intercept, -40, 40))))
 
 
-def _postings(rows: list[tuple[np.ndarray, np.ndarray]], terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    blocks = -(-len(rows) // BLOCK)
+def _postings(rows: list[tuple[np.ndarray, np.ndarray]], terms: int) -> tuple[np.ndarray, ...]:
+    """cell_at, block, ceiling, cell_post, post, weight of an Index."""
     doc = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
     term, weight = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((doc, term))
-    doc, term, weight = doc[order], term[order], weight[order]
-    cell = term * (blocks + 1) + doc // BLOCK
-    at = np.searchsorted(cell, np.arange(terms * (blocks + 1))).reshape(terms, blocks + 1)
-    ceiling = np.zeros((terms, blocks))
-    np.maximum.at(ceiling, (term, doc // BLOCK), weight)
-    return at, doc, weight, ceiling
+    doc, term, weight = doc[order], term[order], weight[order].astype(np.float32)
+    first = np.flatnonzero(np.append(True, (np.diff(term) > 0) | (np.diff(doc // BLOCK) > 0))) if len(term) else np.zeros(0, np.int64)
+    ceiling = np.maximum.reduceat(weight, first) if len(term) else weight
+    return np.searchsorted(term[first], np.arange(terms + 1)), (doc[first] // BLOCK).astype(np.int32), ceiling, np.append(first, len(term)).astype(np.int32), doc.astype(np.int32), weight
 
 
 def _logit(vote: np.ndarray) -> np.ndarray:
@@ -120,36 +132,35 @@ def _calibrate(vote: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, f
     return (float(max(beta[0], 0.0)), float(beta[1]))
 
 
-def build(ids: np.ndarray, toxic: np.ndarray, terms: list[np.ndarray], rows: dict[int, int]) -> Index:
-    """Index of examples. terms: each example's word hashes, with repeats. rows: labelled rows of each class that the examples stand for."""
-    found = [np.unique(t, return_counts=True) for t in terms]
-    hashes, code = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-    doc = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    a, df = np.bincount(code, toxic[doc], len(hashes)), np.bincount(code, minlength=len(hashes)).astype(float)
-    b = df - a
+def association(toxic: np.ndarray, code: np.ndarray, doc: np.ndarray, terms: int) -> np.ndarray:
+    """G squared of each term's presence against the label; pairs (code, doc) are distinct."""
+    n, n1 = len(toxic), int(toxic.sum())
+    a, df = np.bincount(code, toxic[doc], terms), np.bincount(code, minlength=terms).astype(float)
 
     def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
         return np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0)
 
-    n = n1 + n0
-    g2 = 2 * (part(a, df * n1 / n) + part(b, df * n0 / n) + part(n1 - a, (n - df) * n1 / n) + part(n0 - b, (n - df) * n0 / n))
-    odds = np.log((a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5)))
-    good = np.flatnonzero((g2 >= LEAST_G2) & (np.abs(odds) >= np.log(LEAST_ODDS)))
-    good = np.sort(good[np.lexsort((hashes[good], -g2[good]))][:TERMS])
-    vocabulary, idf = hashes[good], np.log((1 + n) / (1 + df[good])) + 1
-    index = Index(vocabulary, idf, *[None] * 4, ids, toxic.astype(float), None, 1.0, 0.0)
-    vectors = []
-    for t, c in found:
-        spot = np.searchsorted(vocabulary, t)
-        ok = vocabulary[np.minimum(spot, len(vocabulary) - 1)] == t if len(vocabulary) else np.zeros(len(t), bool)
-        vectors.append(index.vector(spot[ok], c[ok]))
-    first = np.array([v[0][v[1][:-1].argmax()] if len(v[0]) > 1 else len(vocabulary) for v in vectors])
+    g2 = 2 * (part(a, df * n1 / n) + part(df - a, df * (n - n1) / n) + part(n1 - a, (n - df) * n1 / n) + part(n - n1 - df + a, (n - df) * (n - n1) / n))
+    return np.maximum(g2, 0.0)
+
+
+def build(ids: np.ndarray, toxic: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], rows: dict[int, int], vocabulary: np.ndarray, df: np.ndarray, docs: int, associate: bool = True) -> Index:
+    """Index of examples. terms: each example's distinct word hashes, ascending, and their counts. rows: labelled rows of each class that the examples stand for.
+    vocabulary: all hashes of the examples, ascending; df: how many of `docs` documents have them."""
+    code = [np.searchsorted(vocabulary, t) for t, _ in terms]
+    doc = np.repeat(np.arange(len(terms)), [len(t) for t, _ in terms])
+    idf = np.log((1 + docs) / (1 + df)) + 1
+    if associate and 0 < toxic.sum() < len(toxic):
+        idf = idf * association(toxic, np.concatenate(code), doc, len(vocabulary))
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
+    index = Index(vocabulary, idf, *[None] * 6, ids, toxic.astype(float), None, rows.get(1, 0) / max(sum(rows.values()), 1), 1.0, 0.0)
+    vectors = [index.vector(c, n) for c, (_, n) in zip(code, terms, strict=True)]
+    first = np.array([v[0][v[1].argmax()] if len(v[0]) else len(vocabulary) for v in vectors])
     order = np.lexsort((ids, toxic, first))  # like examples share blocks, which makes the bounds tight
     vectors = [vectors[i] for i in order]
     index.ids, index.toxic = ids[order], toxic[order].astype(float)
     index.stands_for = np.where(index.toxic == 1, rows.get(1, 0) / max(n1, 1), rows.get(0, 0) / max(n0, 1))
-    index.at, index.post, index.weight, index.ceiling = _postings(vectors, len(vocabulary) + 1)
+    index.cell_at, index.block, index.ceiling, index.cell_post, index.post, index.weight = _postings(vectors, len(vocabulary))
     votes = np.array([index.vote(*index.neighbours(*v, leave=i)) for i, v in enumerate(vectors)])
     index.slope, index.intercept = _calibrate(votes, index.toxic, index.stands_for)
     return index
@@ -160,23 +171,52 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for at, part in textvec.slices(batch.column("text")):
             h, doc = _terms(part)
             ptr = np.searchsorted(doc, np.arange(len(part) + 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(part)) for c in ("doc_id", "toxic")), pa.array([h[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())], ["doc_id", "toxic", "terms"])
+            found = [np.unique(h[a:b], return_counts=True) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(part)) for c in ("doc_id", "toxic")), *(pa.array([f[i].astype(t).tobytes() for f in found], pa.binary()) for i, t in enumerate((np.uint64, np.int32)))], ["doc_id", "toxic", "terms", "counts"])
+
 
+def _all_terms(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"vocabulary": [np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in pdf["terms"]])).tobytes()]})
 
-def _build(rows: dict[int, int]):
+
+def _frequencies(vocabulary: np.ndarray):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(place in the vocabulary, documents with it) of one task."""
+        sums = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for _, part in textvec.slices(batch.column("text")):
+                h, doc = _terms(part)
+                spot = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                ok = vocabulary[spot] == h
+                pair = np.unique(spot[ok] * len(part) + doc[ok])
+                sums += np.bincount(pair // len(part), minlength=len(vocabulary))
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["term", "n"])
+
+    return count
+
+
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"term": [pdf["term"].to_numpy(np.int64).tobytes()], "n": [pdf["n"].to_numpy(np.int64).tobytes()]})
+
+
+def _build(rows: dict[int, int], vocabulary: np.ndarray, df: np.ndarray, docs: int, associate: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "toxic"], kind="stable")
-        index = build(pdf["doc_id"].to_numpy(np.int64), pdf["toxic"].to_numpy(np.int64), [np.frombuffer(t, np.uint64) for t in pdf["terms"]], rows)
+        terms = [(np.frombuffer(t, np.uint64), np.frombuffer(n, np.int32)) for t, n in zip(pdf["terms"], pdf["counts"], strict=True)]
+        index = build(pdf["doc_id"].to_numpy(np.int64), pdf["toxic"].to_numpy(np.int64), terms, rows, vocabulary, df, docs, associate)
         return pd.DataFrame({"index": [pickle.dumps(index.__dict__)]})
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index | None:
-    """Index of at most `examples` labelled documents of each class outside the held-out fold, by a hash of the id; None without any.
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, associate: bool = True) -> Index | None:
+    """Index of at most `examples` labelled documents of each class outside the held-out fold, by a hash of the id; None without any. associate: weight terms by
+    what they tell of the label, not by TF-IDF alone.
 
     docs: doc_id, text. labels: doc_id, toxic (0 or 1); rows with nulls are left out, and of a document with both labels 1 counts. A labelled document
-    without text is an example without words.
+    without text is an example without words; of texts that repeat a doc_id, the first in order is the example. What one task and the driver hold
+    follows the distinct words of the examples, not the documents; their frequencies are counted over all documents, where they lie.
     """
     scratch.ship(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~scratch.held_out(F.col("doc_id")))
@@ -186,35 +226,38 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(examples) for c in (0, 1)]
     chosen = scratch.save(chosen[0].unionAll(chosen[1]), "examples")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most 2 * examples ids
-    terms = scratch.save(texts.mapInArrow(_example_terms, "doc_id long, toxic int, terms binary").dropDuplicates(["doc_id"]), "example-terms")
-    made = terms.groupBy().applyInPandas(_build(rows), "index binary").first()  # at most 2 * examples rows
-    return Index(**pickle.loads(made["index"])) if made else None
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    terms = scratch.save(texts.mapInArrow(_example_terms, "doc_id long, toxic int, terms binary, counts binary"), "example-terms")
+    made = terms.groupBy().applyInPandas(_all_terms, "vocabulary binary").first()  # at most 2 * examples rows
+    if made is None:
+        return None
+    vocabulary, df = np.frombuffer(made["vocabulary"], np.uint64), np.zeros(len(made["vocabulary"]) // 8, np.int64)
+    if len(vocabulary):
+        counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        found = counts.groupBy().applyInPandas(_packed, "term binary, n binary").first()  # at most a row a term of the vocabulary
+        df[np.frombuffer(found["term"], np.int64)] = np.frombuffer(found["n"], np.int64)
+    made = terms.groupBy().applyInPandas(_build(rows, vocabulary, df, docs.count(), associate), "index binary").first()
+    return Index(**pickle.loads(made["index"]))
 
 
 def _score(index: Index | None):
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple] = {}
         for batch in batches:
             for at, part in textvec.slices(batch.column("text")):
                 got = [(0.0, 0.0, [])] * len(part)
                 if index is not None:
                     h, doc = _terms(part)
-                    spot = np.searchsorted(index.vocabulary, h)
-                    ok = index.vocabulary[np.minimum(spot, len(index.vocabulary) - 1)] == h if len(index.vocabulary) else np.zeros(len(h), bool)
-                    pair, n = np.unique(doc[ok] * len(index.idf) + spot[ok], return_counts=True)
-                    ptr = np.searchsorted(pair, np.arange(len(part) + 1) * len(index.idf))
+                    size = max(len(index.vocabulary), 1)
+                    spot = np.minimum(np.searchsorted(index.vocabulary, h), size - 1)
+                    ok = index.vocabulary[spot] == h if len(index.vocabulary) else np.zeros(len(h), bool)
+                    pair, n = np.unique(doc[ok] * size + spot[ok], return_counts=True)
+                    ptr = np.searchsorted(pair, np.arange(len(part) + 1) * size)
                     for i, (a, b) in enumerate(zip(ptr[:-1], ptr[1:], strict=True)):
-                        term, count = pair[a:b] - i * len(index.idf), n[a:b]
-                        key = term.tobytes() + count.tobytes()
-                        if key not in seen:
-                            if len(seen) >= 100_000:
-                                seen.clear()
-                            found, cosine = index.neighbours(*index.vector(term, count))
-                            vote = index.vote(found, cosine)
-                            seen[key] = (index.score(vote), vote, [{"doc_id": int(index.ids[x]), "toxic": int(index.toxic[x]), "cosine": float(c)} for x, c in zip(found[:5], cosine[:5], strict=True)])
-                        got[i] = seen[key]
+                        found, cosine = index.neighbours(*index.vector(pair[a:b] - i * size, n[a:b]))
+                        vote = index.vote(found, cosine)
+                        got[i] = (index.score(vote), vote, [{"doc_id": int(index.ids[x]), "toxic": int(index.toxic[x]), "cosine": float(c)} for x, c in zip(found[:5], cosine[:5], strict=True)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], evidence)], ["doc_id", "score", "vote", "evidence"])
 
     return run
@@ -222,9 +265,9 @@ def _score(index: Index | None):
 
 def score(docs: DataFrame, index: Index | None) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, score (calibrated probability), vote (of the neighbours), evidence (the five nearest examples:
-    doc_id, toxic, cosine; of equal cosines the smaller ids).
+    doc_id, toxic, cosine; of equal cosines the smaller ids; fewer if fewer share a term).
 
-    A null or empty text has no terms and gets what other texts without terms get. Without an index (no labels) all scores are 0 and evidence is empty. Null
+    A null or empty text, and one without a known term, has no neighbours: its vote is the share of toxic ones among the labels. Without an index (no labels) all scores are 0 and evidence is empty. Null
     and repeated doc_ids are kept as they are. An empty table gives no rows. Other columns are not looked at.
     """
     scratch.ship(docs.sparkSession)
