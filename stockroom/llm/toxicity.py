@@ -6,7 +6,8 @@ toxicity, and by plain TF-IDF (`associate=False`) the nearest examples are those
 
 Examples lie in blocks of `BLOCK`; for each term and block that it occurs in, the largest weight is stored. A query adds up these to an upper bound for each
 block, scores blocks from the highest bound down, and stops when no block left can reach its k-th best cosine: the neighbours are exact. All examples
-that tie with the k-th share the places that are left. Votes are weighted by closeness and by how many labelled rows of its class an example stands for;
+that tie with the k-th share the places that are left. Terms that more than one in `FREQUENT` examples has are not worth an index: their weights lie in
+a dense table, whose exact sums go into the bounds. Votes are weighted by closeness and by how many labelled rows of its class an example stands for;
 leave-one-out votes of the examples give the logistic map from votes to probabilities.
 """
 
@@ -26,7 +27,7 @@ from . import scratch, textvec
 
 #: Labelled examples of each class that are indexed at most. Their choice goes by a hash of the id.
 EXAMPLES = 2048
-NEIGHBOURS, BLOCK, SEED = 15, 64, 6
+NEIGHBOURS, BLOCK, FREQUENT, SEED = 15, 64, 16, 6
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +44,8 @@ def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     """vocabulary: ascending hashes. Cells of term t, one a block it occurs in: cell_at[t]:cell_at[t + 1], with the block, the largest weight in it (ceiling), and
-    postings cell_post[c]:cell_post[c + 1] of examples and weights. prior: share of toxic ones among labelled rows."""
+    postings cell_post[c]:cell_post[c + 1] of examples and weights. head: row of a frequent term in `dense` (terms x examples), which has no cells; else -1.
+    prior: share of toxic ones among labelled rows."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
@@ -53,6 +55,8 @@ class Index:
     cell_post: np.ndarray
     post: np.ndarray
     weight: np.ndarray
+    head: np.ndarray
+    dense: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     stands_for: np.ndarray
@@ -68,25 +72,30 @@ class Index:
 
     def neighbours(self, term: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples with a term of the query whose cosine is that of the k-th nearest or more, nearest first, and their cosines; `leave` is left out."""
+        size, row = len(self.ids), self.head[term]
+        k = min(NEIGHBOURS, size)
+        best = w[row >= 0] @ self.dense[row[row >= 0]]
+        term, w = term[row < 0], w[row < 0]
         n = self.cell_at[term + 1] - self.cell_at[term]
         cells, of_cell = _spread(self.cell_at[term], n), np.repeat(w, n)
-        most = np.bincount(self.block[cells], of_cell * self.ceiling[cells], -(-len(self.ids) // BLOCK))
-        by_block = np.argsort(self.block[cells], kind="stable")
+        blocks = self.block[cells]
+        most = np.maximum.reduceat(best, np.arange(0, size, BLOCK)) + np.bincount(blocks, of_cell * self.ceiling[cells], -(-size // BLOCK))
+        by_block = np.argsort(blocks, kind="stable")
         cells, of_cell = cells[by_block], of_cell[by_block]
-        starts = np.searchsorted(self.block[cells], np.arange(len(most) + 1))
-        order, best, kth, done = np.argsort(-most, kind="stable"), np.zeros(len(self.ids)), 1e-9, 0
+        ends = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=len(most)))])
+        order, kth, done = np.argsort(-most, kind="stable"), 1e-9, 0
         while done < len(order) and most[order[done]] >= kth - 1e-12:
-            blocks = order[done : done + max(4, done)]
-            done += len(blocks)
-            mine = _spread(starts[blocks], starts[blocks + 1] - starts[blocks])
-            c = cells[mine]
+            mine = order[done : done + max(8, 2 * done)]
+            mine = mine[most[mine] >= kth - 1e-12]
+            done += len(mine)
+            some = _spread(ends[mine], ends[mine + 1] - ends[mine])
+            c = cells[some]
             n = self.cell_post[c + 1] - self.cell_post[c]
             where = _spread(self.cell_post[c], n)
-            best += np.bincount(self.post[where], np.repeat(of_cell[mine], n) * self.weight[where], minlength=len(best))
+            best += np.bincount(self.post[where], np.repeat(of_cell[some], n) * self.weight[where], minlength=size)
             if leave >= 0:
                 best[leave] = 0.0
-            k = min(NEIGHBOURS, len(best))
-            kth = max(float(np.partition(best, len(best) - k)[len(best) - k]), 1e-9)
+            kth = max(float(np.partition(best, size - k)[size - k]), 1e-9)
         found = np.flatnonzero(best >= kth - 1e-12)
         found = found[np.lexsort((self.ids[found], -best[found]))]
         return found, np.minimum(best[found], 1.0)
@@ -104,14 +113,20 @@ class Index:
 
 
 def _postings(rows: list[tuple[np.ndarray, np.ndarray]], terms: int) -> tuple[np.ndarray, ...]:
-    """cell_at, block, ceiling, cell_post, post, weight of an Index."""
+    """cell_at, block, ceiling, cell_post, post, weight, head, dense of an Index."""
     doc = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
     term, weight = (np.concatenate(x) for x in zip(*rows, strict=True))
+    often = np.flatnonzero(np.bincount(term, minlength=terms) > max(len(rows) / FREQUENT, BLOCK))
+    head = np.full(terms, -1, np.int32)
+    head[often] = np.arange(len(often))
+    dense, h = np.zeros((len(often), len(rows))), head[term] >= 0 if len(term) else np.zeros(0, bool)
+    dense[head[term[h]], doc[h]] = weight[h]
+    doc, term, weight = doc[~h], term[~h], weight[~h]
     order = np.lexsort((doc, term))
-    doc, term, weight = doc[order], term[order], weight[order].astype(np.float32)
-    first = np.flatnonzero(np.append(True, (np.diff(term) > 0) | (np.diff(doc // BLOCK) > 0))) if len(term) else np.zeros(0, np.int64)
+    doc, term, weight = doc[order], term[order], weight[order]
+    first = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(doc // BLOCK) != 0))) if len(term) else np.zeros(0, np.int64)
     ceiling = np.maximum.reduceat(weight, first) if len(term) else weight
-    return np.searchsorted(term[first], np.arange(terms + 1)), (doc[first] // BLOCK).astype(np.int32), ceiling, np.append(first, len(term)).astype(np.int32), doc.astype(np.int32), weight
+    return np.searchsorted(term[first], np.arange(terms + 1)), (doc[first] // BLOCK).astype(np.int32), ceiling, np.append(first, len(term)), doc.astype(np.int32), weight, head, dense
 
 
 def _logit(vote: np.ndarray) -> np.ndarray:
@@ -153,14 +168,14 @@ def build(ids: np.ndarray, toxic: np.ndarray, terms: list[tuple[np.ndarray, np.n
     if associate and 0 < toxic.sum() < len(toxic):
         idf = idf * association(toxic, np.concatenate(code), doc, len(vocabulary))
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    index = Index(vocabulary, idf, *[None] * 6, ids, toxic.astype(float), None, rows.get(1, 0) / max(sum(rows.values()), 1), 1.0, 0.0)
+    index = Index(vocabulary, idf, *[None] * 8, ids, toxic.astype(float), None, rows.get(1, 0) / max(sum(rows.values()), 1), 1.0, 0.0)
     vectors = [index.vector(c, n) for c, (_, n) in zip(code, terms, strict=True)]
     first = np.array([v[0][v[1].argmax()] if len(v[0]) else len(vocabulary) for v in vectors])
     order = np.lexsort((ids, toxic, first))  # like examples share blocks, which makes the bounds tight
     vectors = [vectors[i] for i in order]
     index.ids, index.toxic = ids[order], toxic[order].astype(float)
     index.stands_for = np.where(index.toxic == 1, rows.get(1, 0) / max(n1, 1), rows.get(0, 0) / max(n0, 1))
-    index.cell_at, index.block, index.ceiling, index.cell_post, index.post, index.weight = _postings(vectors, len(vocabulary))
+    index.cell_at, index.block, index.ceiling, index.cell_post, index.post, index.weight, index.head, index.dense = _postings(vectors, len(vocabulary))
     votes = np.array([index.vote(*index.neighbours(*v, leave=i)) for i, v in enumerate(vectors)])
     index.slope, index.intercept = _calibrate(votes, index.toxic, index.stands_for)
     return index
