@@ -34,16 +34,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity `ALIKE` or more): that of the smallest doc_id. Blank texts and rows without a doc_id are in no group and stay.
 
-    Rows that repeat a doc_id are one document: one of those with text stays, whichever.
+    Rows that repeat a doc_id are one document: of those with text the first in order of text and then of the other columns stays, so reruns agree.
     """
     found = scratch.save(near_duplicates(docs, *ALIKE), "near-duplicates")
     gone = found.where("not kept").select("doc_id").distinct()
     out = docs.join(scratch.small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-    twice = scratch.save(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("__twice")), "repeated")
+    twice = scratch.save(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias(OWN + "twice")), "repeated")
     if not (n := twice.count()):
         return out
-    out = scratch.save(out.join(scratch.small_side(twice, n), "doc_id", "left").withColumn("__twice", F.coalesce(F.col("__twice") & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))), "kept")
-    return out.where("not __twice").unionByName(out.where("__twice").dropDuplicates(["doc_id"])).select(*docs.columns)
+    several = F.coalesce(F.col(OWN + "twice") & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    out = scratch.save(out.join(scratch.small_side(twice, n), "doc_id", "left").withColumn(OWN + "twice", several), "kept")
+    first = out.where(OWN + "twice").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns)))).alias(OWN + "first"))
+    return out.where(f"not {OWN}twice").select(*docs.columns).unionByName(first.select(f"{OWN}first.*").select(*docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
