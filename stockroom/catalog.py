@@ -114,7 +114,7 @@ _FIRST = "f AS (SELECT size_bytes, hash, identity, min(path) AS path FROM d GROU
 
 
 def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.eligible(scratch.save(duplicates.digested(_files(spark, sf_dir)), "digests"))
+    return duplicates.staged(_files(spark, sf_dir))
 
 
 @query(f"WITH {FILES_SQL} SELECT size_bytes, count(*) AS n FROM files WHERE size_bytes > 0 GROUP BY 1 HAVING count(*) > 1")
@@ -169,7 +169,7 @@ def budget_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT path, size_bytes FROM r WHERE running <= {_BUDGET}""")
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir).where((F.col("size_bytes") > 0) & ~paths.avoids_content(F.col("attributes"))).select("path", "size_bytes")
-    counts = budget.prefix_counts(files.groupBy("size_bytes").agg(F.count("*").alias("n")), _BUDGET)
+    counts = budget.prefix(files.groupBy("size_bytes").agg(F.count("*").alias("n")), _BUDGET)
     return budget.admit(files, counts).where("admitted").select("path", "size_bytes")
 
 

@@ -16,7 +16,7 @@ def same_sizes(files: DataFrame, other: DataFrame) -> DataFrame:
 
 def within_prefix(files: DataFrame, limit: int) -> DataFrame:
     """`files` with `admitted`: smallest first, as far as the budget goes. References are admitted first; candidates get what their reading left."""
-    return budget.admit(files, budget.prefix_counts(files.groupBy("size_bytes").agg(F.count("*").alias("n")), limit))
+    return budget.admit(files, budget.prefix(files.groupBy("size_bytes").agg(F.count("*").alias("n")), limit))
 
 
 def classified(reference: DataFrame, candidate: DataFrame) -> DataFrame:

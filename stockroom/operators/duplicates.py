@@ -1,6 +1,6 @@
 """Exact duplicates by stages: size, edge digest, full digest, physical identity.
 
-Over a table that holds content, both digests are made where the row is read and only digests are shuffled. Over a file tree, `digest` gives the bytes that
+Over a table that holds content, digests are made where the row is read and only digests are shuffled. Over a file tree, `digest` gives the bytes that
 each stage really reads (see sources.content); the stages here only decide which files go on.
 """
 
@@ -11,16 +11,25 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS
 from ..functions import paths
+from ..sources import scratch
 from . import budget
 
 
-def digested(files: DataFrame) -> DataFrame:
-    """path, size_bytes, attributes, identity, fingerprint, hash of non-empty files (content): content goes no further. No digests where it may not be read.
+def _few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """`df` marked for broadcast if it has no more than `most` rows, else for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    Written to shared storage by the caller, this is the one scan of content; buckets, groups and metrics all read the digests.
-    """
-    c, n, may = F.col("content"), F.col("size_bytes"), ~paths.avoids_content(F.col("attributes"))
-    return files.where("size_bytes > 0").select("path", "size_bytes", "attributes", "identity", F.when(may, paths.edge_digest(c, n)).alias("fingerprint"), F.when(may, F.sha2(c, 256)).alias("hash"))
+
+def staged(files: DataFrame) -> DataFrame:
+    """path, size_bytes, attributes, identity, fingerprint, hash of the files (content) that share their size with others and may be read. hash is null where no
+    other file of the size has the same fingerprint: only the edges of those are read. Content is not shuffled while the keys are few."""
+    c, n = F.col("content"), F.col("size_bytes")
+    shared = _few(scratch.save(size_buckets(files).select("size_bytes"), "shared-sizes"))
+    readable = files.where((n > 0) & ~paths.avoids_content(F.col("attributes"))).select("path", "size_bytes", "attributes", "identity", "content").join(shared, "size_bytes", "left_semi")
+    edges = scratch.save(readable.withColumn("fingerprint", paths.edge_digest(c, n)).drop("content"), "edges")
+    again = edges.join(_few(fingerprint_groups(edges).select("size_bytes", "fingerprint")), ["size_bytes", "fingerprint"], "left_semi").select("path")
+    full = scratch.save(readable.select("path", "content").join(_few(scratch.save(again, "again")), "path", "left_semi").select("path", F.sha2(c, 256).alias("hash")), "hashes")
+    return scratch.save(edges.join(full, "path", "left").select("path", "size_bytes", "attributes", "identity", "fingerprint", "hash"), "digests")
 
 
 def size_buckets(files: DataFrame) -> DataFrame:
@@ -28,11 +37,6 @@ def size_buckets(files: DataFrame) -> DataFrame:
     return files.where("size_bytes > 0").groupBy("size_bytes").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def eligible(files: DataFrame) -> DataFrame:
-    """Files of a shared size whose content may be read."""
-    return files.where((F.col("size_bytes") > 0) & ~paths.avoids_content(F.col("attributes"))).join(size_buckets(files).select("size_bytes"), "size_bytes", "left_semi")
-
-
 def fingerprint_groups(digests: DataFrame) -> DataFrame:
     """size_bytes, fingerprint, n of edge digests that two or more files share."""
     return digests.groupBy("size_bytes", "fingerprint").agg(F.count("*").alias("n")).where("n > 1")
@@ -40,7 +44,7 @@ def fingerprint_groups(digests: DataFrame) -> DataFrame:
 
 def hash_groups(digests: DataFrame) -> DataFrame:
     """size_bytes, hash, members, independent, aliases: files that share a full digest, counted by physical identity."""
-    by_identity = digests.groupBy("size_bytes", "hash", "identity").agg(F.count("*").alias("n"))
+    by_identity = digests.where("hash is not null").groupBy("size_bytes", "hash", "identity").agg(F.count("*").alias("n"))
     groups = by_identity.groupBy("size_bytes", "hash").agg(F.sum("n").alias("members"), F.count("*").alias("independent")).where("members > 1")
     return groups.withColumn("aliases", F.col("members") - F.col("independent"))
 
@@ -49,7 +53,7 @@ def groups(digests: DataFrame, most: int = LIMITS.identity_group) -> DataFrame:
     """hash, size_bytes, copies (one path of each identity, in order), potential_savings_bytes. Groups of more than `most` members are left out: they are not
     shown as verified; hash_groups() has them."""
     good = hash_groups(digests).where((F.col("members") <= most) & (F.col("independent") > 1))
-    first = digests.groupBy("size_bytes", "hash", "identity").agg(F.min("path").alias("path")).join(good.select("size_bytes", "hash"), ["size_bytes", "hash"], "left_semi")
+    first = digests.where("hash is not null").groupBy("size_bytes", "hash", "identity").agg(F.min("path").alias("path")).join(good.select("size_bytes", "hash"), ["size_bytes", "hash"], "left_semi")
     listed = first.groupBy("size_bytes", "hash").agg(F.sort_array(F.collect_list("path")).alias("copies"))  # `most` paths at most
     return listed.select("hash", "size_bytes", "copies", paths.multiply_capped(F.col("size_bytes"), F.size("copies").cast("long") - 1).alias("potential_savings_bytes"))
 
@@ -78,4 +82,4 @@ def within_budget(files: DataFrame, limit: int | None, cost: Column) -> DataFram
     if limit is None:
         return files.withColumn("admitted", F.lit(True))
     sizes = files.groupBy("size_bytes").agg(F.count("*").alias("n"))
-    return budget.admit(files, budget.greedy_counts(sizes, limit, cost))
+    return budget.admit(files, budget.greedy(sizes, limit, cost))

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS
 from ..functions import paths
-
-ROWS = 100_000_000
-
+from . import budget
 
 def resolved_paths(edges: DataFrame, root_id: str, root: str) -> DataFrame:
     """id, path, depth of what hangs below `root_id`, from edges (id, parent, name), by a recursive query of at most LIMITS.tree_depth levels.
@@ -47,9 +45,7 @@ def flattened(directories: DataFrame, root: str, start: int = 0, rows: int | Non
     out = keyed.withColumn("depth", F.size("key") - 1)
     if rows is not None:
         out = out.orderBy("key").limit(start + rows)  # a viewport, so a bounded ranking
-    from pyspark.sql import Window
-
-    out = out.withColumn("position", F.row_number().over(Window.orderBy("key")) - 1)
+    out = budget.running(out, [F.asc("key")], F.lit(1), "position").withColumn("position", F.col("position").cast("int"))
     if rows is not None:
         out = out.where(F.col("position") >= start)
     return out.select("position", "depth", "path", paths.name(F.col("path")).alias("name"), "size_bytes", "files")

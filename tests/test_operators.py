@@ -130,3 +130,33 @@ def test_pages_cover_all_nodes_once(spark):
             break
         after = (rows[0]["kind"], rows[0]["size_bytes"], rows[0]["path"])
     assert seen == ["/r/sub", "/r/empty", "/r/two", "/r/one"]
+
+
+def test_greedy_budget_against_a_plain_fold(spark):
+    """Random sizes, budgets from nothing to all, files of one size admitted in part; and many distinct sizes in little time."""
+    import random
+    import time
+
+    rnd = random.Random(3)
+    for _ in range(2):
+        rows = [(f"/a/{i}", rnd.choice([rnd.randrange(0, 40), rnd.randrange(0, 3000)])) for i in range(120)]
+        files = spark.createDataFrame(rows, "path string, size_bytes long").withColumn("attributes", F.lit(32))
+        for limit in (0, 7, rnd.randrange(1, 60_000), 10**7):
+            left, want = limit, set()
+            for path, size in sorted(rows, key=lambda r: (-r[1], r[0])):
+                if size <= left:
+                    left -= size
+                    want.add(path)
+            got = duplicates.within_budget(files, limit, F.col("size_bytes"))
+            assert {r["path"] for r in got.where("admitted").collect()} == want and got.count() == len(rows)
+            left, want = limit, set()
+            for path, size in sorted(rows, key=lambda r: (r[1], r[0])):
+                if size > left:
+                    break
+                left -= size
+                want.add(path)
+            assert {r["path"] for r in compare.within_prefix(files, limit).where("admitted").collect()} == want
+    many = spark.range(1, 1_000_001).select(F.col("id").alias("size_bytes"), F.lit(2).cast("long").alias("n"))
+    began = time.monotonic()
+    budget.greedy(many, 10**11 + 12345, F.col("size_bytes"))
+    assert time.monotonic() - began < 60
