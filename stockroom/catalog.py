@@ -416,10 +416,4 @@ def duplicate_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skipped.agg(F.count("*").alias("skipped_content_files")).withColumn("complete", F.col("skipped_content_files") == 0)
 
 
-@query("SELECT 'C' AS drive, 'Healthy' AS health_status, 1000204886016 AS size_bytes, 34 AS temperature_celsius, CAST(NULL AS INTEGER) AS wear_percent")
-def device_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sources import records
-
-    line = '{"drive":"C","healthStatus":"Healthy","sizeBytes":1000204886016,"temperatureCelsius":34,"wearPercent":null}'
-    h = records.health(spark.createDataFrame([(line,)], "value string"), "c")
-    return h.select("drive", F.col("healthStatus").alias("health_status"), F.col("sizeBytes").alias("size_bytes"), F.col("temperatureCelsius").alias("temperature_celsius"), F.col("wearPercent").alias("wear_percent"))
+from . import catalog_state  # noqa: E402, F401  registers more queries

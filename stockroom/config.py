@@ -14,6 +14,9 @@ DATA_OVERWRITE, DATA_EXTEND, DATA_TRUNCATION, BASIC_INFO, CLOSE = 0x1, 0x2, 0x4,
 CREATE, DELETE, RENAME_OLD, RENAME_NEW, HARD_LINK, REPARSE_CHANGE, STREAM_CHANGE = 0x100, 0x200, 0x1000, 0x2000, 0x10000, 0x100000, 0x200000
 STRUCTURAL_MASK = CREATE | DELETE | RENAME_OLD | RENAME_NEW | HARD_LINK | REPARSE_CHANGE | STREAM_CHANGE
 
+# Fixed value: the attribute bit of system files.
+SYSTEM = 0x4
+
 #: What files without an extension are listed under.
 NO_EXTENSION = "sem extensão"
 
@@ -47,6 +50,10 @@ class Limits:
     quarantine_rows: int = 500
     scan_errors: int = 12
     compare_errors: int = 10
+    cards: int = 6
+    chart_types: int = 7
+    listed_matches: int = 50
+    grant_seconds: int = 300
 
 
 LIMITS = Limits()

@@ -56,3 +56,8 @@ def megabytes(mb: float) -> int:
     if not mb >= 0 or mb == float("inf"):
         raise ValueError("a size in MB must be a number from 0")
     return int(mb * 1048576)
+
+
+def digest_text(digest: Column) -> Column:
+    """The first 16 digits of a digest."""
+    return F.left(digest, F.lit(16))

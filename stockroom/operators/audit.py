@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import LIMITS
+from ..config import LIMITS, NO_CONTENT_MASK, SYSTEM
 from ..functions import paths
 
 
@@ -73,3 +73,33 @@ def allocation(targets: DataFrame, files: DataFrame, root: str) -> DataFrame:
 def allocation_counters(items: DataFrame) -> DataFrame:
     s = F.col("status")
     return items.agg(F.count_if(s == "measured").alias("measured"), F.count_if(s.isin("outside", "excluded", "changed")).alias("skipped"), F.count_if(s == "unavailable").alias("failed"))
+
+
+def step_of(log: DataFrame) -> DataFrame:
+    """`log` (id, seq, state, ...) with `previous` state and `allowed`: an entry begins as prepared, goes on to quarantined or failed, and from
+    quarantined to restored; nothing follows restored or failed."""
+    previous = F.lag("state").over(Window.partitionBy("id").orderBy("seq"))
+    allowed = F.when(F.col("previous").isNull(), F.col("state") == "prepared").when(F.col("previous") == "prepared", F.col("state").isin("quarantined", "failed")).when(F.col("previous") == "quarantined", F.col("state") == "restored")
+    return log.withColumn("previous", previous).withColumn("allowed", F.coalesce(allowed, F.lit(False)))
+
+
+def eligible(files: DataFrame, protected: list[str], exempt: list[str] = ()) -> Column:
+    """Whether a file may be put away: an absolute path, a regular local file that isn't a system file, one link, not under a protected folder, except
+    under an exempt one. files: path, kind, attributes, hardlink_count."""
+    path, under = F.col("path"), F.lit(False)
+    for folder in protected:
+        under = under | paths.is_under(path, folder)
+    free = F.lit(False)
+    for folder in exempt:
+        free = free | paths.is_under(path, folder)
+    plain = (F.col("kind") == "file") & (F.col("attributes").bitwiseAND(NO_CONTENT_MASK | SYSTEM) == 0) & (F.col("hardlink_count") == 1)
+    return F.coalesce(path.startswith("/") & plain & (~under | free), F.lit(False))
+
+
+def granted(events: DataFrame, seconds: int = LIMITS.grant_seconds) -> DataFrame:
+    """Uses with whether they were granted. events: subject, at (timestamp), seq, kind (`grant`, `use`). A use needs a grant right before it, at most `seconds`
+    old; it spends that grant, granted or not."""
+    order = Window.partitionBy("subject").orderBy("at", "seq")
+    seen = events.withColumn("before", F.lag(F.struct("kind", "at")).over(order)).where("kind = 'use'")
+    age = F.unix_micros("at") - F.unix_micros("before.at")
+    return seen.select("subject", "seq", F.coalesce((F.col("before.kind") == "grant") & (age <= seconds * 1_000_000), F.lit(False)).alias("granted"))

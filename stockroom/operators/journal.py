@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LIMITS, STRUCTURAL_MASK
+from ..config import LIMITS, OFFLINE_MASK, REPARSE, STRUCTURAL_MASK
 from ..functions import paths
 
 
@@ -67,3 +67,24 @@ def apply(directories: DataFrame, changed: DataFrame, root: str) -> DataFrame:
 def small_enough(changed: DataFrame, records: DataFrame) -> bool:
     """Whether a delta may be applied in place of a refresh."""
     return records.limit(LIMITS.delta_events + 1).count() <= LIMITS.delta_events and changed.limit(LIMITS.delta_files + 1).count() <= LIMITS.delta_files
+
+
+def cursor(records: DataFrame) -> DataFrame:
+    """One row: first and next, the records that are there and the number of the one to come (0 and 0 of an empty journal)."""
+    return records.agg(F.coalesce(F.min("usn"), F.lit(0)).alias("first"), F.coalesce(F.max("usn") + 1, F.lit(0)).alias("next"))
+
+
+def continues_column(old: Column, now: Column) -> Column:
+    """continues() for rows with two watermarks (structs of journal, first, next, volume, root); false if one is missing."""
+    same = (old["journal"] == now["journal"]) & (old["volume"] == now["volume"]) & (old["root"] == now["root"])
+    return F.coalesce(same & (now["first"] <= old["next"]) & (old["next"] <= now["next"]), F.lit(False))
+
+
+def resolved(last: DataFrame, ids: DataFrame, root: str) -> DataFrame:
+    """file_id, path, problem of changed files. ids: file_id, path, hardlink_count, attributes, a row a name. problem, the first of: `missing` (no such file),
+    `names` (several rows, or several links), `virtual` (offline or reparse attributes), `outside` (not under the root); null if the delta may use it.
+    """
+    known = ids.groupBy("file_id").agg(F.count("*").alias("names"), F.min("path").alias("path"), F.max("hardlink_count").alias("links"), F.max(F.col("attributes").bitwiseAND(OFFLINE_MASK | REPARSE)).alias("virtual"))
+    found = last.select("file_id").distinct().join(known, "file_id", "left")
+    problem = F.when(F.col("names").isNull(), "missing").when((F.col("names") > 1) | (F.col("links") != 1), "names").when(F.col("virtual") != 0, "virtual").when(~paths.is_under(F.col("path"), root), "outside")
+    return found.select("file_id", F.when(problem.isNull(), F.col("path")).alias("path"), problem.alias("problem"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
@@ -66,3 +66,18 @@ def results(files: DataFrame) -> DataFrame:
 def top_files(files: DataFrame, n: int = LIMITS.top) -> DataFrame:
     """Largest files; of equal sizes the last path first."""
     return results(files).orderBy(F.desc("size_bytes"), F.desc("path")).limit(n)
+
+
+def error_samples(entries: DataFrame, n: int = LIMITS.scan_errors) -> DataFrame:
+    """The first `n` errors of a walk, in order. entries: error (null where there is none)."""
+    return entries.where("error is not null").select("error").orderBy("error").limit(n)
+
+
+def complete(*left_out: Column) -> Column:
+    """Whether an analysis left nothing out: every count or flag given is 0, false or null."""
+    return F.coalesce(F.greatest(F.lit(0).cast("long"), *(c.cast("long") for c in left_out)) == 0, F.lit(True))
+
+
+def chart(types: DataFrame, n: int = LIMITS.chart_types) -> DataFrame:
+    """The first rows of a ranking of types, as a chart has them."""
+    return types.orderBy(F.desc("size_bytes"), "extension").limit(n)

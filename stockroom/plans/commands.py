@@ -5,6 +5,7 @@ Reports are dicts with camel-case keys. What was not measured is None, never 0.
 
 from __future__ import annotations
 
+import functools
 import os
 import time
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import BUDGETS, LIMITS
 from ..functions import paths
 from ..operators import audit, compare, duplicates, report, search, snapshot
-from ..sources import content, tree
+from ..sources import content, scratch, tree
 from . import store
 from .jobs import Job
 
@@ -32,6 +33,17 @@ def _one(df: DataFrame) -> dict:
     return df.first().asDict()
 
 
+def _releasing(command):
+    """The command, whose intermediate tables go when its report is made."""
+
+    @functools.wraps(command)
+    def run(*args, **kwargs):
+        with scratch.released():
+            return command(*args, **kwargs)
+
+    return run
+
+
 class _Clock:
     def __init__(self) -> None:
         self._at = time.monotonic()
@@ -43,7 +55,7 @@ class _Clock:
 def _inventory(spark: SparkSession, root: str, pruned_at: Job | None = None) -> tuple[str, DataFrame, DataFrame, dict]:
     """(root, files, directories, counts): entries of a tree without links, and without what lies below directories that are not local."""
     root = tree.checked_root(root)
-    entries = tree.read(spark, root).persist()
+    entries = scratch.save(tree.read(spark, root), "walk")
     directories = tree.directories_of(entries, root)
     virtual = directories.where(paths.avoids_content(F.col("attributes"))).select("path")
     files = tree.files_of(entries)
@@ -56,6 +68,7 @@ def _inventory(spark: SparkSession, root: str, pruned_at: Job | None = None) ->
     return root, files, directories, {"errors": errors.count(), "samples": [r[0] for r in errors.select("error").orderBy("error").limit(LIMITS.scan_errors).collect()], "pruned": n_virtual, "entries": entries}
 
 
+@_releasing
 def scan_path(spark: SparkSession, root: str, regex: str | None = None, min_size_bytes: int = 0, max_files: int | None = None, analyze_duplicates: bool = True, hash_budget: str | None = None, job: Job | None = None) -> dict:
     """Storage report of a tree, with exact duplicates unless told otherwise. hash_budget: standard (default), deep or unlimited."""
     if hash_budget not in BUDGETS:
@@ -64,7 +77,7 @@ def scan_path(spark: SparkSession, root: str, regex: str | None = None, min_size
     search.checked_pattern(regex)
     root, files, directories, seen = _inventory(spark, root)
     files, truncated = search.sample(files, max_files)
-    files = files.persist()
+    files = scratch.save(files, "files")
     check()
     out = {"root": root, **{_camel(k): v for k, v in _one(report.totals(files, root, directories)).items()}, "errors": seen["errors"], "errorSamples": seen["samples"], "truncated": truncated}
     out |= {
@@ -76,8 +89,6 @@ def scan_path(spark: SparkSession, root: str, regex: str | None = None, min_size
         out |= {"hashingSkipped": True, "duplicateAnalysisComplete": False, "duplicates": [], "potentialSavingsBytes": 0, "hardlinkAliases": 0, "skippedContentFiles": 0, "hashBytesRead": 0, "fingerprintBytesRead": 0, "fullHashBytesRead": 0, "hashReadBudgetBytes": None}
     else:
         out |= _duplicates(files, budget, seen, truncated, check)
-    seen["entries"].unpersist()
-    files.unpersist()
     return out | {"elapsedMs": clock.ms()}
 
 
@@ -86,15 +97,16 @@ def _duplicates(files: DataFrame, budget: int | None, seen: dict, truncated: boo
     skipped = shared.where(paths.avoids_content(F.col("attributes"))).count()
     readable = shared.where(~paths.avoids_content(F.col("attributes")))
     clock = _Clock()
-    sampled = duplicates.within_budget(readable, budget, paths.edge_bytes(F.col("size_bytes"))).persist()
-    edges = content.digests(sampled.where("admitted").drop("admitted"), True, "fingerprint").persist()
+    sampled = duplicates.within_budget(readable, budget, paths.edge_bytes(F.col("size_bytes")))
+    sampled = scratch.save(sampled, "sampled")
+    edges = scratch.save(content.digests(sampled.where("admitted").drop("admitted"), True, "fingerprint"), "edges")
     read = edges.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     edge_ms, check_clock = clock.ms(), _Clock()
     check()
     good = edges.where("status = 'ok'")
     pairs = good.join(duplicates.fingerprint_groups(good).select("size_bytes", "fingerprint"), ["size_bytes", "fingerprint"], "left_semi")
-    wanted = duplicates.within_budget(pairs, None if budget is None else budget - read, F.col("size_bytes")).persist()
-    full = content.digests(wanted.where("admitted").drop("admitted"), False, "hash").persist()
+    wanted = scratch.save(duplicates.within_budget(pairs, None if budget is None else budget - read, F.col("size_bytes")), "wanted")
+    full = scratch.save(content.digests(wanted.where("admitted").drop("admitted"), False, "hash"), "full")
     read_full = full.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     full_ms = check_clock.ms()
     check()
@@ -108,11 +120,10 @@ def _duplicates(files: DataFrame, budget: int | None, seen: dict, truncated: boo
         "hardlinkAliases": total["hardlink_aliases"], "skippedContentFiles": skipped + seen["pruned"], "hashBytesRead": read + read_full, "fingerprintBytesRead": read, "fullHashBytesRead": read_full,
         "fingerprintElapsedMs": edge_ms, "fullHashElapsedMs": full_ms, "hashReadBudgetBytes": budget, "errors": seen["errors"] + bad,
     }
-    for df in (sampled, edges, wanted, full):
-        df.unpersist()
     return found
 
 
+@_releasing
 def search_path(spark: SparkSession, root: str, regex: str | None = None, min_size_bytes: int = 0, max_files: int | None = None) -> dict:
     clock = _Clock()
     search.checked_pattern(regex)
@@ -120,10 +131,10 @@ def search_path(spark: SparkSession, root: str, regex: str | None = None, min_si
     files, truncated = search.sample(files, max_files)
     rows = _rows(search.search(files, regex, min_size_bytes))
     n = _one(search.counts(files, regex, min_size_bytes))
-    seen["entries"].unpersist()
     return {"root": root, "filesScanned": n["files_scanned"], "totalMatches": n["total_matches"], "matches": [{k: v for k, v in r.items() if k != "totalMatches"} for r in rows], "errors": seen["errors"], "truncated": truncated, "elapsedMs": clock.ms()}
 
 
+@_releasing
 def compare_folders(spark: SparkSession, reference_root: str, candidate_root: str, max_files: int | None = None, job: Job | None = None) -> dict:
     clock, check = _Clock(), job.check if job else lambda: None
     a, b = tree.checked_root(reference_root), tree.checked_root(candidate_root)
@@ -135,20 +146,23 @@ def compare_folders(spark: SparkSession, reference_root: str, candidate_root: st
         _, files, _, seen = _inventory(spark, root)
         links = seen["entries"].where("kind = 'symlink'").count()
         some, cut = search.sample(files.where("size_bytes > 0"), most)
-        sides.append((some.persist(), cut, seen, links))
+        sides.append((scratch.save(some, "side"), cut, seen, links))
         check()
     (ref, cut_a, seen_a, links_a), (cand, cut_b, seen_b, links_b) = sides
     hash_clock = _Clock()
     wanted = compare.within_prefix(compare.same_sizes(ref, cand), LIMITS.compare_budget)
-    left = content.digests(wanted.where("admitted").drop("admitted"), False, "hash").persist()
+    wanted = scratch.save(wanted, "wanted")
+    left = scratch.save(content.digests(wanted.where("admitted").drop("admitted"), False, "hash"), "left")
     used = left.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     check()
     good = left.where("status = 'ok'")
     right_wanted = compare.within_prefix(compare.same_sizes(cand, good), LIMITS.compare_budget - used)
-    right = content.digests(right_wanted.where("admitted").drop("admitted"), False, "hash").persist()
+    right_wanted = scratch.save(right_wanted, "wanted")
+    right = scratch.save(content.digests(right_wanted.where("admitted").drop("admitted"), False, "hash"), "right")
     read = used + right.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     check()
-    found = compare.classified(good, right.where("status = 'ok'")).persist()
+    found = compare.classified(good, right.where("status = 'ok'"))
+    found = scratch.save(found, "classified")
     total = _one(compare.totals(found))
     bad = left.where("status != 'ok'").count() + right.where("status != 'ok'").count()
     over = wanted.where("not admitted").count() + right_wanted.where("not admitted").count()
@@ -159,8 +173,6 @@ def compare_folders(spark: SparkSession, reference_root: str, candidate_root: st
         "hashBytesRead": read, "hashStageElapsedMs": hash_clock.ms(), "skippedCloudFiles": skipped, "errors": errors, "errorSamples": (seen_a["samples"] + seen_b["samples"])[: LIMITS.compare_errors],
         "truncated": cut_a or cut_b, "complete": not (cut_a or cut_b or errors or skipped or over), "elapsedMs": clock.ms(),
     }
-    for df in (left, right, found, ref, cand, seen_a["entries"], seen_b["entries"]):
-        df.unpersist()
     return out
 
 
@@ -176,6 +188,7 @@ def measure_allocated_sizes(spark: SparkSession, root: str, targets: list[tuple[
     return {"items": _rows(items), **_one(audit.allocation_counters(items)), "elapsedMs": clock.ms()}
 
 
+@_releasing
 def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | None = None, watermark: dict | None = None, job: Job | None = None) -> dict:
     """Take a snapshot of a tree and publish it. Anything unreadable, a cap that is exceeded, or a cancel publishes nothing. The watermark is the journal's
     position before the walk, so changes meanwhile are read again. With an unchanged watermark the last result stands."""
@@ -184,7 +197,11 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
     old = s.scope(root)
     if old is not None and watermark is not None and old.watermark == watermark:
         return {"root": root, "files": old.file_count, "added": 0, "changed": 0, "unchanged": old.file_count, "removed": 0, "skippedDirectories": 0, "completedAtUnix": old.completed_at_unix, "batchesWritten": 0, "indexMethod": "unchanged", "elapsedMs": clock.ms()}
-    entries = tree.read(spark, root).persist()
+    own = os.path.abspath(s.base.removeprefix("file:")) if "://" not in s.base or s.base.startswith("file:") else None
+    entries = tree.read(spark, root)
+    if own is not None:  # the store's own files change while it is written
+        entries = entries.where(~paths.is_under(F.col("path"), own))
+    entries = scratch.save(entries, "walk")
     if (first := entries.where("error is not null").first()) is not None:
         raise OSError(first["error"])
     check()
@@ -207,10 +224,10 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
     check()
     scope = s.publish(root, generation, watermark)
     s.prune(scope)
-    entries.unpersist()
-    return {"root": root, **counts, "skippedDirectories": skipped, "completedAtUnix": scope.completed_at_unix, "batchesWritten": -(-counts["files"] // LIMITS.index_batch), "indexMethod": "walk", "elapsedMs": clock.ms()}
+    return {"root": root, **counts, "skippedDirectories": skipped, "completedAtUnix": scope.completed_at_unix, "batchesWritten": s.parts(root, generation), "indexMethod": "walk", "elapsedMs": clock.ms()}
 
 
+@_releasing
 def apply_changes(spark: SparkSession, base: str, root: str, changed: list[tuple[str, int]], watermark: dict | None = None) -> store.Scope:
     """Publish new sizes of known files, with the totals of all directories above them, as a new revision. An unknown path undoes the whole batch."""
     from ..operators import journal
@@ -223,16 +240,14 @@ def apply_changes(spark: SparkSession, base: str, root: str, changed: list[tuple
         raise ValueError(f"at most {LIMITS.delta_files} files")
     new = spark.createDataFrame(list(dict(changed).items()), "path string, new_size long")
     files, dirs = s.files(scope), s.directories(scope)
-    hit = files.join(F.broadcast(new), "path").persist()
+    hit = scratch.save(files.join(F.broadcast(new), "path"), "hit")
     if hit.count() != new.count():
         raise ValueError("a changed path is not in the snapshot")
     deltas = hit.select("path", (F.col("new_size") - F.col("size_bytes")).alias("delta"))
     rows = hit.select("path", "parent_path", F.col("new_size").alias("size_bytes"), "modified_ns", "attributes")
     above = journal.directory_deltas(deltas, root).select("path")
     touched = journal.apply(dirs.join(above, "path", "left_semi"), deltas, root)
-    out = s.overlay(scope, rows, touched, watermark)
-    hit.unpersist()
-    return out
+    return s.overlay(scope, rows, touched, watermark)
 
 
 def search_index(spark: SparkSession, base: str, root: str, regex: str | None = None, min_size_bytes: int = 0) -> dict:
@@ -284,6 +299,7 @@ def list_quarantine(spark: SparkSession, manifest: DataFrame, folder: str) -> li
     return _rows(audit.quarantined(manifest, listing).orderBy(F.desc("created_at_unix"), "id"))
 
 
+@_releasing
 def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records: DataFrame, ids: DataFrame, job: Job | None = None) -> dict:
     """Bring a snapshot up to `now` (a journal.Watermark) by the cheapest way that holds: `unchanged`, `delta`, or `walk`.
 
@@ -298,7 +314,7 @@ def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records
     scope = s.scope(root)
     old = journal.Watermark(**scope.watermark) if scope is not None and scope.watermark else None
     if old is not None and journal.continues(old, now):
-        some = journal.relevant(journal.between(records, old, now)).persist()
+        some = scratch.save(journal.relevant(journal.between(records, old, now)), "records")
         try:
             stats = {"root": root, "files": scope.file_count, "added": 0, "removed": 0, "skippedDirectories": 0, "completedAtUnix": scope.completed_at_unix}
             if some.isEmpty():
@@ -311,8 +327,6 @@ def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records
                 return stats | {"changed": len(rows), "unchanged": scope.file_count - len(rows), "batchesWritten": 1, "completedAtUnix": new.completed_at_unix, "indexMethod": "delta", "elapsedMs": clock.ms()}
         except ValueError:
             pass  # a changed file that the snapshot does not have: read the tree
-        finally:
-            some.unpersist()
     return refresh_index(spark, base, root, watermark=asdict(now), job=job)
 
 

@@ -8,13 +8,26 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 FILES = "path string, parent_path string, size_bytes long, modified_ns long, attributes long"
 DIRECTORIES = "path string, parent_path string, size_bytes long, files long"
+#: Deltas that lie over a generation before all is written anew; seconds after which a writer that claimed a number counts as dead.
+MOST_OVERLAYS, CLAIM_SECONDS, FILE_ROWS = 8, 3600, 1_000_000
+
+
+def migrated(files: DataFrame) -> DataFrame:
+    """Rows of any older layout in today's: parent paths follow from paths, attributes that were not kept are those of an ordinary file."""
+    have = files.columns
+    parent = F.col("parent_path") if "parent_path" in have else F.lit(None).cast("string")
+    attributes = F.col("attributes") if "attributes" in have else F.lit(None).cast("long")
+    modified = F.col("modified_ns") if "modified_ns" in have else F.lit(None).cast("long")
+    return files.select("path", F.coalesce(parent, paths.parent(F.col("path"))).alias("parent_path"), "size_bytes", F.coalesce(modified, F.lit(0)).cast("long").alias("modified_ns"), F.coalesce(attributes, F.lit(32)).cast("long").alias("attributes"))
 
 
 @dataclass(frozen=True)
@@ -37,6 +50,7 @@ class Store:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._staged: dict[tuple[str, int], Scope | None] = {}
 
     def _key(self, root: str) -> str:
         return hashlib.sha256(root.encode()).hexdigest()[:32]
@@ -97,22 +111,52 @@ class Store:
     def directories(self, scope: Scope) -> DataFrame:
         return self._table(scope, "directories", DIRECTORIES)
 
+    def _claim(self, root: str, what: str) -> bool:
+        """Whether this caller is the one to make `what`: a file that only one can create. A claim older than CLAIM_SECONDS has been left by a writer that died."""
+        p = self._path(f"{self.base}/{self._key(root)}/claims/{what}")
+        self._fs.mkdirs(p.getParent())
+        if self._fs.createNewFile(p):
+            return True
+        if time.time() - self._fs.getFileStatus(p).getModificationTime() / 1000 < CLAIM_SECONDS:
+            return False
+        self._fs.delete(p, False)
+        return self._fs.createNewFile(p)
+
+    def _point(self, old: Scope | None, new: Scope) -> Scope:
+        """Replace the pointer `old` by `new`; ValueError if another writer has, or is about to."""
+        now = self.scope(new.root)
+        if (now.revision if now else 0) != (old.revision if old else 0) or not self._claim(new.root, f"revision-{new.revision}"):
+            raise ValueError("the snapshot has been replaced meanwhile")
+        self._write(f"{self.base}/scopes/{self._key(new.root)}.json", json.dumps(asdict(new)))
+        return new
+
+    def _put(self, df: DataFrame, schema: str, path: str) -> None:
+        """Write rows in ranges of parents, FILE_ROWS or so to a file, so that a page of one directory reads few files and few row groups of them."""
+        df = df.select([c.split()[0] for c in schema.split(", ")])
+        n = max(1, -(-df.count() // FILE_ROWS))
+        df.repartitionByRange(n, "parent_path", "path").sortWithinPartitions("parent_path", "path").write.mode("overwrite").parquet(path)
+
     def stage(self, root: str, files: DataFrame, directories: DataFrame) -> int:
-        """Write an unpublished generation and return its number. Sorted by parent, so that a page of one directory reads few row groups."""
+        """Write an unpublished generation of its own and return its number."""
         old = self.scope(root)
         generation = (old.generation if old else 0) + 1
-        names = lambda schema: [c.split()[0] for c in schema.split(", ")]
-        for kind, df, schema in (("files", files, FILES), ("directories", directories, DIRECTORIES)):
-            df.select(names(schema)).sortWithinPartitions("parent_path").write.mode("overwrite").parquet(self._at(root, kind, generation))
+        while not self._claim(root, f"generation-{generation}"):
+            generation += 1
+        self._staged[root, generation] = old
+        self._put(files, FILES, self._at(root, "files", generation))
+        self._put(directories, DIRECTORIES, self._at(root, "directories", generation))
         return generation
 
+    def parts(self, root: str, generation: int) -> int:
+        """Files that hold a generation's file rows, counted where they lie."""
+        return sum(s.getPath().getName().startswith("part-") for s in self._fs.listStatus(self._path(self._at(root, "files", generation))))
+
     def publish(self, root: str, generation: int, watermark: dict | None = None) -> Scope:
-        """Make a staged generation the one that readers see, then drop older ones."""
-        old = self.scope(root)
+        """Make a staged generation the one that readers see. ValueError if another has been published since it was staged: nothing changes then."""
+        old = self._staged.pop((root, generation), None) or self.scope(root)
         count = self.spark.read.schema(FILES).parquet(self._at(root, "files", generation)).count()
-        scope = Scope(root, generation, (old.revision if old else 0) + 1, int(time.time()), count, True, watermark)
-        self._write(f"{self.base}/scopes/{self._key(root)}.json", json.dumps(asdict(scope)))
-        return scope
+        has_tree = not self.spark.read.schema(DIRECTORIES).parquet(self._at(root, "directories", generation)).isEmpty()
+        return self._point(old, Scope(root, generation, (old.revision if old else 0) + 1, int(time.time()), count, has_tree, watermark))
 
     def prune(self, scope: Scope) -> None:
         """Delete generations before that of `scope`. Readers of them must have ended."""
@@ -124,13 +168,16 @@ class Store:
                         self._fs.delete(s.getPath(), True)
 
     def overlay(self, scope: Scope, files: DataFrame, directories: DataFrame, watermark: dict | None = None) -> Scope:
-        """Publish changed rows over a generation: a new revision of the same generation."""
+        """Publish changed rows over a generation: a new revision of it. With MOST_OVERLAYS of them, all rows are written as a generation of their own."""
         now = self.scope(scope.root)
         if now is None or now.revision != scope.revision:
             raise ValueError("the snapshot has been replaced meanwhile")
         r = scope.revision + 1
         for kind, df, like in (("files", files, FILES), ("directories", directories, DIRECTORIES)):
-            df.select([c.split()[0] for c in like.split(", ")]).write.mode("overwrite").parquet(self._at(scope.root, kind, scope.generation, r))
-        new = Scope(scope.root, scope.generation, r, int(time.time()), scope.file_count, True, watermark or scope.watermark, [*scope.overlays, r])
-        self._write(f"{self.base}/scopes/{self._key(scope.root)}.json", json.dumps(asdict(new)))
-        return new
+            self._put(df, like, self._at(scope.root, kind, scope.generation, r))
+        new = Scope(scope.root, scope.generation, r, int(time.time()), scope.file_count, scope.has_tree, watermark or scope.watermark, [*scope.overlays, r])
+        if len(new.overlays) >= MOST_OVERLAYS:
+            generation = self.stage(scope.root, self.files(new), self.directories(new))
+            self._staged.pop((scope.root, generation))
+            new = replace(new, generation=generation, overlays=[])
+        return self._point(scope, new)
