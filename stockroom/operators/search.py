@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
+from ..functions import linear
+from ..sources import scratch
 from .report import results
 
 _NOT_LINEAR = re.compile(r"\(\?(?:[=!]|<[=!]|>|\()|(?<!\\)(?:\\\\)*\\(?:[1-9]|k<)|[*+?}]\+")
@@ -33,13 +36,31 @@ def checked_pattern(pattern: str | None) -> str | None:
             re.compile(pattern)
     except Exception as e:
         raise ValueError(f"malformed pattern: {str(e).splitlines()[0][:200]}") from None
+    if linear.explosive(pattern):
+        linear.Matcher(pattern)  # refuses what it can't match in linear time
     return pattern
 
 
+def _linear(pattern: str):
+    from pyspark.sql import SparkSession
+
+    scratch.ship(SparkSession.getActiveSession())
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        matcher = linear.Matcher(pattern)
+        return texts.map(lambda t: None if t is None else matcher.search(t)).astype("object")
+
+    return found
+
+
 def matches(path: Column, pattern: str | None) -> Column:
-    """Unanchored, case-insensitive in all of Unicode, on the full path."""
+    """Unanchored, case-insensitive in all of Unicode, on the full path. Patterns whose repeats would explode by backtracking go to a linear matcher in Python;
+    all others stay in the JVM."""
     found = checked_pattern(pattern)
-    return F.lit(True) if found is None else path.rlike("(?iU)" + found)
+    if found is None:
+        return F.lit(True)
+    return _linear(found)(path) if linear.explosive(found) else path.rlike("(?iU)" + found)
 
 
 def search(files: DataFrame, pattern: str | None = None, min_size: int = 0, n: int = LIMITS.matches) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions import paths
 from ..operators import audit, compare, duplicates, report, search, snapshot
 from ..sources import content, scratch, tree
 from . import store
-from .jobs import Job
+from .jobs import Cancelled, Job
 
 
 def _camel(name: str) -> str:
@@ -34,12 +34,18 @@ def _one(df: DataFrame) -> dict:
 
 
 def _releasing(command):
-    """The command, whose intermediate tables go when its report is made."""
+    """The command, whose intermediate tables go when its report is made. What fails because its job was cancelled, within a stage too, is Cancelled."""
 
     @functools.wraps(command)
     def run(*args, **kwargs):
-        with scratch.released():
-            return command(*args, **kwargs)
+        job = kwargs.get("job")
+        try:
+            with scratch.released():
+                return command(*args, **kwargs)
+        except Exception as e:
+            if isinstance(job, Job) and job.cancelled and not isinstance(e, Cancelled):
+                raise Cancelled(job.id) from e
+            raise
 
     return run
 
@@ -73,12 +79,12 @@ def scan_path(spark: SparkSession, root: str, regex: str | None = None, min_size
     """Storage report of a tree, with exact duplicates unless told otherwise. hash_budget: standard (default), deep or unlimited."""
     if hash_budget not in BUDGETS:
         raise ValueError(f"unknown budget {hash_budget}")
-    budget, clock, check = BUDGETS[hash_budget], _Clock(), job.check if job else lambda: None
+    budget, clock, check = BUDGETS[hash_budget], _Clock(), job.check if job else lambda *a, **k: None
     search.checked_pattern(regex)
     root, files, directories, seen = _inventory(spark, root)
     files, truncated = search.sample(files, max_files)
     files = scratch.save(files, "files")
-    check()
+    check("scanned", files=files.count(), errors=seen["errors"])
     out = {"root": root, **{_camel(k): v for k, v in _one(report.totals(files, root, directories)).items()}, "errors": seen["errors"], "errorSamples": seen["samples"], "truncated": truncated}
     out |= {
         "topFiles": _rows(report.top_files(files)), "topDirectories": _rows(report.top_directories(files, root, directories)), "fileTypes": _rows(report.top_types(files)),
@@ -102,14 +108,14 @@ def _duplicates(files: DataFrame, budget: int | None, seen: dict, truncated: boo
     edges = scratch.save(content.digests(sampled.where("admitted").drop("admitted"), True, "fingerprint"), "edges")
     read = edges.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     edge_ms, check_clock = clock.ms(), _Clock()
-    check()
+    check("fingerprinted", bytesRead=read)
     good = edges.where("status = 'ok'")
     pairs = good.join(duplicates.fingerprint_groups(good).select("size_bytes", "fingerprint"), ["size_bytes", "fingerprint"], "left_semi")
     wanted = scratch.save(duplicates.within_budget(pairs, None if budget is None else budget - read, F.col("size_bytes")), "wanted")
     full = scratch.save(content.digests(wanted.where("admitted").drop("admitted"), False, "hash"), "full")
     read_full = full.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     full_ms = check_clock.ms()
-    check()
+    check("hashed", bytesRead=read + read_full)
     hashed = full.where("status = 'ok'")
     total = _one(duplicates.summary(hashed))
     bad = edges.where("status != 'ok'").count() + full.where("status != 'ok'").count()
@@ -136,7 +142,7 @@ def search_path(spark: SparkSession, root: str, regex: str | None = None, min_si
 
 @_releasing
 def compare_folders(spark: SparkSession, reference_root: str, candidate_root: str, max_files: int | None = None, job: Job | None = None) -> dict:
-    clock, check = _Clock(), job.check if job else lambda: None
+    clock, check = _Clock(), job.check if job else lambda *a, **k: None
     a, b = tree.checked_root(reference_root), tree.checked_root(candidate_root)
     if a == b or a.startswith(b.rstrip("/") + "/") or b.startswith(a.rstrip("/") + "/"):
         raise ValueError("the two trees overlap")
@@ -154,13 +160,13 @@ def compare_folders(spark: SparkSession, reference_root: str, candidate_root: st
     wanted = scratch.save(wanted, "wanted")
     left = scratch.save(content.digests(wanted.where("admitted").drop("admitted"), False, "hash"), "left")
     used = left.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
-    check()
+    check("reference hashed", bytesRead=used)
     good = left.where("status = 'ok'")
     right_wanted = compare.within_prefix(compare.same_sizes(cand, good), LIMITS.compare_budget - used)
     right_wanted = scratch.save(right_wanted, "wanted")
     right = scratch.save(content.digests(right_wanted.where("admitted").drop("admitted"), False, "hash"), "right")
     read = used + right.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
-    check()
+    check("candidates hashed", bytesRead=read)
     found = compare.classified(good, right.where("status = 'ok'"))
     found = scratch.save(found, "classified")
     total = _one(compare.totals(found))
@@ -192,7 +198,7 @@ def measure_allocated_sizes(spark: SparkSession, root: str, targets: list[tuple[
 def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | None = None, watermark: dict | None = None, job: Job | None = None) -> dict:
     """Take a snapshot of a tree and publish it. Anything unreadable, a cap that is exceeded, or a cancel publishes nothing. The watermark is the journal's
     position before the walk, so changes meanwhile are read again. With an unchanged watermark the last result stands."""
-    clock, s, check = _Clock(), store.Store(spark, base), job.check if job else lambda: None
+    clock, s, check = _Clock(), store.Store(spark, base), job.check if job else lambda *a, **k: None
     root = tree.checked_root(root)
     old = s.scope(root)
     if old is not None and watermark is not None and old.watermark == watermark:
@@ -218,7 +224,7 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
     if max_files is not None and files.limit(max_files + 1).count() > max_files:
         raise ValueError(f"more than {max_files} files")
     generation = s.stage(root, files, report.rollup(files, root, dirs))
-    check()
+    check("staged")
     new = spark.read.schema(store.FILES).parquet(s._at(root, "files", generation))
     counts = _one(snapshot.change_counts(snapshot.changes(s.files(old) if old else new.limit(0), new)))
     check()

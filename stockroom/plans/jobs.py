@@ -12,12 +12,30 @@ class Cancelled(RuntimeError):
     """The job was cancelled; there is no partial result."""
 
 
+#: Seconds between two events of one phase.
+PROGRESS_SECONDS = 0.25
+
+
 class Job:
-    def __init__(self, job_id: str) -> None:
-        self.id, self._cancelled, self._paused = job_id, threading.Event(), threading.Event()
+    """listener: called with an event (job, phase, counters) at each change of phase, and else at most every PROGRESS_SECONDS. Events hold no names of files."""
+
+    def __init__(self, job_id: str, listener=None) -> None:
+        self.id, self._cancelled, self._paused, self._listener = job_id, threading.Event(), threading.Event(), listener
+        self._phase, self._told = None, 0.0
+
+    @property
+    def cancelled(self) -> bool:
+        return self._cancelled.is_set()
+
+    def progress(self, phase: str, **counters: int) -> None:
+        if self._listener is not None and (phase != self._phase or time.monotonic() - self._told >= PROGRESS_SECONDS):
+            self._phase, self._told = phase, time.monotonic()
+            self._listener({"jobId": self.id, "phase": phase, **counters})
 
-    def check(self) -> None:
-        """Wait while paused; raise Cancelled if cancelled."""
+    def check(self, phase: str | None = None, **counters: int) -> None:
+        """Tell of a phase, if one is given; wait while paused; raise Cancelled if cancelled."""
+        if phase is not None:
+            self.progress(phase, **counters)
         while self._paused.is_set() and not self._cancelled.is_set():
             time.sleep(0.05)
         if self._cancelled.is_set():
@@ -27,8 +45,8 @@ class Job:
 class Jobs:
     """Registry of the session's active job. Spark jobs run under the tag of its id, which cancelling interrupts."""
 
-    def __init__(self, spark=None) -> None:
-        self._lock, self._active, self._spark = threading.Lock(), None, spark
+    def __init__(self, spark=None, listener=None) -> None:
+        self._lock, self._active, self._spark, self._listener = threading.Lock(), None, spark, listener
 
     @contextmanager
     def run(self, job_id: str):
@@ -37,7 +55,7 @@ class Jobs:
         with self._lock:
             if self._active is not None:
                 raise RuntimeError("another job is running")
-            self._active = job = Job(job_id)
+            self._active = job = Job(job_id, self._listener)
         if self._spark is not None:
             self._spark.addTag(job_id)
         try:

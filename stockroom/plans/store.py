@@ -153,7 +153,7 @@ class Store:
 
     def publish(self, root: str, generation: int, watermark: dict | None = None) -> Scope:
         """Make a staged generation the one that readers see. ValueError if another has been published since it was staged: nothing changes then."""
-        old = self._staged.pop((root, generation), None) or self.scope(root)
+        old = self._staged.pop((root, generation)) if (root, generation) in self._staged else self.scope(root)
         count = self.spark.read.schema(FILES).parquet(self._at(root, "files", generation)).count()
         has_tree = not self.spark.read.schema(DIRECTORIES).parquet(self._at(root, "directories", generation)).isEmpty()
         return self._point(old, Scope(root, generation, (old.revision if old else 0) + 1, int(time.time()), count, has_tree, watermark))

@@ -13,7 +13,7 @@ from ..config import LIMITS
 from . import scratch
 
 
-def _facts(path: str) -> tuple | None:
+def _facts(path: str | bytes) -> tuple | None:
     try:
         s = os.lstat(path)
     except OSError:
@@ -21,7 +21,7 @@ def _facts(path: str) -> tuple | None:
     return (s.st_mode, s.st_size, s.st_mtime_ns)
 
 
-def digest(path: str, size: int, modified_ns: int, edges: bool) -> tuple[str | None, str, int]:
+def digest(path: str | bytes, size: int, modified_ns: int, edges: bool) -> tuple[str | None, str, int]:
     """(digest or None, `ok`, `changed` or `error`, bytes really read). Facts are held against the inventory before, and against these behind the reading."""
     before = _facts(path)
     if before is None:
@@ -51,7 +51,8 @@ def digests(files: DataFrame, edges: bool, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [digest(*x, edges) for x in zip(*(batch.column(c).to_pylist() for c in ("path", "size_bytes", "modified_ns")), strict=True)]
+            rows = batch.select(["path", "size_bytes", "modified_ns", *(c for c in ("raw_path",) if c in batch.schema.names)]).to_pylist()
+            found = [digest(r.get("raw_path") or r["path"], r["size_bytes"], r["modified_ns"], edges) for r in rows]
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, column, "status", "bytes_read"])
 

@@ -13,19 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..config import NO_CONTENT_MASK
 from . import scratch
 
-SCHEMA = "path string, kind string, size_bytes long, modified_ns long, attributes long, identity string, hardlink_count long, allocated_bytes long, error string"
+SCHEMA = "path string, kind string, size_bytes long, modified_ns long, attributes long, identity string, hardlink_count long, allocated_bytes long, error string, raw_path binary"
+#: Partitions that a walk is split into, if there are so many directories; directories that are looked at for that on the driver.
+PARTITIONS, LOOKED_AT = 64, 512
 ORDINARY = 0x20
 
 
+def _text(path: str) -> tuple[str, bytes | None]:
+    """A path as text, with a mark for what is no UTF-8, and its bytes if the text can't be turned back into them."""
+    raw = os.fsencode(path)
+    text = raw.decode("utf-8", "replace")
+    return text, None if text.encode() == raw else raw
+
+
 def _row(path: str) -> tuple:
+    text, raw = _text(path)
     try:
         s = os.lstat(path)
     except OSError as e:
-        return (path, "error", 0, 0, 0, None, None, None, f"{path}: {e.strerror}")
+        return (text, "error", 0, 0, 0, None, None, None, f"{text}: {e.strerror}", raw)
     kind = "symlink" if stat.S_ISLNK(s.st_mode) else "directory" if stat.S_ISDIR(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "other"
-    return (path, kind, s.st_size if kind == "file" else 0, s.st_mtime_ns, getattr(s, "st_file_attributes", ORDINARY), f"{s.st_dev}:{s.st_ino}", s.st_nlink, getattr(s, "st_blocks", 0) * 512, None)
+    return (text, kind, s.st_size if kind == "file" else 0, s.st_mtime_ns, getattr(s, "st_file_attributes", ORDINARY), f"{s.st_dev}:{s.st_ino}", s.st_nlink, getattr(s, "st_blocks", 0) * 512, None, raw)
 
 
 def walk(path: str, deep: bool = True) -> Iterator[tuple]:
@@ -37,18 +48,20 @@ def walk(path: str, deep: bool = True) -> Iterator[tuple]:
             with os.scandir(here) as entries:
                 names = sorted(e.name for e in entries)
         except OSError as e:
-            yield (here, "error", 0, 0, 0, None, None, None, f"{here}: {e.strerror}")
+            text, raw = _text(here)
+            yield (text, "error", 0, 0, 0, None, None, None, f"{text}: {e.strerror}", raw)
             continue
         for name in names:
-            row = _row(os.path.join(here, name))
+            path = os.path.join(here, name)
+            row = _row(path)
             yield row
             if deep and row[1] == "directory":
-                todo.append(row[0])
+                todo.append(path)
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, deep: bool) -> None:
-        self.path, self.deep = path, deep
+    def __init__(self, paths: list[str], deep: bool) -> None:
+        self.paths, self.deep = [os.fsencode(p) for p in paths], deep
 
 
 class _Reader(DataSourceReader):
@@ -56,12 +69,25 @@ class _Reader(DataSourceReader):
         self.root, self.deep = os.path.abspath(options["root"]), options.get("depth", "all") != "1"
 
     def partitions(self) -> list[InputPartition]:
-        """The root's own entries, and a partition for each directory in it."""
-        below = [r[0] for r in walk(self.root, deep=False) if r[1] == "directory"] if self.deep else []
-        return [_Part(self.root, False), *(_Part(d, True) for d in below)]
+        """Directories that were opened up for more partitions, each with its own entries only, and what hangs below them, dealt out."""
+        opened, todo = [self.root], [self.root] if self.deep else []
+        while todo and len(opened) <= LOOKED_AT:
+            here = todo.pop(0)
+            if here != self.root:
+                opened.append(here)
+            try:
+                with os.scandir(here) as entries:
+                    todo += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+            except OSError:
+                pass  # the walk of its own entries tells the error
+            if len(todo) >= PARTITIONS:
+                break
+        deal = [todo[i :: 16 * PARTITIONS] for i in range(min(len(todo), 16 * PARTITIONS))]
+        return [*(_Part([p], False) for p in opened), *(_Part(p, True) for p in deal)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        yield from walk(partition.path, partition.deep)
+        for path in partition.paths:
+            yield from walk(os.fsdecode(path), partition.deep)
 
 
 class FileTree(DataSource):
@@ -77,9 +103,11 @@ class FileTree(DataSource):
 
 
 def checked_root(root: str) -> str:
-    """The root's absolute path; ValueError unless it is a directory and no link."""
+    """The root's absolute path; ValueError unless it is a directory, no link, and not virtual."""
     if not os.path.isdir(root) or os.path.islink(root):
         raise ValueError(f"{root} is no directory, or is a link")
+    if getattr(os.lstat(root), "st_file_attributes", ORDINARY) & NO_CONTENT_MASK:
+        raise ValueError(f"{root} is not kept on this disk")
     return os.path.abspath(root)
 
 
@@ -91,7 +119,7 @@ def read(spark: SparkSession, root: str, depth: str = "all") -> DataFrame:
 
 
 def files_of(entries: DataFrame) -> DataFrame:
-    return entries.where(F.col("kind") == "file").select("path", "size_bytes", "modified_ns", "attributes", "identity", "hardlink_count", "allocated_bytes")
+    return entries.where(F.col("kind") == "file").select("path", "size_bytes", "modified_ns", "attributes", "identity", "hardlink_count", "allocated_bytes", *(c for c in ("raw_path",) if c in entries.columns))
 
 
 def directories_of(entries: DataFrame, root: str) -> DataFrame:
