@@ -52,9 +52,8 @@ def flattened(directories: DataFrame, root: str, start: int = 0, rows: int | Non
 
 
 def enumerated(records: DataFrame, root_id: str, root: str, most: int = LIMITS.bulk_records) -> DataFrame:
-    """path, depth, is_directory, size_bytes, attributes of all below the root, from records (id, parent, name, is_directory, size_bytes, attributes) of a bulk
-    enumeration. ValueError for more than `most` records, an id that repeats, or a name that is `.` or `..`; records that hang nowhere are left out."""
+    """path, depth and the other columns of all below the root, from records (id, parent, name, is_directory, size_bytes, attributes, ...) of a bulk enumeration. ValueError for more than `most` records, an id that repeats, or a name that is `.` or `..`; records that hang nowhere are left out."""
     n, ids, bad = records.agg(F.count("*"), F.count_distinct("id"), F.count_if(F.col("name").isin(".", ".."))).first()
     if n > most or ids != n or bad:
         raise ValueError("too many records" if n > most else "an id repeats" if ids != n else "a name is no name")
-    return resolved_paths(records.select("id", "parent", "name"), root_id, root).where(F.col("id") != root_id).join(records.select("id", "is_directory", "size_bytes", "attributes"), "id").select("path", "depth", "is_directory", "size_bytes", "attributes")
+    return resolved_paths(records.select("id", "parent", "name"), root_id, root).where(F.col("id") != root_id).join(records.drop("parent", "name"), "id").drop("id")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import BUDGETS, LIMITS
 from ..functions import paths
-from ..operators import audit, compare, duplicates, report, search, snapshot
+from ..operators import audit, compare, duplicates, hierarchy, report, search, snapshot
 from ..sources import content, scratch, tree
 from . import store
 from .jobs import Cancelled, Job
@@ -194,9 +194,18 @@ def measure_allocated_sizes(spark: SparkSession, root: str, targets: list[tuple[
     return {"items": _rows(items), **_one(audit.allocation_counters(items)), "elapsedMs": clock.ms()}
 
 
+def _enumerated(bulk: tuple[DataFrame, str], root: str) -> DataFrame | None:
+    """Entries out of (records, id of the root) of a bulk enumeration, or None if it can't be trusted; records: see hierarchy.enumerated(), with modified_ns."""
+    try:
+        found = hierarchy.enumerated(scratch.save(bulk[0], "bulk"), bulk[1], root)
+    except ValueError:
+        return None
+    return found.select("path", F.when(F.col("is_directory"), "directory").otherwise("file").alias("kind"), "size_bytes", "modified_ns", F.col("attributes").cast("long").alias("attributes"), F.lit(None).cast("string").alias("identity"), F.lit(None).cast("long").alias("hardlink_count"), F.lit(None).cast("long").alias("allocated_bytes"), F.lit(None).cast("string").alias("error"))
+
+
 @_releasing
-def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | None = None, watermark: dict | None = None, job: Job | None = None) -> dict:
-    """Take a snapshot of a tree and publish it. Anything unreadable, a cap that is exceeded, or a cancel publishes nothing. The watermark is the journal's
+def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | None = None, watermark: dict | None = None, job: Job | None = None, bulk: tuple[DataFrame, str] | None = None) -> dict:
+    """Take a snapshot of a tree and publish it: out of `bulk`, the records of an enumeration and the root's id, where they are given and sound, else by a walk. Anything unreadable, a cap that is exceeded, or a cancel publishes nothing. The watermark is the journal's
     position before the walk, so changes meanwhile are read again. With an unchanged watermark the last result stands."""
     clock, s, check = _Clock(), store.Store(spark, base), job.check if job else lambda *a, **k: None
     root = tree.checked_root(root)
@@ -204,7 +213,9 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
     if old is not None and watermark is not None and old.watermark == watermark:
         return {"root": root, "files": old.file_count, "added": 0, "changed": 0, "unchanged": old.file_count, "removed": 0, "skippedDirectories": 0, "completedAtUnix": old.completed_at_unix, "batchesWritten": 0, "indexMethod": "unchanged", "elapsedMs": clock.ms()}
     own = os.path.abspath(s.base.removeprefix("file:")) if "://" not in s.base or s.base.startswith("file:") else None
-    entries = tree.read(spark, root)
+    entries = _enumerated(bulk, root) if bulk is not None else None
+    method = "walk" if entries is None else "bulk"
+    entries = tree.read(spark, root) if entries is None else entries
     if own is not None:  # the store's own files change while it is written
         entries = entries.where(~paths.is_under(F.col("path"), own))
     entries = scratch.save(entries, "walk")
@@ -230,7 +241,7 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
     check()
     scope = s.publish(root, generation, watermark)
     s.prune(scope)
-    return {"root": root, **counts, "skippedDirectories": skipped, "completedAtUnix": scope.completed_at_unix, "batchesWritten": s.parts(root, generation), "indexMethod": "walk", "elapsedMs": clock.ms()}
+    return {"root": root, **counts, "skippedDirectories": skipped, "completedAtUnix": scope.completed_at_unix, "batchesWritten": s.parts(root, generation), "indexMethod": method, "elapsedMs": clock.ms()}
 
 
 @_releasing
@@ -306,8 +317,8 @@ def list_quarantine(spark: SparkSession, manifest: DataFrame, folder: str) -> li
 
 
 @_releasing
-def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records: DataFrame, ids: DataFrame, job: Job | None = None) -> dict:
-    """Bring a snapshot up to `now` (a journal.Watermark) by the cheapest way that holds: `unchanged`, `delta`, or `walk`.
+def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records: DataFrame, ids: DataFrame, job: Job | None = None, bulk: tuple[DataFrame, str] | None = None) -> dict:
+    """Bring a snapshot up to `now` (a journal.Watermark) by the cheapest way that holds: `unchanged`, `delta`, `bulk` (see refresh_index()), or `walk`.
 
     records: usn, file_id, reason, size_bytes; ids: file_id, path, one row a file. A delta needs an unbroken journal, no structural change, few enough
     records and files, and every changed file in the snapshot. An unchanged tree keeps its watermark, so the next refresh reads these records again.
@@ -326,6 +337,8 @@ def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records
             if some.isEmpty():
                 return stats | {"changed": 0, "unchanged": scope.file_count, "batchesWritten": 0, "indexMethod": "unchanged", "elapsedMs": clock.ms()}
             last = journal.latest(some)
+            if {"hardlink_count", "attributes"} <= set(ids.columns):  # one name and one link a file, and none of it virtual
+                ids = journal.resolved(last, ids, root)
             changed = last.join(ids, "file_id", "left").select("path", F.col("size_bytes"))
             if journal.structural(some).isEmpty() and journal.small_enough(changed, some) and changed.where("path is null").isEmpty():
                 rows = [(r["path"], r["size_bytes"]) for r in changed.collect()]  # LIMITS.delta_files at most
@@ -333,7 +346,7 @@ def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records
                 return stats | {"changed": len(rows), "unchanged": scope.file_count - len(rows), "batchesWritten": 1, "completedAtUnix": new.completed_at_unix, "indexMethod": "delta", "elapsedMs": clock.ms()}
         except ValueError:
             pass  # a changed file that the snapshot does not have: read the tree
-    return refresh_index(spark, base, root, watermark=asdict(now), job=job)
+    return refresh_index(spark, base, root, watermark=asdict(now), job=job, bulk=bulk)
 
 
 def quick_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, object]:

@@ -115,3 +115,18 @@ def test_a_grant_is_spent_once_and_grows_old(spark):
     rows = [("d", 0, 1, "grant"), ("d", 10, 2, "use"), ("d", 20, 3, "use"), ("d", 30, 4, "grant"), ("d", 331, 5, "use"), ("e", 0, 1, "use")]
     df = spark.createDataFrame(rows, "subject string, s long, seq long, kind string").withColumn("at", F.timestamp_seconds("s"))
     assert sorted(map(tuple, audit.granted(df).collect())) == [("d", 2, True), ("d", 3, False), ("d", 5, False), ("e", 1, False)]
+
+
+def test_refresh_out_of_an_enumeration(spark, tmp_path):
+    root = tmp_path / "r"
+    (root / "walked").mkdir(parents=True)
+    (root / "walked" / "f").write_bytes(b"12345")
+    schema = "id string, parent string, name string, is_directory boolean, size_bytes long, attributes int, modified_ns long"
+    sound = spark.createDataFrame([("1", "0", "d", True, 0, 16, 1), ("2", "1", "f", False, 7, 32, 2), ("3", "0", "g", False, 1, 32, 2)], schema)
+    base = f"file://{tmp_path}/s"
+    got = commands.refresh_index(spark, base, str(root), bulk=(sound, "0"))
+    assert (got["indexMethod"], got["files"]) == ("bulk", 2)
+    page = commands.browse_index_tree(spark, base, str(root), str(root))
+    assert [(n["path"], n["sizeBytes"]) for n in page["nodes"]] == [(f"{root}/d", 7), (f"{root}/g", 1)]
+    got = commands.refresh_index(spark, base, str(root), bulk=(sound.unionAll(sound), "0"))
+    assert (got["indexMethod"], got["added"], got["removed"]) == ("walk", 1, 2)
