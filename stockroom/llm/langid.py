@@ -20,7 +20,8 @@ from . import scratch, textvec
 
 BUCKETS, SMOOTHING = 1 << 15, 0.5
 PENALTY = 2.0
-#: EM of a text ends when a round adds less than GAIN to its log likelihood: a thousandth of the least penalty. A text that takes MOST_ROUNDS is an error.
+#: EM of a text ends when a round adds less to its log likelihood than GAIN, a thousandth of the least penalty, or than what sums of that size may be off
+#: by rounding. A text that takes MOST_ROUNDS is an error.
 GAIN, MOST_ROUNDS = 1e-3, 100_000
 UNKNOWN = "und"
 
@@ -91,7 +92,7 @@ def _mixture(like: np.ndarray, ptr: np.ndarray, allowed: np.ndarray) -> tuple[np
         part = mine * np.repeat(share[live], n, axis=0)
         of_word = part.sum(1)
         logs[live] = now = np.add.reduceat(np.log(of_word), starts[:-1]) if len(live) else np.zeros(0)
-        going = now - before > GAIN
+        going = now - before > GAIN + 1e-9 * np.abs(now)
         if not going.any():
             return share, logs
         new = np.add.reduceat(part / of_word[:, None], starts[:-1], axis=0) / n[:, None]
