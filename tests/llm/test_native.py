@@ -275,6 +275,7 @@ def test_generated_conversations_against_plain_python(spark, monkeypatch, hot):
         made = [{"id": i, "name": rnd.choice("fg"), "arguments": rnd.choice([{"a": 1}, {"a": -1}, {}, {"a": "x"}, {"a": 2, "o": {"p": 3}}, [], {"a": 0, "o": {"p": 2}}]), "depends_on": [f"c{rnd.randrange(40)}" for _ in range(rnd.randrange(0, 2))]} for i in dict.fromkeys(ids)]
         rows.append((conv, rnd.randrange(1, 12), "assistant", calls(*made)))
         rows += [(conv, rnd.randrange(5, 20), "tool", json.dumps({"tool_call_id": f"c{rnd.randrange(35)}", "content": i})) for i in range(3)]
+    rows.append((5, 4, "assistant", calls(*({"id": i, "name": "f", "arguments": {"a": 1}, "depends_on": [n]} for i, n in (("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("x4", "x1"))))))
     rows += [(c, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": small}]})) for c in range(1, 6)] + [(9, 1, "user", "hi"), (9, 2, "assistant", None)]
     got = Counter((r["conv_id"], r["kind"], r["call_id"], r["status"], r["problem"], r["order_turn"], r["order_level"]) for r in messages(spark, rows))
     want = linked_by_hand(rows)
