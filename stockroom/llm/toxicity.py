@@ -74,7 +74,7 @@ class Index:
         """Examples with a term of the query whose cosine is that of the k-th nearest or more, nearest first, and their cosines; `leave` is left out."""
         size, row = len(self.ids), self.head[term]
         k = min(NEIGHBOURS, size)
-        best = w[row >= 0] @ self.dense[row[row >= 0]]
+        best = w[row >= 0] @ self.dense[row[row >= 0]].astype(np.float64)
         term, w = term[row < 0], w[row < 0]
         n = self.cell_at[term + 1] - self.cell_at[term]
         cells, of_cell = _spread(self.cell_at[term], n), np.repeat(w, n)
@@ -119,14 +119,15 @@ def _postings(rows: list[tuple[np.ndarray, np.ndarray]], terms: int) -> tuple[np
     often = np.flatnonzero(np.bincount(term, minlength=terms) > max(len(rows) / FREQUENT, BLOCK))
     head = np.full(terms, -1, np.int32)
     head[often] = np.arange(len(often))
-    dense, h = np.zeros((len(often), len(rows))), head[term] >= 0 if len(term) else np.zeros(0, bool)
+    dense, h = np.zeros((len(often), len(rows)), np.float32), head[term] >= 0 if len(term) else np.zeros(0, bool)
     dense[head[term[h]], doc[h]] = weight[h]
     doc, term, weight = doc[~h], term[~h], weight[~h]
     order = np.lexsort((doc, term))
-    doc, term, weight = doc[order], term[order], weight[order]
+    doc, term, weight = doc[order], term[order], weight[order].astype(np.float32)
     first = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(doc // BLOCK) != 0))) if len(term) else np.zeros(0, np.int64)
     ceiling = np.maximum.reduceat(weight, first) if len(term) else weight
-    return np.searchsorted(term[first], np.arange(terms + 1)), (doc[first] // BLOCK).astype(np.int32), ceiling, np.append(first, len(term)), doc.astype(np.int32), weight, head, dense
+    ends = [np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32), np.append(first, len(term)).astype(np.int32)]
+    return ends[0], (doc[first] // BLOCK).astype(np.uint16), ceiling, ends[1], doc.astype(np.uint16 if len(rows) < 1 << 16 else np.int32), weight, head, dense
 
 
 def _logit(vote: np.ndarray) -> np.ndarray:
@@ -134,6 +135,24 @@ def _logit(vote: np.ndarray) -> np.ndarray:
     return np.log(v / (1 - v))
 
 
+@dataclass(frozen=True)
+class Packed:
+    """A fitted index as compressed bytes: what the driver holds and sends to tasks. load() gives the Index."""
+
+    data: bytes
+
+    @classmethod
+    def of(cls, index: Index) -> Packed:
+        import zstandard
+
+        return cls(zstandard.ZstdCompressor(level=6).compress(pickle.dumps(index.__dict__)))
+
+    def load(self) -> Index:
+        import zstandard
+
+        return Index(**pickle.loads(zstandard.ZstdDecompressor().decompress(self.data)))
+
+
 def _calibrate(vote: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Slope (not below 0) and intercept of a logistic regression of the labels on the votes' log odds, by Newton steps with a little ridge."""
     x, w = _logit(vote), w / w.mean()
@@ -220,12 +239,12 @@ def _build(rows: dict[int, int], vocabulary: np.ndarray, df: np.ndarray, docs: i
         pdf = pdf.sort_values(["doc_id", "toxic"], kind="stable")
         terms = [(np.frombuffer(t, np.uint64), np.frombuffer(n, np.int32)) for t, n in zip(pdf["terms"], pdf["counts"], strict=True)]
         index = build(pdf["doc_id"].to_numpy(np.int64), pdf["toxic"].to_numpy(np.int64), terms, rows, vocabulary, df, docs, associate)
-        return pd.DataFrame({"index": [pickle.dumps(index.__dict__)]})
+        return pd.DataFrame({"index": [Packed.of(index).data]})
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, associate: bool = True) -> Index | None:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, associate: bool = True) -> Packed | None:
     """Index of at most `examples` labelled documents of each class outside the held-out fold, by a hash of the id; None without any. associate: weight terms by
     what they tell of the label, not by TF-IDF alone.
 
@@ -252,13 +271,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, associate:
         found = counts.groupBy().applyInPandas(_packed, "term binary, n binary").first()  # at most a row a term of the vocabulary
         df[np.frombuffer(found["term"], np.int64)] = np.frombuffer(found["n"], np.int64)
     made = terms.groupBy().applyInPandas(_build(rows, vocabulary, df, docs.count(), associate), "index binary").first()
-    return Index(**pickle.loads(made["index"]))
+    return Packed(bytes(made["index"]))
 
 
-def _score(index: Index | None):
+def _score(packed: Packed | None):
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = packed.load() if packed is not None else None
         for batch in batches:
             for at, part in textvec.slices(batch.column("text")):
                 got = [(0.0, 0.0, [])] * len(part)
@@ -278,7 +298,7 @@ def _score(index: Index | None):
     return run
 
 
-def score(docs: DataFrame, index: Index | None) -> DataFrame:
+def score(docs: DataFrame, index: Packed | None) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, score (calibrated probability), vote (of the neighbours), evidence (the five nearest examples:
     doc_id, toxic, cosine; of equal cosines the smaller ids; fewer if fewer share a term).
 

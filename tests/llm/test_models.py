@@ -52,7 +52,7 @@ def test_index_and_votes_against_dense_vectors():
 def test_document_frequencies_over_all_documents(spark):
     rows = [(i, f"common w{i % 7} w{i % 7} only{i}") for i in range(200)] + [(500, None), (501, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    index = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)] + [(500, 0)], "doc_id long, toxic int"), associate=False)
+    index = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)] + [(500, 0)], "doc_id long, toxic int"), associate=False).load()
     place = lambda w: int(np.searchsorted(index.vocabulary, toxicity._terms(pa.array([w]))[0][0]))
     count = {w: sum(w in (t or "").split() for _, t in rows) for w in ("common", "w0", "w3", "only1")}
     assert all(index.idf[place(w)] == pytest.approx(np.log(203 / (1 + n)) + 1) for w, n in count.items()) and len(set(index.ids)) == len(index.ids) < 61
