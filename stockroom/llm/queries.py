@@ -96,3 +96,12 @@ def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge
 
     return judge(scratch.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bytebpe import encode
+
+    return encode(scratch.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
