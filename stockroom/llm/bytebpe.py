@@ -121,7 +121,8 @@ class Codec:
         if self._strange is not None and not text.isascii() and self._strange.search(text):
             found = (text[m.start() : m.end()] for m in self._cut.finditer(text.translate(self._differ)))
         elif len(text) <= PART:
-            yield self._cut.findall(text)
+            if text:
+                yield self._cut.findall(text)
             return
         else:
             found = (m.group() for m in self._cut.finditer(text))
@@ -254,9 +255,8 @@ class Encoder:
     def _pieces(self, rows: list[int], sizes: list[int], held: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         ids, n = self.ids(held)
         ends = np.cumsum(n)[np.cumsum(sizes) - 1]
-        for row, size, piece in zip(rows, sizes, np.split(ids, ends[:-1]), strict=True):
-            if size:
-                yield row, piece
+        for row, piece in zip(rows, np.split(ids, ends[:-1]), strict=True):
+            yield row, piece
 
 
 @lru_cache(maxsize=2)
