@@ -105,3 +105,19 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bytebpe import encode
 
     return encode(scratch.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import rank
+
+    return rank(scratch.table(spark, sf_dir, "documents"), scratch.table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    vectors = scratch.table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors.select("vec_id", "embedding", relabelled.alias("label")), F.col("vec_id") % 100 == 0)

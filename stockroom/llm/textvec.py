@@ -83,10 +83,10 @@ class Words:
     start, end: places in the buffer. ptr: words of text i are ptr[i]:ptr[i + 1]. doc: text of each word.
     """
 
-    def __init__(self, texts: pa.Array, letters: bool = False) -> None:
-        """With `letters`, words are runs of letters and digits instead (ASCII ones, or any byte of other characters), with case folded in Latin-1."""
+    def __init__(self, texts: pa.Array, letters: bool = False, latin: bool = True) -> None:
+        """With `letters`, words are runs of letters and digits instead (ASCII ones, or any byte of other characters), with case folded in Latin-1 if `latin`."""
         buf, ends = flat(texts)
-        if letters:
+        if letters and latin:
             buf = fold(buf)
         self.buf, self.ends = buf, ends
         n = len(buf)
