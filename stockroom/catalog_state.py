@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +32,9 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", display.bytes_text(F.col("n")).alias("bytes"), display.number_text(F.col("n")).alias("number"), display.digest_text(F.col("hash")).alias("digest"), display.throughput(F.col("n"), F.lit(250)).alias("mib_a_second"))
 
 
-_TENTHS = "CAST(round(ms / 100.0::DOUBLE) AS BIGINT)"
-
-
-@query(f"WITH s AS (SELECT event_id, event_id * 37 % 5000000 AS ms FROM events) SELECT event_id, CASE WHEN ms >= 1000 THEN translate(format('{{:,}}', {_TENTHS} // 10), ',', '.') || ',' || {_TENTHS} % 10 || ' s' ELSE translate(format('{{:,}}', ms), ',', '.') || ' ms' END AS duration FROM s WHERE ms % 100 <> 50")
+@query("WITH s AS (SELECT event_id, event_id * 37 % 5000000 AS ms FROM events) SELECT event_id, CASE WHEN ms < 1000 THEN ms || ' ms' WHEN ms % 1000 = 250 THEN ms // 1000 || ',3 s' ELSE replace(format('{:.1f}', ms / 1000.0::DOUBLE), '.', ',') || ' s' END AS duration FROM s")
 def display_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the halves of a tenth, which the two engines round by different rules."""
-    ms = F.col("event_id") * 37 % 5000000
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where(ms % 100 != 50).select("event_id", display.duration_text(ms).alias("duration"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", display.duration_text(F.col("event_id") * 37 % 5000000).alias("duration"))
 
 
 @query("""WITH s AS (SELECT doc_id, ['c:', ' D: ', 'ee:', '7:', '', 'x', 'Z::'][1 + doc_id % 7] AS drive, CASE WHEN doc_id % 5 = 0 THEN 'short' WHEN doc_id % 5 = 1 THEN 'job_' || (100000 + doc_id) ELSE 'job-' || (100000 + doc_id) END AS job, md5(text) AS h FROM documents),
@@ -242,18 +238,50 @@ def snapshot_after_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.files(s.overlay(scope, some, touched)).select("path", "size_bytes")
 
 
-@query("WITH c AS (SELECT '/corpus/' || source AS root, count(*) AS files FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY 1) SELECT root, files, true AS has_tree, 1 AS revision FROM c")
+@query(f"""WITH {FILES_SQL} SELECT path, size_bytes + CASE WHEN doc_id % 30 = 0 THEN 5 WHEN doc_id % 50 = 0 THEN 11 ELSE 0 END AS size_bytes FROM files""")
+def snapshot_after_a_refused_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One delta is published, one that began before it is refused, and a third follows the first: files of the refused one keep what they had."""
+    s = _store(spark)
+    scope = _published(spark, sf_dir, s, ROOT)
+    files = _files(spark, sf_dir).withColumn("parent_path", paths.parent(F.col("path")))
+    some = lambda every, more: (files.where(F.col("doc_id") % every == 0).withColumn("size_bytes", F.col("size_bytes") + more), s.directories(scope).limit(0))
+    second = s.overlay(scope, *some(50, 11))
+    try:
+        s.overlay(scope, *some(20, 999))
+    except ValueError:
+        s.overlay(second, *some(30, 5))
+    return s.files(s.scope(ROOT)).select("path", "size_bytes")
+
+
+@query(f"WITH {FILES_SQL} SELECT '/by/' || lang AS root, count(*) AS files, true AS has_tree, 1 AS revision FROM files WHERE lang IS NOT NULL GROUP BY 1")
 def published_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files, in a scope for each language."""
     s = _store(spark)
-    for name in ("src0", "src1", "src2"):
-        _published(spark, sf_dir, s, f"{ROOT}/{name}")
+    files = scratch.save(_files(spark, sf_dir).where("lang is not null").withColumn("path", F.concat(F.lit("/by/"), "lang", "path")).withColumn("parent_path", paths.parent(F.col("path"))), "files")
+    for (lang,) in files.select(F.split("path", "/")[2]).distinct().collect():
+        root = f"/by/{lang}"
+        mine = files.where(paths.is_under(F.col("path"), root))
+        s.publish(root, s.stage(root, mine, report.rollup(mine, root)))
     found = [(x.root, x.file_count, x.has_tree, x.revision) for x in s.scopes()]
     return spark.createDataFrame(found, "root string, files long, has_tree boolean, revision int")
 
 
-@query(f"WITH {FILES_SQL} SELECT path, regexp_replace(path, '/[^/]*$', '') AS parent_path, size_bytes, modified_ns, CAST(attributes AS BIGINT) AS attributes FROM files")
+@query(f"WITH {FILES_SQL} SELECT path, regexp_replace(path, '/[^/]*$', '') AS parent_path, size_bytes + CASE WHEN doc_id % 40 = 0 THEN 3 ELSE 0 END AS size_bytes, modified_ns, CASE WHEN doc_id % 40 = 0 THEN CAST(attributes AS BIGINT) ELSE 32 END AS attributes FROM files")
 def snapshot_of_older_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that were written before parent paths and attributes were kept, beside newer ones."""
-    files = _files(spark, sf_dir)
-    old = store.migrated(files.where("doc_id % 2 = 0 and attributes = 32").select("path", "size_bytes", "modified_ns"))
-    return old.unionByName(store.migrated(files.where("not (doc_id % 2 = 0 and attributes = 32)").select("path", "size_bytes", "modified_ns", "attributes")))
+    """Files that an earlier version wrote without parent paths and attributes, behind a pointer file, read through the store, and with a delta over them."""
+    s, files = _store(spark), _files(spark, sf_dir)
+    files.select("path", "size_bytes", "modified_ns").write.parquet(s._at(ROOT, "files", "generation=1"))
+    s._fs.mkdirs(s._path(f"{s.base}/scopes"))
+    s._create(f"{s.base}/scopes/{s._key(ROOT)}.json", json.dumps({"root": ROOT, "generation": 1, "completed_at_unix": 1, "file_count": files.count()}))
+    old = s.scope(ROOT)
+    some = files.where("doc_id % 40 = 0").withColumn("parent_path", paths.parent(F.col("path"))).withColumn("size_bytes", F.col("size_bytes") + 3)
+    return s.files(s.overlay(old, some, report.rollup(s.files(old), ROOT)))
+
+
+@query("WITH f AS (SELECT '/all/' || doc_id AS path, strlen(text) // 7 AS size_bytes FROM documents) SELECT path, size_bytes FROM f WHERE size_bytes < 300 OR size_bytes = 300 AND path > '/all/3' ORDER BY size_bytes DESC, path LIMIT 201")
+def stored_page_of_one_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of one published directory; a page behind a cursor reads the rows between marks only."""
+    s, i = _store(spark), F.col("doc_id").cast("string")
+    files = _docs(spark, sf_dir).where("text is not null").select(F.concat(F.lit("/all/"), i).alias("path"), F.lit("/all").alias("parent_path"), F.floor(F.octet_length("text") / 7).cast("long").alias("size_bytes"), F.col("doc_id").alias("modified_ns"), F.lit(32).cast("long").alias("attributes"))
+    scope = s.publish("/all", s.stage("/all", files, report.rollup(files, "/all")))
+    return s.children(scope, "files", "/all", (300, "/all/3"), 201).select("path", "size_bytes")

@@ -54,6 +54,7 @@ class Limits:
     chart_types: int = 7
     listed_matches: int = 50
     grant_seconds: int = 300
+    retain_seconds: int = 6 * 3600
 
 
 LIMITS = Limits()

@@ -31,7 +31,9 @@ def number_text(n: Column) -> Column:
 
 
 def duration_text(ms: Column) -> Column:
-    return F.when(ms >= 1000, F.concat(_local(F.format_number(ms / 1000, 1)), F.lit(" s"))).otherwise(F.concat(number_text(ms), F.lit(" ms")))
+    """Seconds with one digit, without groups, or milliseconds below one second. A half of a tenth goes up where the seconds are one exactly, else as their double lies."""
+    text = F.when(ms % 1000 == 250, F.concat(F.floor(ms / 1000).cast("string"), F.lit(",3"))).otherwise(F.translate(F.format_number(ms / 1000, 1), ".,", ","))
+    return F.when(ms >= 1000, F.concat(text, F.lit(" s"))).otherwise(F.concat(ms.cast("string"), F.lit(" ms")))
 
 
 def path_text(path: Column, most: int = 80) -> Column:

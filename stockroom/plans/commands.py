@@ -234,14 +234,14 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
     files = files.withColumn("parent_path", paths.parent(F.col("path")))
     if max_files is not None and files.limit(max_files + 1).count() > max_files:
         raise ValueError(f"more than {max_files} files")
-    generation = s.stage(root, files, report.rollup(files, root, dirs))
+    staged = s.stage(root, files, report.rollup(files, root, dirs))
     check("staged")
-    new = spark.read.schema(store.FILES).parquet(s._at(root, "files", generation))
+    new = s.staged_files(root, staged)
     counts = _one(snapshot.change_counts(snapshot.changes(s.files(old) if old else new.limit(0), new)))
     check()
-    scope = s.publish(root, generation, watermark)
-    s.prune(scope)
-    return {"root": root, **counts, "skippedDirectories": skipped, "completedAtUnix": scope.completed_at_unix, "batchesWritten": s.parts(root, generation), "indexMethod": method, "elapsedMs": clock.ms()}
+    scope = s.publish(root, staged, watermark)
+    s.vacuum(root)
+    return {"root": root, **counts, "skippedDirectories": skipped, "completedAtUnix": scope.completed_at_unix, "batchesWritten": s.parts(root, staged), "indexMethod": method, "elapsedMs": clock.ms()}
 
 
 @_releasing
@@ -282,6 +282,7 @@ def list_indexed_scopes(spark: SparkSession, base: str) -> list[dict]:
     return [{"root": s.root, "files": s.file_count, "completedAtUnix": s.completed_at_unix, "hasTree": s.has_tree} for s in store.Store(spark, base).scopes(LIMITS.scopes)]
 
 
+@_releasing
 def browse_index_tree(spark: SparkSession, base: str, root: str, parent_path: str, after: dict | None = None, limit: int | None = None, generation: int | None = None) -> dict:
     """A page of a directory's children. `generation` in requests and pages is the revision: it changes with every publication."""
     if not (parent_path == root or parent_path.startswith(root.rstrip("/") + "/")):
@@ -292,11 +293,19 @@ def browse_index_tree(spark: SparkSession, base: str, root: str, parent_path: st
     scope = s.scope(root)
     if scope is None:
         raise ValueError("nothing is published for this root")
+    if not scope.has_tree:
+        raise ValueError("the snapshot has no tree yet: refresh it")
     if generation is not None and generation != scope.revision:
         raise ValueError("the snapshot has been replaced meanwhile")
     n = max(1, min(limit if limit is not None else LIMITS.page, LIMITS.page_most))
-    cursor = (after["kind"], after["sizeBytes"], after["path"]) if after else None
-    rows = _rows(snapshot.page(snapshot.children(s.files(scope), s.directories(scope), parent_path), cursor, n).drop("kind_rank"))
+    cursor = (after["sizeBytes"], after["path"]) if after else None
+    rows = []
+    if after is None or after["kind"] == "directory":
+        found = s.children(scope, "directories", parent_path, cursor, n + 1)
+        rows, cursor = _rows(snapshot.children(found.limit(0).selectExpr("path", "parent_path", "size_bytes", "0 as attributes"), found, parent_path).drop("kind_rank")), None
+    if len(rows) <= n:
+        found = s.children(scope, "files", parent_path, cursor, n + 1 - len(rows))
+        rows += _rows(snapshot.children(found, found.limit(0).selectExpr("path", "parent_path", "size_bytes", "0L as files"), parent_path).drop("kind_rank"))
     rows.sort(key=lambda r: (r["kind"] != "directory", -r["sizeBytes"], r["path"].encode()))
     last = rows[n - 1] if len(rows) > n else None
     return {"root": root, "parentPath": parent_path, "nodes": rows[:n], "nextCursor": last and {"kind": last["kind"], "sizeBytes": last["sizeBytes"], "path": last["path"]}, "completedAtUnix": scope.completed_at_unix, "generation": scope.revision}
