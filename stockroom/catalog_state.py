@@ -12,8 +12,9 @@ from .catalog import _EXT, _NAME, _RECORDS, _STATUS, _files, _records, query
 from .functions import display, paths
 from .operators import audit, hierarchy, journal, report, search
 from .plans import requests, store
-from .sources import records, scratch, tree
+from .sources import records, scratch, segments, tree
 from .sources.adapter import FILES_SQL, ROOT
+from .streaming import journal as stream
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +178,52 @@ def single_use_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.granted(e, 36_000)
 
 
+_USE_SQL = """WITH e AS (SELECT user_id AS subject, ts, event_id AS seq, CASE WHEN event_type = 'click' THEN 'use' ELSE 'grant' END AS kind FROM events), b AS (SELECT *, lag(kind) OVER w AS bk, lag(ts) OVER w AS bt FROM e WINDOW w AS (PARTITION BY subject ORDER BY ts, seq))
+SELECT CAST(subject AS VARCHAR) AS subject, seq, coalesce(bk = 'grant' AND epoch_us(ts) - epoch_us(bt) <= 36000000000, false) AS granted FROM b WHERE kind = 'use'"""
+
+
+@query(_USE_SQL)
+def grants_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grants as keyed state with a time to live: events arrive in four parts, in order of time, and the stream is started again after two of them."""
+    base = scratch.folder(spark, f"grants-{uuid.uuid4().hex}")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("subject"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "use").otherwise("grant").alias("kind"))
+    first, last = e.agg(F.unix_micros(F.min("at")), F.unix_micros(F.max("at"))).first()
+    part = F.floor((F.unix_micros("at") - first) * 4 / (last - first + 1))
+    for i in range(4):
+        e.where(part == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if i in (1, 3):
+            stream.append(stream.grants_of(stream.source(spark, f"{base}/in", 1, e.schema), 36_000), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema(stream.GRANTED).parquet(f"{base}/out/batch=*")
+
+
+_REASON = "CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 4097 WHEN 'signup' THEN 256 WHEN 'error' THEN 32768 ELSE 2147483648 END"
+
+
+@query(f"SELECT event_id AS usn, lpad(lower(to_hex(user_id * 4294967311)), 16, '0') AS file_id, lpad(lower(to_hex(event_id % 97)), 16, '0') AS parent_id, CAST({_REASON} AS BIGINT) AS reason, CASE WHEN event_id % 10 = 0 THEN 16 ELSE 32 END::BIGINT AS attributes, event_type || ' é漢😀 ' || event_id AS name FROM events")
+def journal_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as binary journal records in segments, followed by usn a bounded number at a time; half of them come while the reader is stopped."""
+    base = scratch.folder(spark, f"journal-{uuid.uuid4().hex}")
+    i, name = F.col("event_id"), F.concat("event_type", F.lit(" é漢😀 "), F.col("event_id").cast("string"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(i.alias("usn"), (F.col("user_id") * 4294967311).alias("file_id"), (i % 97).alias("parent_id"), F.expr(_REASON).cast("long").alias("reason"), F.when(i % 10 == 0, 16).otherwise(32).cast("long").alias("attributes"), name.alias("name"))
+    n, folder = e.count(), base.removeprefix("file://") + "/segments"
+    step = max(100, n // 20)
+    segments.capture(e.where(F.col("usn") < n // 2 // step * step), folder, step)
+    stream.follow(spark, folder, f"{base}/out", f"{base}/state", most=5 * step)
+    segments.capture(e.where(F.col("usn") >= n // 2 // step * step), folder, step)
+    stream.follow(spark, folder, f"{base}/out", f"{base}/state", most=5 * step)
+    return spark.read.schema(records.DECODED).parquet(f"{base}/out/batch=*")
+
+
+@query(f"WITH {_RECORDS} SELECT file_id, max(usn) AS usn, arg_max(size_bytes, usn) AS size_bytes FROM r WHERE reason & 2147483647 <> 0 GROUP BY 1")
+def journal_deltas_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas of files out of keyed state, summed up over four batches: they lead to each file's last size."""
+    base, r = scratch.folder(spark, f"deltas-{uuid.uuid4().hex}"), _records(spark, sf_dir)
+    r.repartition(4, "usn").write.parquet(f"{base}/in")
+    stream.append(stream.changes_of(stream.source(spark, f"{base}/in", schema=r.schema)), f"{base}/out", f"{base}/state", "update").awaitTermination()
+    told = spark.read.schema(stream.CHANGES).parquet(f"{base}/out/batch=*")
+    return told.groupBy("file_id").agg(F.max("usn").alias("usn"), F.sum("delta").alias("size_bytes"))
+
+
 @query(f"WITH {FILES_SQL}, t AS (SELECT {_NAME} AS name, path, size_bytes, {_EXT} AS extension, {_STATUS} AS content_status FROM files ORDER BY size_bytes DESC, path DESC LIMIT 300) SELECT CAST(json_object('name', name, 'path', path, 'sizeBytes', size_bytes, 'extension', extension, 'contentStatus', content_status) AS VARCHAR) AS value FROM t")
 def report_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.as_json(report.top_files(_files(spark, sf_dir)))

@@ -1,56 +1,163 @@
-"""Journals as Structured Streaming: the last change of each file, and totals maintained batch by batch."""
+"""Journals as Structured Streaming: records followed by usn, the last change of each file as keyed state, grants that are spent once, and totals maintained batch by batch.
+
+State lives in the RocksDB state store, with its checkpoint on shared storage; a stream that is started again goes on where its last finished batch ended.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..config import LIMITS
 from ..operators import journal
-from ..sources import scratch
+from ..sources import scratch, segments
 
 RECORDS = "usn long, file_id long, reason long, size_bytes long"
+CHANGES = "file_id long, usn long, reason long, size_bytes long, delta long"
+GRANTED = "subject string, seq long, granted boolean"
+_PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs, for a stream that starts inside."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
-def source(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
+def source(spark: SparkSession, folder: str, files_per_batch: int = 1, schema: str = RECORDS) -> DataFrame:
     """A stream of journal records from Parquet files in `folder`."""
-    return spark.readStream.schema(RECORDS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def latest_of(stream: DataFrame) -> DataFrame:
-    """The last relevant record of each file; state is one row a file."""
-    return journal.latest(stream)
+def append(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", **trigger: Any) -> StreamingQuery:
+    """Start writing a stream's rows as Parquet, a folder a batch: a batch that runs again replaces its own."""
+    with _rocks(stream.sparkSession):
+        made = stream.writeStream.outputMode(mode).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", checkpoint)
+        return made.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest_by_stream(records: DataFrame, parts: int = 4) -> DataFrame:
-    """journal.latest() of a bounded table, by way of a stream of `parts` micro-batches over shared storage."""
-    spark = records.sparkSession
-    base = scratch.folder(spark, f"journal-{uuid.uuid4().hex}")
-    records.repartition(parts, "usn").write.parquet(f"{base}/records")
-    out = f"{base}/latest"
-    # complete mode rewrites the result of each batch in a folder of its own; the last one counts
-    batches: list[int] = []
+def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, most: int = LIMITS.journal_events, start: int | None = None) -> None:
+    """Read a journal of segments (sources.segments) up to its present end, at most `most` records a batch, and write its records to `out`. The next call goes on behind it.
+
+    `checkpoint` is a folder on shared storage; the driver opens it by its path as well.
+    """
+    position = checkpoint.removeprefix("file://") + "/position/at.json"
+    q = append(segments.stream(spark, folder, position, start, most), out, f"{checkpoint}/stream", processingTime="0 seconds")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
 
-    def keep(df: DataFrame, i: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/{i}")
-        batches.append(i)
+class _Latest(StatefulProcessor):
+    """Holds the usn and size of a file's last relevant record; tells of a change when a later one comes."""
 
-    q = latest_of(source(spark, f"{base}/records")).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/{max(batches)}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "usn long, size_bytes long")
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in rows:
+            top = pdf.loc[pdf["usn"].idxmax()]
+            if best is None or top["usn"] > best["usn"]:
+                best = top
+        old = self.last.get() if self.last.exists() else None
+        if best is not None and (old is None or best["usn"] > old[0]):
+            usn, size, reason = int(best["usn"]), None if pd.isna(best["size_bytes"]) else int(best["size_bytes"]), int(best["reason"])
+            self.last.update((usn, size))
+            delta = None if size is None else size - (old[1] or 0 if old else 0)
+            yield pd.DataFrame({"file_id": [key[0]], "usn": [usn], "reason": [reason], "size_bytes": pd.array([size], "Int64"), "delta": pd.array([delta], "Int64")})
 
-def maintain(stream: DataFrame, files: Callable[[], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str):
+    def close(self) -> None:
+        pass
+
+
+def changes_of(stream: DataFrame) -> DataFrame:
+    """file_id, usn, reason, size_bytes, delta of files whose last relevant record is a later one than before: at most one row a file and batch. State is a file's usn and
+    size; a record that comes late, behind one of a higher usn, changes nothing. delta: against the size before, or 0 for a file not seen yet; null without a size.
+    """
+    rows = journal.relevant(stream).where("file_id is not null and usn is not null")
+    return rows.groupBy("file_id").transformWithStateInPandas(_Latest(), CHANGES, "update", "none")
+
+
+def latest_by_stream(records: DataFrame, parts: int = 4) -> DataFrame:
+    """journal.latest() of a bounded table, by way of a stream of `parts` micro-batches over shared storage: what is written follows changes, not files times batches."""
+    spark = records.sparkSession
+    base = scratch.folder(spark, f"journal-{uuid.uuid4().hex}")
+    records.repartition(parts, "usn").write.parquet(f"{base}/records")
+    append(changes_of(source(spark, f"{base}/records", schema=records.schema)), f"{base}/changes", f"{base}/state", "update").awaitTermination()
+    told = spark.read.schema(CHANGES).parquet(f"{base}/changes/batch=*")
+    return told.groupBy("file_id").agg(F.max("usn").alias("usn"), F.max_by("reason", "usn").alias("reason"), F.max_by("size_bytes", "usn").alias("size_bytes"))
+
+
+class _Grants(StatefulProcessor):
+    """Holds a subject's grant that waits for its use: its time, in microseconds. A timer drops it when it is too old."""
+
+    def __init__(self, micros: int) -> None:
+        self.micros = micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.waiting = handle, handle.getValueState("waiting", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["micros", "seq"], kind="stable")
+        at = self.waiting.get()[0] if self.waiting.exists() else None
+        seqs, granted = [], []
+        for kind, micros, seq in zip(pdf["kind"], pdf["micros"], pdf["seq"], strict=True):
+            if kind == "grant":
+                at = int(micros)
+            else:
+                seqs.append(int(seq))
+                granted.append(at is not None and 0 <= micros - at <= self.micros)
+                at = None
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if at is None:
+            self.waiting.clear()
+        else:
+            self.waiting.update((at,))
+            self.handle.registerTimer((at + self.micros) // 1000 + 1)
+        if seqs:
+            yield pd.DataFrame({"subject": [key[0]] * len(seqs), "seq": seqs, "granted": granted})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.waiting.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def grants_of(stream: DataFrame, seconds: int = LIMITS.grant_seconds, late: str = "0 seconds") -> DataFrame:
+    """audit.granted() of a stream of subject, at (timestamp), seq, kind (`grant`, `use`): subject, seq, granted of each use. A grant is spent by the next use and is refused when it is
+    more than `seconds` old, behind a restart too. Events may be out of order within a batch; those older than the watermark (`late` behind the latest) are dropped by Spark.
+    State is one number a subject, gone when its grant is too old.
+    """
+    rows = stream.withWatermark("at", late).select("subject", "at", "seq", "kind", F.unix_micros("at").alias("micros"))
+    return rows.groupBy("subject").transformWithStateInPandas(_Grants(seconds * 1_000_000), GRANTED, "append", "eventTime")
+
+
+def maintain(stream: DataFrame, files: Callable[[], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run `publish(changes, batch)` for each micro-batch that has relevant records: changes are path, size_bytes, delta against the files as they are
     published by then. A batch without relevant records publishes nothing. Batches come at least once; what is published must not add up twice,
-    so deltas are always against the published sizes."""
+    so deltas are always against the published sizes, and a late record of a file never undoes a later one (see changes_of())."""
 
     def one(df: DataFrame, i: int) -> None:
-        last = journal.latest(df)
-        if last.isEmpty():
-            return
-        publish(journal.deltas(last, files()).where("delta != 0"), i)
+        last = scratch.save(df, "changes")
+        if not last.isEmpty():
+            publish(journal.deltas(last, files()).where("delta != 0"), i)
 
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with _rocks(stream.sparkSession):
+        return changes_of(stream).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

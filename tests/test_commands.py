@@ -195,10 +195,10 @@ def test_stream_equals_batch_and_maintains_totals(spark, tmp_path):
 
     df.repartitionByRange(3, "usn").write.parquet(str(tmp_path / "in"))
     stream.maintain(stream.source(spark, str(tmp_path / "in")), files, publish, str(tmp_path / "state")).awaitTermination()
-    # each batch is applied to what the one before published; the last batch to arrive decides, whichever order the files come in
+    # each batch is applied to what the one before published; files come in any order, and a late record never undoes a later one
     last = {f"/r/f{r['file_id']}": r["size_bytes"] for r in journal.latest(df).collect()}
-    assert len(totals) == 3 and set(last) <= set(sizes) and totals[-1] == sum(sizes.values())
-    assert all(sizes[p] in {r[3] for r in rows if r[2] == 0x2 and f"/r/f{r[1]}" == p} for p in last)
+    assert 1 <= len(totals) <= 3 and set(last) <= set(sizes) and totals[-1] == sum(sizes.values())
+    assert {p: sizes[p] for p in last} == last
 
 
 def test_refresh_takes_the_cheapest_way(spark, tmp_path):
