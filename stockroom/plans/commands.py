@@ -12,12 +12,12 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BUDGETS, LIMITS
+from ..config import BUDGETS, LIMITS, REPARSE
 from ..functions import paths
 from ..operators import audit, compare, duplicates, hierarchy, report, search, snapshot
 from ..sources import content, scratch, tree
 from . import store
-from .jobs import Cancelled, Job
+from .jobs import Cancelled, Job, watched
 
 
 def _camel(name: str) -> str:
@@ -58,20 +58,16 @@ class _Clock:
         return int(1000 * (time.monotonic() - self._at))
 
 
-def _inventory(spark: SparkSession, root: str, pruned_at: Job | None = None) -> tuple[str, DataFrame, DataFrame, dict]:
-    """(root, files, directories, counts): entries of a tree without links, and without what lies below directories that are not local."""
+def _inventory(spark: SparkSession, root: str, job: Job | None = None) -> tuple[str, DataFrame, DataFrame, dict]:
+    """(root, files, directories, counts): entries of a tree without links. Directories that are not local are counted and never opened."""
     root = tree.checked_root(root)
-    entries = scratch.save(tree.read(spark, root), "walk")
+    with watched(job, spark, "scanning", "files") as (seen,):
+        entries = tree.read(spark, root, seen=seen)
     directories = tree.directories_of(entries, root)
-    virtual = directories.where(paths.avoids_content(F.col("attributes"))).select("path")
-    files = tree.files_of(entries)
-    n_virtual = virtual.count()
-    if n_virtual:
-        hidden = lambda df: df.select("path", F.explode(paths.ancestors(F.col("path"), root)).alias("up")).join(virtual.withColumnRenamed("path", "up"), "up", "left_semi").select("path").distinct()
-        files = files.join(hidden(files), "path", "left_anti")
-        directories = directories.join(virtual, "path", "left_anti").join(hidden(directories), "path", "left_anti")
+    virtual = paths.avoids_content(F.col("attributes"))
     errors = entries.where("error is not null")
-    return root, files, directories, {"errors": errors.count(), "samples": [r[0] for r in errors.select("error").orderBy("error").limit(LIMITS.scan_errors).collect()], "pruned": n_virtual, "entries": entries}
+    counts = {"errors": errors.count(), "samples": [r[0] for r in errors.select("error").orderBy("error").limit(LIMITS.scan_errors).collect()], "pruned": directories.where(virtual).count(), "entries": entries}
+    return root, tree.files_of(entries), directories.where(~virtual), counts
 
 
 @_releasing
@@ -81,7 +77,7 @@ def scan_path(spark: SparkSession, root: str, regex: str | None = None, min_size
         raise ValueError(f"unknown budget {hash_budget}")
     budget, clock, check = BUDGETS[hash_budget], _Clock(), job.check if job else lambda *a, **k: None
     search.checked_pattern(regex)
-    root, files, directories, seen = _inventory(spark, root)
+    root, files, directories, seen = _inventory(spark, root, job)
     files, truncated = search.sample(files, max_files)
     files = scratch.save(files, "files")
     check("scanned", files=files.count(), errors=seen["errors"])
@@ -94,25 +90,31 @@ def scan_path(spark: SparkSession, root: str, regex: str | None = None, min_size
     if not analyze_duplicates:
         out |= {"hashingSkipped": True, "duplicateAnalysisComplete": False, "duplicates": [], "potentialSavingsBytes": 0, "hardlinkAliases": 0, "skippedContentFiles": 0, "hashBytesRead": 0, "fingerprintBytesRead": 0, "fullHashBytesRead": 0, "hashReadBudgetBytes": None}
     else:
-        out |= _duplicates(files, budget, seen, truncated, check)
+        out |= _duplicates(files, budget, seen, truncated, check, job)
     return out | {"elapsedMs": clock.ms()}
 
 
-def _duplicates(files: DataFrame, budget: int | None, seen: dict, truncated: bool, check) -> dict:
+def _hashed(files: DataFrame, edges: bool, column: str, name: str, job: Job | None, phase: str) -> DataFrame:
+    """Digests of files, saved, with events of the bytes that are read meanwhile."""
+    with watched(job, files.sparkSession, phase, "bytesRead") as (read,):
+        return scratch.save(content.digests(files, edges, column, read), name)
+
+
+def _duplicates(files: DataFrame, budget: int | None, seen: dict, truncated: bool, check, job: Job | None = None) -> dict:
     shared = files.where("size_bytes > 0").join(duplicates.size_buckets(files).select("size_bytes"), "size_bytes", "left_semi")
     skipped = shared.where(paths.avoids_content(F.col("attributes"))).count()
     readable = shared.where(~paths.avoids_content(F.col("attributes")))
     clock = _Clock()
     sampled = duplicates.within_budget(readable, budget, paths.edge_bytes(F.col("size_bytes")))
     sampled = scratch.save(sampled, "sampled")
-    edges = scratch.save(content.digests(sampled.where("admitted").drop("admitted"), True, "fingerprint"), "edges")
+    edges = _hashed(sampled.where("admitted").drop("admitted"), True, "fingerprint", "edges", job, "fingerprinting")
     read = edges.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     edge_ms, check_clock = clock.ms(), _Clock()
     check("fingerprinted", bytesRead=read)
     good = edges.where("status = 'ok'")
     pairs = good.join(duplicates.fingerprint_groups(good).select("size_bytes", "fingerprint"), ["size_bytes", "fingerprint"], "left_semi")
     wanted = scratch.save(duplicates.within_budget(pairs, None if budget is None else budget - read, F.col("size_bytes")), "wanted")
-    full = scratch.save(content.digests(wanted.where("admitted").drop("admitted"), False, "hash"), "full")
+    full = _hashed(wanted.where("admitted").drop("admitted"), False, "hash", "full", job, "hashing")
     read_full = full.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     full_ms = check_clock.ms()
     check("hashed", bytesRead=read + read_full)
@@ -149,7 +151,7 @@ def compare_folders(spark: SparkSession, reference_root: str, candidate_root: st
     most = max(1, min(LIMITS.compare_files if max_files is None else max_files, LIMITS.compare_files))
     sides = []
     for root in (a, b):
-        _, files, _, seen = _inventory(spark, root)
+        _, files, _, seen = _inventory(spark, root, job)
         links = seen["entries"].where("kind = 'symlink'").count()
         some, cut = search.sample(files.where("size_bytes > 0"), most)
         sides.append((scratch.save(some, "side"), cut, seen, links))
@@ -158,13 +160,13 @@ def compare_folders(spark: SparkSession, reference_root: str, candidate_root: st
     hash_clock = _Clock()
     wanted = compare.within_prefix(compare.same_sizes(ref, cand), LIMITS.compare_budget)
     wanted = scratch.save(wanted, "wanted")
-    left = scratch.save(content.digests(wanted.where("admitted").drop("admitted"), False, "hash"), "left")
+    left = _hashed(wanted.where("admitted").drop("admitted"), False, "hash", "left", job, "hashing reference")
     used = left.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     check("reference hashed", bytesRead=used)
     good = left.where("status = 'ok'")
     right_wanted = compare.within_prefix(compare.same_sizes(cand, good), LIMITS.compare_budget - used)
     right_wanted = scratch.save(right_wanted, "wanted")
-    right = scratch.save(content.digests(right_wanted.where("admitted").drop("admitted"), False, "hash"), "right")
+    right = _hashed(right_wanted.where("admitted").drop("admitted"), False, "hash", "right", job, "hashing candidates")
     read = used + right.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     check("candidates hashed", bytesRead=read)
     found = compare.classified(good, right.where("status = 'ok'"))
@@ -215,22 +217,17 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
     own = os.path.abspath(s.base.removeprefix("file:")) if "://" not in s.base or s.base.startswith("file:") else None
     entries = _enumerated(bulk, root) if bulk is not None else None
     method = "walk" if entries is None else "bulk"
-    entries = tree.read(spark, root) if entries is None else entries
+    with watched(job, spark, "indexing", "files") as (seen,):
+        entries = tree.read(spark, root, closed=REPARSE, seen=seen) if entries is None else scratch.save(entries, "entries")
     if own is not None:  # the store's own files change while it is written
         entries = entries.where(~paths.is_under(F.col("path"), own))
-    entries = scratch.save(entries, "walk")
     if (first := entries.where("error is not null").first()) is not None:
         raise OSError(first["error"])
     check()
     dirs = tree.directories_of(entries, root)
-    reparse = F.col("attributes").bitwiseAND(0x400) != 0
-    hidden = dirs.where(reparse).select(F.col("path").alias("up"))
-    skipped = hidden.count()
-    files = tree.files_of(entries).where(~reparse)
-    if skipped:
-        below = files.select("path", F.explode(paths.ancestors(F.col("path"), root)).alias("up")).join(hidden, "up", "left_semi").select("path").distinct()
-        files = files.join(below, "path", "left_anti")
-        dirs = dirs.where(~reparse)
+    reparse = F.col("attributes").bitwiseAND(REPARSE) != 0
+    skipped = dirs.where(reparse).count()
+    files, dirs = tree.files_of(entries).where(~reparse), dirs.where(~reparse)
     files = files.withColumn("parent_path", paths.parent(F.col("path")))
     if max_files is not None and files.limit(max_files + 1).count() > max_files:
         raise ValueError(f"more than {max_files} files")

@@ -28,7 +28,7 @@ class Job:
         return self._cancelled.is_set()
 
     def progress(self, phase: str, **counters: int) -> None:
-        if self._listener is not None and (phase != self._phase or time.monotonic() - self._told >= PROGRESS_SECONDS):
+        if self._listener is not None and (phase != self._phase or time.monotonic() - self._told >= PROGRESS_SECONDS * 0.99):
             self._phase, self._told = phase, time.monotonic()
             self._listener({"jobId": self.id, "phase": phase, **counters})
 
@@ -42,8 +42,36 @@ class Job:
             raise Cancelled(self.id)
 
 
+@contextmanager
+def watched(job: Job | None, spark, phase: str, *counters: str):
+    """Accumulators, one for each name, that tasks may add to; while the block runs, a thread tells the job of their sums, at most every PROGRESS_SECONDS and only when they have changed.
+    Spark hands sums over as tasks end. Nones without a job."""
+    if job is None:
+        yield (None,) * len(counters)
+        return
+    sums, ended = tuple(spark.sparkContext.accumulator(0) for _ in counters), threading.Event()
+
+    def tell() -> None:
+        told = None
+        while not ended.wait(PROGRESS_SECONDS):
+            now = tuple(s.value for s in sums)
+            if now != told:
+                told = now
+                job.progress(phase, **dict(zip(counters, now, strict=True)))
+
+    thread = threading.Thread(target=tell, daemon=True)
+    job.check(phase, **{c: 0 for c in counters})
+    thread.start()
+    try:
+        yield sums
+    finally:
+        ended.set()
+        thread.join()
+    job.check()
+
+
 class Jobs:
-    """Registry of the session's active job. Spark jobs run under the tag of its id, which cancelling interrupts."""
+    """Registry of the session's active job. Spark jobs run under the tag of its id; cancelling interrupts their tasks, and Spark ends the Python workers of these."""
 
     def __init__(self, spark=None, listener=None) -> None:
         self._lock, self._active, self._spark, self._listener = threading.Lock(), None, spark, listener
@@ -57,12 +85,14 @@ class Jobs:
                 raise RuntimeError("another job is running")
             self._active = job = Job(job_id, self._listener)
         if self._spark is not None:
-            self._spark.addTag(job_id)
+            self._spark.sparkContext.addJobTag(job_id)
+            self._spark.sparkContext.setInterruptOnCancel(True)
         try:
             yield job
         finally:
             if self._spark is not None:
-                self._spark.removeTag(job_id)
+                self._spark.sparkContext.removeJobTag(job_id)
+                self._spark.sparkContext.setInterruptOnCancel(False)
             with self._lock:
                 self._active = None
 
@@ -75,7 +105,7 @@ class Jobs:
             return False
         job._cancelled.set()
         if self._spark is not None:
-            self._spark.interruptTag(job_id)
+            self._spark.sparkContext.cancelJobsWithTag(job_id)
         return True
 
     def pause(self, job_id: str) -> bool:

@@ -1,25 +1,35 @@
-"""File trees as a Spark data source: one row for each entry below a root that executors can reach.
+"""File trees as tables: one row for each entry below a root that executors can reach.
 
 Built-in file sources leave out empty files and names that begin with a dot or an underscore, and give neither ids nor attributes; an inventory needs all.
+
+A tree is walked in rounds. Each task of a round opens its directories, and those below them, until it has seen a number of entries; what it has not opened by then is dealt
+out evenly to the tasks of the next round. So where the mass of a tree lies makes no difference, and a round's tasks do about equal work. Directories
+whose attributes say that they are not kept on this disk have a row and are never opened.
 """
 
 from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import NO_CONTENT_MASK
 from . import scratch
 
 SCHEMA = "path string, kind string, size_bytes long, modified_ns long, attributes long, identity string, hardlink_count long, allocated_bytes long, error string, raw_path binary"
-#: Partitions that a walk is split into, if there are so many directories; directories that are looked at for that on the driver.
-PARTITIONS, LOOKED_AT = 64, 512
+_ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("size_bytes", pa.int64()), ("modified_ns", pa.int64()), ("attributes", pa.int64()), ("identity", pa.string()), ("hardlink_count", pa.int64()), ("allocated_bytes", pa.int64()), ("error", pa.string()), ("raw_path", pa.binary())])
+#: Entries that a task sees in the first round, and at most in any; tasks of a round, at most.
+FIRST, MOST, TASKS = 1000, 250_000, 1024
 ORDINARY = 0x20
+#: Kind of the rows that stand for directories left to the next round.
+LEFT = "left"
+Attributes = Callable[[str, os.stat_result], int]
 
 
 def _text(path: str) -> tuple[str, bytes | None]:
@@ -29,77 +39,86 @@ def _text(path: str) -> tuple[str, bytes | None]:
     return text, None if text.encode() == raw else raw
 
 
-def _row(path: str) -> tuple:
+def _error(path: str, e: OSError) -> tuple:
+    text, raw = _text(path)
+    return (text, "error", 0, 0, 0, None, None, None, f"{text}: {e.strerror}", raw)
+
+
+def own_attributes(path: str, s: os.stat_result) -> int:
+    return getattr(s, "st_file_attributes", ORDINARY)
+
+
+def _row(path: str, attributes: Attributes = own_attributes) -> tuple:
     text, raw = _text(path)
     try:
         s = os.lstat(path)
     except OSError as e:
-        return (text, "error", 0, 0, 0, None, None, None, f"{text}: {e.strerror}", raw)
+        return _error(path, e)
     kind = "symlink" if stat.S_ISLNK(s.st_mode) else "directory" if stat.S_ISDIR(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "other"
-    return (text, kind, s.st_size if kind == "file" else 0, s.st_mtime_ns, getattr(s, "st_file_attributes", ORDINARY), f"{s.st_dev}:{s.st_ino}", s.st_nlink, getattr(s, "st_blocks", 0) * 512, None, raw)
-
-
-def walk(path: str, deep: bool = True) -> Iterator[tuple]:
-    """Rows of the entries below a directory, links not followed; an entry that can't be read gives an error row."""
-    todo = [path]
-    while todo:
-        here = todo.pop()
-        try:
-            with os.scandir(here) as entries:
-                names = sorted(e.name for e in entries)
-        except OSError as e:
-            text, raw = _text(here)
-            yield (text, "error", 0, 0, 0, None, None, None, f"{text}: {e.strerror}", raw)
-            continue
-        for name in names:
-            path = os.path.join(here, name)
-            row = _row(path)
-            yield row
-            if deep and row[1] == "directory":
-                todo.append(path)
-
-
-class _Part(InputPartition):
-    def __init__(self, paths: list[str], deep: bool) -> None:
-        self.paths, self.deep = [os.fsencode(p) for p in paths], deep
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.root, self.deep = os.path.abspath(options["root"]), options.get("depth", "all") != "1"
-
-    def partitions(self) -> list[InputPartition]:
-        """Directories that were opened up for more partitions, each with its own entries only, and what hangs below them, dealt out."""
-        opened, todo = [self.root], [self.root] if self.deep else []
-        while todo and len(opened) <= LOOKED_AT:
-            here = todo.pop(0)
-            if here != self.root:
-                opened.append(here)
-            try:
-                with os.scandir(here) as entries:
-                    todo += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
-            except OSError:
-                pass  # the walk of its own entries tells the error
-            if len(todo) >= PARTITIONS:
-                break
-        deal = [todo[i :: 16 * PARTITIONS] for i in range(min(len(todo), 16 * PARTITIONS))]
-        return [*(_Part([p], False) for p in opened), *(_Part(p, True) for p in deal)]
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        for path in partition.paths:
-            yield from walk(os.fsdecode(path), partition.deep)
+    return (text, kind, s.st_size if kind == "file" else 0, s.st_mtime_ns, attributes(path, s), f"{s.st_dev}:{s.st_ino}", s.st_nlink, getattr(s, "st_blocks", 0) * 512, None, raw)
 
 
-class FileTree(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "file_tree"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+def walk(paths: Iterator[str], most: int, deep: bool = True, closed: int = NO_CONTENT_MASK, attributes: Attributes = own_attributes) -> Iterator[tuple]:
+    """Rows of the entries of directories and of what lies below them, links not followed; an entry that can't be read gives an error row, and so does a directory. Behind `most`
+    entries the directories that are still to be opened come as rows of kind LEFT. Directories with an attribute of `closed` are not opened."""
+    todo, seen = deque(), 0
+    for path in paths:
+        todo.append(path)
+        while todo and seen < most:
+            here = todo.popleft()
+            try:
+                with os.scandir(here) as entries:
+                    names = sorted(e.name for e in entries)
+            except OSError as e:
+                yield _error(here, e)
+                continue
+            for name in names:
+                path = os.path.join(here, name)
+                row = _row(path, attributes)
+                seen += 1
+                yield row
+                if deep and row[1] == "directory" and not row[4] & closed:
+                    todo.append(path)
+    for path in todo:
+        text, raw = _text(path)
+        yield (text, LEFT, 0, 0, 0, None, None, None, None, raw)
+
+
+def _round(most: int, deep: bool, closed: int, attributes: Attributes, seen=None):
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = (os.fsdecode(r["raw_path"] or r["path"].encode()) for b in batches for r in b.to_pylist())
+        rows: list[tuple] = []
+        for row in walk(paths, most, deep, closed, attributes):
+            rows.append(row)
+            if len(rows) == 4096:
+                yield _batch(rows, seen)
+                rows = []
+        if rows:
+            yield _batch(rows, seen)
+
+    return one
+
+
+def _batch(rows: list[tuple], seen) -> pa.RecordBatch:
+    if seen is not None:
+        seen.add(sum(r[1] == "file" for r in rows))
+    return pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in rows], schema=_ARROW)
+
+
+def read(spark: SparkSession, root: str, depth: str = "all", closed: int = NO_CONTENT_MASK, attributes: Attributes = own_attributes, seen=None) -> DataFrame:
+    """Entries below `root`; depth "1": its own entries only. closed: attribute bits of directories that are not opened; attributes: gives a path's bits, on the executors;
+    seen: an accumulator that counts files as tasks end. The table of each round lies in scratch space (see scratch.released())."""
+    scratch.ship(spark)
+    text, raw = _text(checked_root(root))
+    rounds, left, most = [], spark.createDataFrame([(text, raw)], "path string, raw_path binary"), FIRST
+    while True:
+        found = scratch.save(left.mapInArrow(_round(most if depth == "all" else 0x7FFFFFFF, depth == "all", closed, attributes, seen), SCHEMA), "walk")
+        rounds.append(found.where(F.col("kind") != LEFT))
+        left = found.where(F.col("kind") == LEFT).select("path", "raw_path")
+        n = left.count()
+        if not n:
+            return reduce(DataFrame.unionAll, rounds)
+        left, most = left.repartition(min(n, TASKS, max(8, 4 * spark.sparkContext.defaultParallelism))), min(4 * most, MOST)
 
 
 def checked_root(root: str) -> str:
@@ -111,13 +130,6 @@ def checked_root(root: str) -> str:
     return os.path.abspath(root)
 
 
-def read(spark: SparkSession, root: str, depth: str = "all") -> DataFrame:
-    """Entries below `root`; depth "1": its own entries only."""
-    scratch.ship(spark)
-    spark.dataSource.register(FileTree)
-    return spark.read.format("file_tree").option("root", checked_root(root)).option("depth", depth).load()
-
-
 def files_of(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("kind") == "file").select("path", "size_bytes", "modified_ns", "attributes", "identity", "hardlink_count", "allocated_bytes", *(c for c in ("raw_path",) if c in entries.columns))
 
