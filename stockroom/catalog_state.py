@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _EXT, _NAME, _RECORDS, _STATUS, _files, _records, query
+from .catalog import _EXT, _NAME, _RECORDS, _ROLLUP, _STATUS, _files, _records, query
 from .functions import display, paths
 from .operators import audit, hierarchy, journal, report, search
 from .plans import requests, store
@@ -132,19 +132,60 @@ def journal_resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BULK = """b AS (SELECT DISTINCT 's:' || source AS id, 'root' AS parent, source AS name, true AS is_directory, 0::BIGINT AS size_bytes, 16 AS attributes FROM documents
-  UNION ALL SELECT 'd:' || doc_id, CASE WHEN doc_id % 13 = 0 THEN 'd:none' ELSE 's:' || source END, 'd' || doc_id, false, strlen(text), 32 FROM documents)"""
+  UNION ALL SELECT 'd:' || doc_id, 's:' || source, 'd' || doc_id, false, strlen(text), CASE WHEN doc_id % 13 = 0 THEN 1024 ELSE 32 END FROM documents)"""
 
 
-@query(f"WITH {_BULK}, t AS (SELECT id, '/corpus/' || name AS path, 1 AS depth FROM b WHERE parent = 'root'), u AS (SELECT * FROM t UNION ALL SELECT b.id, t.path || '/' || b.name, 2 FROM t JOIN b ON b.parent = t.id) SELECT path, depth, is_directory, size_bytes, attributes FROM u JOIN b USING (id)")
+@query(f"WITH {_BULK}, t AS (SELECT id, '/corpus/' || name AS path, 1 AS depth FROM b WHERE parent = 'root'), u AS (SELECT * FROM t UNION ALL SELECT b.id, t.path || '/' || b.name, 2 FROM t JOIN b ON b.parent = t.id) SELECT path, depth, is_directory, size_bytes, attributes FROM u JOIN b USING (id) WHERE attributes <> 1024")
 def bulk_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An inventory out of a table of records with parent ids; some hang behind a parent that is not there."""
+    """An inventory out of a table of records with parent ids, without links."""
     d, i = _docs(spark, sf_dir), F.col("doc_id").cast("string")
     source = F.concat(F.lit("s:"), "source")
     rows = d.select(source.alias("id"), F.lit("root").alias("parent"), F.col("source").alias("name"), F.lit(True).alias("is_directory"), F.lit(0).cast("long").alias("size_bytes"), F.lit(16).alias("attributes")).distinct()
-    rows = rows.unionAll(d.select(F.concat(F.lit("d:"), i), F.when(F.col("doc_id") % 13 == 0, "d:none").otherwise(source), F.concat(F.lit("d"), i), F.lit(False), F.octet_length("text").cast("long"), F.lit(32)))
+    rows = rows.unionAll(d.select(F.concat(F.lit("d:"), i), source, F.concat(F.lit("d"), i), F.lit(False), F.octet_length("text").cast("long"), F.when(F.col("doc_id") % 13 == 0, 1024).otherwise(32)))
     return hierarchy.enumerated(scratch.save(rows, "bulk"), "root", ROOT)
 
 
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS id, CASE WHEN doc_id % 50 = 7 THEN doc_id + 1 WHEN doc_id % 50 = 8 THEN doc_id - 1 WHEN doc_id % 50 = 20 THEN 1000000000 WHEN doc_id % 50 = 0 THEN -1 ELSE doc_id - 1 END AS parent FROM documents),
+t(id, path, depth) AS (SELECT -1, '/corpus', 0 UNION ALL SELECT e.id, t.path || '/n' || e.id, t.depth + 1 FROM t JOIN e ON e.parent = t.id),
+b(id, verdict) AS (SELECT id, CASE WHEN id % 50 = 20 THEN 'missing' ELSE 'cycle' END FROM e WHERE id % 50 IN (7, 8, 20) UNION SELECT e.id, b.verdict FROM b JOIN e ON e.parent = b.id)
+SELECT CAST(e.id AS VARCHAR) AS id, path, depth, coalesce(b.verdict, CASE WHEN path IS NULL THEN 'missing' ELSE 'reached' END) AS verdict FROM e LEFT JOIN t ON t.id = e.id LEFT JOIN b ON b.id = e.id""")
+def bulk_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of documents, of which some run into a circle of two and some end at a parent that is not there."""
+    i = F.col("doc_id")
+    parent = F.when(i % 50 == 7, i + 1).when(i % 50 == 20, 1000000000).when(i % 50 == 0, -1).otherwise(i - 1)
+    edges = _docs(spark, sf_dir).select(i.cast("string").alias("id"), parent.cast("string").alias("parent"), F.concat(F.lit("n"), i.cast("string")).alias("name"))
+    return hierarchy.placed(edges, "-1", ROOT)
+
+
+@query(f"""WITH {FILES_SQL}, {_ROLLUP}, s AS (SELECT * FROM dirs WHERE path = '/corpus' OR regexp_replace(path, '/[^/]*$', '') IN ('/corpus', '/corpus/src3', '/corpus/src1')), k AS (SELECT a.path, list({{'s': -b.size_bytes, 'p': b.path}} ORDER BY strlen(b.path)) AS key FROM s a JOIN dirs b ON a.path = b.path OR starts_with(a.path, b.path || '/') GROUP BY 1),
+f AS (SELECT CAST(row_number() OVER (ORDER BY key) - 1 AS INTEGER) AS position, CAST(len(key) - 1 AS INTEGER) AS depth, path, {_NAME} AS name, size_bytes, files FROM s JOIN k USING (path)) SELECT * FROM f WHERE position BETWEEN 3 AND 22""")
+def tree_viewport_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty rows of a tree of which the root and three directories are expanded, one of these below a closed one."""
+    files = _files(spark, sf_dir)
+    expanded = spark.createDataFrame([(ROOT,), (f"{ROOT}/src3",), (f"{ROOT}/src1",), (f"{ROOT}/src9/en",)], "path string")
+    return hierarchy.flattened(report.rollup(files, ROOT), ROOT, 3, 20, expanded)
+
+
+@query(f"WITH {FILES_SQL}, {_ROLLUP}, x AS (SELECT path FROM dirs UNION SELECT '/corpus/empty' UNION SELECT '/corpus/src1/empty') SELECT path, CASE WHEN path = '/corpus' THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent_path, coalesce(size_bytes, 0) AS size_bytes, coalesce(files, 0) AS files FROM x LEFT JOIN (SELECT path, size_bytes, files FROM dirs) USING (path)")
+def directory_totals_by_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollup over a given list of directories, of which two hold nothing, by running totals."""
+    files = _files(spark, sf_dir)
+    more = spark.createDataFrame([(f"{ROOT}/empty",), (f"{ROOT}/src1/empty",)], "path string")
+    return report.rollup(files, ROOT, report.directories_of(files, ROOT).unionByName(more))
+
+
+@query(f"WITH {FILES_SQL}, {_ROLLUP} SELECT path, size_bytes, round(greatest(1.0, size_bytes * 100.0 / (SELECT sum(size_bytes) FROM files)), 6) AS bar FROM dirs WHERE path <> '/corpus' ORDER BY size_bytes DESC, path LIMIT 6")
+def directory_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    top = report.top_directories(files, ROOT).crossJoin(files.agg(F.sum("size_bytes").alias("logical_bytes")))
+    return report.cards(top).select("path", "size_bytes", F.round("bar", 6).alias("bar"))
+
+
+@query(f"WITH {FILES_SQL} SELECT path || ': denied' AS error FROM files WHERE {_KIND} = 'error' ORDER BY 1 LIMIT 50")
+def listed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.listed(_entries(spark, sf_dir).where("error is not null").select("error"), "error")
+
+
 @query(f"""WITH {FILES_SQL} SELECT path, {_KIND} = 'file' AND (attributes + CASE WHEN doc_id % 17 = 0 THEN 4 ELSE 0 END) & 4461572 = 0 AND doc_id % 2 = 0 AND (NOT starts_with(path, '/corpus/src2/') OR starts_with(path, '/corpus/src2/en/')) AS eligible FROM files""")
 def quarantine_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir).withColumn("attributes", F.col("attributes") + F.when(F.col("doc_id") % 17 == 0, 4).otherwise(0))

@@ -5,55 +5,109 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LIMITS
+from ..config import LIMITS, OFFLINE_MASK, REPARSE
 from ..functions import paths
-from . import budget
+from ..sources import scratch
+from . import intervals
 
-def resolved_paths(edges: DataFrame, root_id: str, root: str) -> DataFrame:
-    """id, path, depth of what hangs below `root_id`, from edges (id, parent, name), by a recursive query of at most LIMITS.tree_depth levels.
 
-    Nodes in a cycle, or behind a missing parent, are not reached and have no row. A chain deeper than the limit is an error.
+def placed(edges: DataFrame, root_id: str, root: str) -> DataFrame:
+    """id, path, depth, verdict of every edge (id, parent, name), each id once, but the root's own.
+
+    verdict: `reached` (path and depth are set, depth is LIMITS.tree_depth at most), `missing` (an id above is not there), `deep` (the chain is longer), or `cycle` (it never ends); path and depth
+    are null then. Only nodes that are parents are resolved by jumps, in seven rounds; the others take their parent's path. An edge without a parent is missing.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    quoted = root.replace("\\", "\\\\").replace("'", "\\'")
-    return spark.sql(f"""
-      WITH RECURSIVE t(id, path, depth) MAX RECURSION LEVEL {LIMITS.tree_depth + 2} AS (
-        SELECT CAST('{root_id}' AS STRING), CAST('{quoted}' AS STRING), 0
-        UNION ALL
-        SELECT e.id, concat(t.path, '/', e.name), t.depth + 1 FROM t JOIN __edges e ON e.parent = t.id WHERE e.id != e.parent)
-      SELECT * FROM t LIMIT ALL""")
+    rounds = (LIMITS.tree_depth - 1).bit_length()
+    edges = edges.select(*(F.col(c).cast("string").alias(c) for c in ("id", "parent", "name"))).where(F.col("id") != F.lit(root_id))
+    parents = edges.select(F.col("parent").alias("id")).distinct()
+    inner = scratch.save(edges.join(parents, "id", "left_semi"), "parents")
+    anc = F.when(F.coalesce(F.col("parent"), F.lit("")) != F.lit(root_id), F.coalesce("parent", F.lit("")))
+    found = intervals.along(inner.select("id", anc.alias("anc"), F.col("name").alias("path"), F.lit(1).alias("depth")), {"path": lambda own, above: F.concat(above, F.lit("/"), own), "depth": lambda own, above: own + above}, rounds)
+    verdict = F.when(F.col("lost"), "missing").when(F.col("anc").isNull(), "reached")
+    found = found.select("id", "path", "depth", verdict.alias("verdict"))
+    open_ = found.where("verdict is null").select("id")
+    n = open_.count()
+    if n:  # longer than the limit, or endless: the same jumps without paths, as many as the longest chain of all can need
+        chain = intervals.along(inner.select("id", anc.alias("anc")), {}, inner.count().bit_length() + 1).join(open_, "id", "left_semi")
+        late = chain.select("id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("depth"), F.when(F.col("lost"), "missing").when(F.col("anc").isNull(), "deep").otherwise("cycle").alias("verdict"))
+        found = found.where("verdict is not null").unionByName(late)
+    found = scratch.save(found, "placed")
+    leaves = edges.join(parents, "id", "left_anti")
+    above = found.select(F.col("id").alias("parent"), F.col("path").alias("__path"), F.col("depth").alias("__depth"), F.col("verdict").alias("__verdict"))
+    top = F.col("parent") == F.lit(root_id)
+    leaves = leaves.join(above, "parent", "left").select("id", F.when(top, F.col("name")).otherwise(F.concat("__path", F.lit("/"), "name")).alias("path"), F.when(top, 1).otherwise(F.col("__depth") + 1).alias("depth"), F.when(top, "reached").otherwise(F.coalesce("__verdict", F.lit("missing"))).alias("verdict"))
+    every = found.unionByName(leaves).withColumn("verdict", F.when((F.col("verdict") == "reached") & (F.col("depth") > LIMITS.tree_depth), "deep").otherwise(F.col("verdict")))
+    reached = F.col("verdict") == "reached"
+    return every.select("id", F.when(reached, F.concat(F.lit(root.rstrip("/") + "/"), "path")).alias("path"), F.when(reached, F.col("depth")).alias("depth"), "verdict")
+
+
+def resolved_paths(edges: DataFrame, root_id: str, root: str) -> DataFrame:
+    """id, path, depth of the root and of all that hangs below it; see placed()."""
+    found = placed(edges, root_id, root).where("verdict = 'reached'").drop("verdict")
+    return found.unionByName(edges.sparkSession.createDataFrame([(root_id, root, 0)], "id string, path string, depth int"))
 
 
 def without_virtual(files: DataFrame, directories: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """Files that have no directory with offline or reparse attributes above them, and those directories (path). directories: path, attributes."""
+    """Files that have no directory with offline or reparse attributes above them, and those directories (path). directories: path, attributes, of the tree below `root`."""
     virtual = directories.where(paths.avoids_content(F.col("attributes"))).select("path")
-    inside = files.select("path", F.explode(paths.ancestors(F.col("path"), root)).alias("up")).join(virtual.withColumnRenamed("path", "up"), "up", "left_semi").select("path").distinct()
-    return files.join(inside, "path", "left_anti"), virtual
+    return intervals.not_below(files, virtual), virtual
 
 
-def flattened(directories: DataFrame, root: str, start: int = 0, rows: int | None = None) -> DataFrame:
-    """Pre-order: position, depth, path, name, size_bytes, files; children by size (largest first), then path. Rows `start` to `start + rows`.
+def visible(directories: DataFrame, root: str, expanded: DataFrame) -> DataFrame:
+    """The directories (path, parent_path, ...) of which all directories above are in `expanded` (path); the root always."""
+    top = F.col("path") == root
+    marked = directories.join(expanded.select(F.col("path").alias("parent_path"), F.lit(True).alias("__open")).distinct(), "parent_path", "left")
+    nodes = marked.select(F.col("path").alias("id"), F.when(~top, F.col("parent_path")).alias("anc"), (top | F.coalesce("__open", F.lit(False))).alias("shown"))
+    shown = intervals.along(nodes, {"shown": lambda own, above: own & above}, LIMITS.tree_depth.bit_length()).where("shown and anc is null and not lost")
+    return directories.join(shown.select(F.col("id").alias("path")), "path", "left_semi")
 
-    directories: path, parent_path, size_bytes, files (all of the tree). A node's key is the list of (size, name) from the root down, so one sort by keys is
-    the traversal.
+
+def flattened(directories: DataFrame, root: str, start: int = 0, rows: int | None = None, expanded: DataFrame | None = None) -> DataFrame:
+    """Pre-order: position, depth, path, name, size_bytes, files; children by size (largest first), then path. Rows `start` to `start + rows`, all without `rows`.
+
+    directories: path, parent_path, size_bytes, files (all of the tree). expanded: path of the directories whose children are shown; all without it. A node stands one behind its parent,
+    and behind all nodes of the subtrees of the siblings in front of it; these offsets are running totals, and are added up along the pointers to the root.
     """
-    d = directories.withColumn("up", F.explode(F.array_append(paths.ancestors(F.col("path"), root), F.col("path")))).where(paths.is_under(F.col("up"), root))
-    sizes = directories.select(F.col("path").alias("up"), F.col("size_bytes").alias("up_size"))
-    chain = d.join(sizes, "up").groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.length("up").alias("n"), (-F.col("up_size")).alias("s"), F.col("up").alias("p")))).alias("c"))
-    keyed = directories.join(chain.select("path", F.transform("c", lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"))).alias("key")), "path")
-    out = keyed.withColumn("depth", F.size("key") - 1)
-    if rows is not None:
-        out = out.orderBy("key").limit(start + rows)  # a viewport, so a bounded ranking
-    out = budget.running(out, [F.asc("key")], F.lit(1), "position").withColumn("position", F.col("position").cast("int"))
+    if expanded is not None:
+        directories = visible(directories, root, expanded)
+    directories = scratch.save(directories.select("path", "parent_path", "size_bytes", "files"), "directories")
+    counted = intervals.totals(directories.select("path"), directories.select("path", F.lit(1).alias("n")), ["n"]).join(directories, "path")
+    below = counted.where(F.col("path") != root)
+    ranked = scratch.save(intervals.prefix(below, [F.asc("parent_path"), F.desc("size_bytes"), F.asc("path")], {"__before": F.col("n")}), "ranked")
+    first = ranked.groupBy("parent_path").agg(F.min("__before").alias("__first"))
+    offset = (F.col("__before") - F.col("__first") + 1).cast("long")
+    nodes = ranked.join(first, "parent_path").select(F.col("path").alias("id"), F.col("parent_path").alias("anc"), offset.alias("position"), F.lit(1).alias("depth"))
+    nodes = nodes.unionByName(directories.where(F.col("path") == root).select(F.col("path").alias("id"), F.lit(None).cast("string").alias("anc"), F.lit(0).cast("long").alias("position"), F.lit(0).alias("depth")))
+    add = lambda own, above: own + above
+    out = intervals.along(nodes, {"position": add, "depth": add}, LIMITS.tree_depth.bit_length()).where("anc is null and not lost")
     if rows is not None:
-        out = out.where(F.col("position") >= start)
-    return out.select("position", "depth", "path", paths.name(F.col("path")).alias("name"), "size_bytes", "files")
+        out = out.where(F.col("position").between(start, start + rows - 1))
+    out = out.join(directories, F.col("id") == F.col("path"))
+    return out.select(F.col("position").cast("int").alias("position"), "depth", "path", paths.name(F.col("path")).alias("name"), "size_bytes", "files")
 
 
 def enumerated(records: DataFrame, root_id: str, root: str, most: int = LIMITS.bulk_records) -> DataFrame:
-    """path, depth and the other columns of all below the root, from records (id, parent, name, is_directory, size_bytes, attributes, ...) of a bulk enumeration. ValueError for more than `most` records, an id that repeats, or a name that is `.` or `..`; records that hang nowhere are left out."""
-    n, ids, bad = records.agg(F.count("*"), F.count_distinct("id"), F.count_if(F.col("name").isin(".", ".."))).first()
+    """path, depth and the other columns of all below the root, from records (id, parent, name, is_directory, size_bytes, attributes, ...) of a bulk enumeration.
+
+    What can't be trusted is refused by a ValueError: more than `most` records, an id that repeats, a name that is `.`, `..`, empty or has a separator, a record that does not hang below the root (missing
+    parent, cycle, too deep), an offline file, and a file of several links where hardlink_count is given: an enumeration has one name a file. Links and what hangs below them are left out.
+    """
+    n, ids, bad = records.agg(F.count("*"), F.count_distinct("id"), F.count_if(F.col("name").isin(".", "..", "") | F.col("name").contains("/") | F.col("name").isNull())).first()
     if n > most or ids != n or bad:
         raise ValueError("too many records" if n > most else "an id repeats" if ids != n else "a name is no name")
-    return resolved_paths(records.select("id", "parent", "name"), root_id, root).where(F.col("id") != root_id).join(records.drop("parent", "name"), "id").drop("id")
+    found = scratch.save(placed(records.select("id", "parent", "name"), root_id, root), "enumerated")
+    if wrong := {r["verdict"]: r["count"] for r in found.where("verdict != 'reached'").groupBy("verdict").count().collect()}:
+        raise ValueError(f"records do not hang below the root: {wrong}")
+    rows = found.drop("verdict").join(records.drop("parent", "name").withColumn("id", F.col("id").cast("string")), "id").drop("id")
+    link = F.col("attributes").bitwiseAND(REPARSE) != 0
+    closed = rows.where(link & F.col("is_directory")).select("path")
+    rows = scratch.save(intervals.not_below(rows, closed).where(~link), "enumerated")
+    plain = ~F.col("is_directory")
+    refused = [("offline files", plain & (F.col("attributes").bitwiseAND(OFFLINE_MASK) != 0))]
+    if "hardlink_count" in rows.columns:
+        refused.append(("files of several links", plain & (F.coalesce("hardlink_count", F.lit(0)) != 1)))
+    counts = rows.agg(*(F.count_if(c).alias(f"c{i}") for i, (_, c) in enumerate(refused))).first()
+    for (what, _), count in zip(refused, counts, strict=True):
+        if count:
+            raise ValueError(f"{count} {what}")
+    return rows

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS
 from ..functions import display, paths
+from . import intervals
 
 
 def directories_of(files: DataFrame, root: str) -> DataFrame:
     """(path) of every directory that holds a file, at any depth, with the root."""
-    return files.select(F.explode(paths.ancestors(paths.parent(F.col("path")), root)).alias("path")).unionAll(files.select(paths.parent(F.col("path")))).distinct()
+    own = files.select(paths.parent(F.col("path")).alias("path")).distinct()
+    return own.select(F.explode(F.array_append(paths.ancestors(F.col("path"), root), F.col("path"))).alias("path")).distinct()
 
 
 def totals(files: DataFrame, root: str, directories: DataFrame | None = None) -> DataFrame:
@@ -42,13 +44,15 @@ def type_shares(files: DataFrame) -> DataFrame:
 def rollup(files: DataFrame, root: str, directories: DataFrame | None = None) -> DataFrame:
     """path, parent_path, size_bytes, files of every directory: inclusive of all below it. Directories given and without files count 0.
 
-    Files are summed into their own directories before they spread to ancestors, so what is shuffled follows directories, not files times depth.
+    Files are summed into their own directories first. With `directories`, all of the tree, sums are differences of running totals over the order of paths, so what is shuffled follows
+    directories; without, the directories that files have are told by spreading their own directories' sums to those above.
     """
     own = files.groupBy(paths.parent(F.col("path")).alias("dir")).agg(F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("files"))
-    up = own.select(F.explode(F.array_append(paths.ancestors(F.col("dir"), root), F.col("dir"))).alias("path"), "size_bytes", "files").where(paths.is_under(F.col("path"), root))
-    sums = up.groupBy("path").agg(F.sum("size_bytes").alias("size_bytes"), F.sum("files").alias("files"))
     if directories is not None:
-        sums = directories.select("path").join(sums, "path", "left").select("path", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), F.coalesce("files", F.lit(0)).alias("files"))
+        sums = intervals.totals(directories.select("path").distinct(), own.withColumnRenamed("dir", "path"), ["size_bytes", "files"])
+    else:
+        up = own.select(F.explode(F.array_append(paths.ancestors(F.col("dir"), root), F.col("dir"))).alias("path"), "size_bytes", "files").where(paths.is_under(F.col("path"), root))
+        sums = up.groupBy("path").agg(F.sum("size_bytes").alias("size_bytes"), F.sum("files").alias("files"))
     return sums.select("path", F.when(F.col("path") == root, "").otherwise(paths.parent(F.col("path"))).alias("parent_path"), "size_bytes", "files")
 
 
@@ -78,6 +82,17 @@ def complete(*left_out: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0).cast("long"), *(c.cast("long") for c in left_out)) == 0, F.lit(True))
 
 
+def cards(directories: DataFrame, n: int = LIMITS.cards) -> DataFrame:
+    """The first rows of a ranking of directories, with each one's share of the bytes of all files (columns path, size_bytes, logical_bytes), at least 1 percent."""
+    share = F.when(F.col("logical_bytes") > 0, F.greatest(F.lit(1.0), F.col("size_bytes") * 100.0 / F.col("logical_bytes"))).otherwise(F.lit(0.0))
+    return directories.orderBy(F.desc("size_bytes"), "path").limit(n).withColumn("bar", share)
+
+
+def listed(found: DataFrame, *order: str | Column, n: int = LIMITS.listed_matches) -> DataFrame:
+    """The first rows of findings, as a list of them has."""
+    return found.orderBy(*order).limit(n)
+
+
 def chart(types: DataFrame, n: int = LIMITS.chart_types) -> DataFrame:
     """The first rows of a ranking of types, as a chart has them."""
     return types.orderBy(F.desc("size_bytes"), "extension").limit(n)

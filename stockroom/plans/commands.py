@@ -196,8 +196,11 @@ def measure_allocated_sizes(spark: SparkSession, root: str, targets: list[tuple[
     return {"items": _rows(items), **_one(audit.allocation_counters(items)), "elapsedMs": clock.ms()}
 
 
-def _enumerated(bulk: tuple[DataFrame, str], root: str) -> DataFrame | None:
-    """Entries out of (records, id of the root) of a bulk enumeration, or None if it can't be trusted; records: see hierarchy.enumerated(), with modified_ns."""
+def _enumerated(bulk: tuple, root: str) -> DataFrame | None:
+    """Entries out of a bulk enumeration, or None if it can't be trusted. bulk: (records, id of the root), or these and the journal's watermarks before and after the enumeration, which must be equal;
+    records: see hierarchy.enumerated(), with modified_ns."""
+    if len(bulk) == 4 and bulk[2] != bulk[3]:  # the volume has changed meanwhile
+        return None
     try:
         found = hierarchy.enumerated(scratch.save(bulk[0], "bulk"), bulk[1], root)
     except ValueError:
@@ -206,9 +209,9 @@ def _enumerated(bulk: tuple[DataFrame, str], root: str) -> DataFrame | None:
 
 
 @_releasing
-def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | None = None, watermark: dict | None = None, job: Job | None = None, bulk: tuple[DataFrame, str] | None = None) -> dict:
-    """Take a snapshot of a tree and publish it: out of `bulk`, the records of an enumeration and the root's id, where they are given and sound, else by a walk. Anything unreadable, a cap that is exceeded, or a cancel publishes nothing. The watermark is the journal's
-    position before the walk, so changes meanwhile are read again. With an unchanged watermark the last result stands."""
+def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | None = None, watermark: dict | None = None, job: Job | None = None, bulk: tuple | None = None) -> dict:
+    """Take a snapshot of a tree and publish it: out of `bulk` (see _enumerated()), where it is given and sound, else by a walk. Anything unreadable, a cap that is exceeded, or a cancel
+    publishes nothing. The watermark is the journal's position before the walk, so changes meanwhile are read again. With an unchanged watermark the last result stands."""
     clock, s, check = _Clock(), store.Store(spark, base), job.check if job else lambda *a, **k: None
     root = tree.checked_root(root)
     old = s.scope(root)
@@ -323,7 +326,7 @@ def list_quarantine(spark: SparkSession, manifest: DataFrame, folder: str) -> li
 
 
 @_releasing
-def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records: DataFrame, ids: DataFrame, job: Job | None = None, bulk: tuple[DataFrame, str] | None = None) -> dict:
+def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records: DataFrame, ids: DataFrame, job: Job | None = None, bulk: tuple | None = None) -> dict:
     """Bring a snapshot up to `now` (a journal.Watermark) by the cheapest way that holds: `unchanged`, `delta`, `bulk` (see refresh_index()), or `walk`.
 
     records: usn, file_id, reason, size_bytes; ids: file_id, path, one row a file. A delta needs an unbroken journal, no structural change, few enough

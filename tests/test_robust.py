@@ -95,8 +95,8 @@ def test_requests(spark, tmp_path):
 
 def test_enumeration_refuses_what_it_cannot_trust(spark):
     make = lambda *rows: spark.createDataFrame([(*r, False, 1, 32) for r in rows], "id string, parent string, name string, is_directory boolean, size_bytes long, attributes int")
-    assert hierarchy.enumerated(make(("a", "r", "x"), ("b", "gone", "y")), "r", "/c").select("path").collect() == [("/c/x",)]
-    for bad in ((("a", "r", "x"), ("a", "r", "y")), (("a", "r", ".."),)):
+    assert hierarchy.enumerated(make(("a", "r", "x")), "r", "/c").select("path").collect() == [("/c/x",)]
+    for bad in ((("a", "r", "x"), ("a", "r", "y")), (("a", "r", ".."),), (("a", "r", "x"), ("b", "gone", "y")), (("a", "b", "x"), ("b", "a", "y"), ("c", "r", "z")), (("a", "r", "x/y"),)):
         with pytest.raises(ValueError):
             hierarchy.enumerated(make(*bad), "r", "/c")
     with pytest.raises(ValueError):
