@@ -416,4 +416,4 @@ def duplicate_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skipped.agg(F.count("*").alias("skipped_content_files")).withColumn("complete", F.col("skipped_content_files") == 0)
 
 
-from . import catalog_state  # noqa: E402, F401  registers more queries
+from . import catalog_files, catalog_state  # noqa: E402, F401  register more queries

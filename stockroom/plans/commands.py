@@ -217,7 +217,7 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
     old = s.scope(root)
     if old is not None and watermark is not None and old.watermark == watermark:
         return {"root": root, "files": old.file_count, "added": 0, "changed": 0, "unchanged": old.file_count, "removed": 0, "skippedDirectories": 0, "completedAtUnix": old.completed_at_unix, "batchesWritten": 0, "indexMethod": "unchanged", "elapsedMs": clock.ms()}
-    own = os.path.abspath(s.base.removeprefix("file:")) if "://" not in s.base or s.base.startswith("file:") else None
+    own = tree.plain(s.base.removeprefix("file:")) if "://" not in s.base or s.base.startswith("file:") else None
     entries = _enumerated(bulk, root) if bulk is not None else None
     method = "walk" if entries is None else "bulk"
     with watched(job, spark, "indexing", "files") as (seen,):

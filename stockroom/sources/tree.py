@@ -121,13 +121,18 @@ def read(spark: SparkSession, root: str, depth: str = "all", closed: int = NO_CO
         left, most = left.repartition(min(n, TASKS, max(8, 4 * spark.sparkContext.defaultParallelism))), min(4 * most, MOST)
 
 
+def plain(path: str) -> str:
+    """The absolute path, with one slash in front: two are kept by os.path and would make another name of the same place."""
+    return "/" + os.path.abspath(path).lstrip("/")
+
+
 def checked_root(root: str) -> str:
     """The root's absolute path; ValueError unless it is a directory, no link, and not virtual."""
     if not os.path.isdir(root) or os.path.islink(root):
         raise ValueError(f"{root} is no directory, or is a link")
     if getattr(os.lstat(root), "st_file_attributes", ORDINARY) & NO_CONTENT_MASK:
         raise ValueError(f"{root} is not kept on this disk")
-    return os.path.abspath(root)
+    return plain(root)
 
 
 def files_of(entries: DataFrame) -> DataFrame:
