@@ -29,6 +29,8 @@ from .components import components
 
 #: BLOCK is in shingles; a row counts ROW more for its signature and bands.
 WORDS, SLOTS, BLOCK, SALT, ROW = 5, 180, 1 << 20, 256, 64
+#: Elements that are dealt to slots at once.
+CHUNK = 1 << 16
 PRINTS = ["n_shingles", "print1", "print2"]
 #: How often a pair right at the limit may miss all bands.
 MISSED = 1e-6
@@ -53,14 +55,9 @@ def superminhash(h: np.ndarray, ptr: np.ndarray, slots: int = SLOTS) -> np.ndarr
     sig = np.full(docs * slots, np.iinfo(_U).max, _U)
     doc = np.repeat(np.arange(docs), np.diff(ptr))
     step = np.arange(1, slots + 1, dtype=_U) * textvec._GOLD
-    # chunks of whole texts with about 64k elements, so that the permutations stay in cache
-    starts = np.searchsorted(ptr, np.arange(0, len(h) + 65536, 65536), "left")
-    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-        if lo >= docs or hi <= lo:
-            continue
-        hi = min(hi, docs)
-        e = slice(ptr[lo], ptr[hi])
-        live, own = h[e], doc[e]
+    # chunks of 64k elements, so that permutations stay in cache and memory does not follow the longest text; slots keep minima, so a text that is cut goes on where it was
+    for first in range(0, len(h), CHUNK):
+        live, own = h[first : first + CHUNK], doc[first : first + CHUNK]
         perm = np.tile(np.arange(slots, dtype=np.uint16), (len(live), 1))
         at = np.arange(len(live))
         for j in range(slots):
@@ -69,8 +66,7 @@ def superminhash(h: np.ndarray, ptr: np.ndarray, slots: int = SLOTS) -> np.ndarr
             slot = perm[at, k]
             perm[at, k] = perm[at, j]
             np.minimum.at(sig, own * slots + slot, (_U(j) << _U(40)) | (x >> _U(24)))
-            seen = np.unique(own) if j else np.arange(lo, hi)
-            seen = seen[np.diff(ptr)[seen] > 0]
+            seen = np.unique(own)
             open_ = np.zeros(docs, bool)
             open_[seen] = sig.reshape(docs, slots)[seen].max(1) >= _U((j + 1) << 40)
             keep = open_[own]

@@ -5,14 +5,15 @@ refitted together by least squares; encoding is a beam search over the residual
 makes a table of its inner products with all codewords; a candidate's score is the sum of `BOOKS` entries over the stored norm. The `SHORTLIST` candidates of
 all that score best are scored exactly, in double precision, on the original vectors.
 
-Queries are a stated set: blocks of queries meet chunks of codes by an equi-join on the chunk, and each meeting gives the few best of each query. Original
-vectors are fetched for shortlisted candidates only.
+Queries are a stated set. Chunks of codes stay where they lie: blocks of queries go to all tasks as a broadcast of at most `BROADCAST` bytes at a time, and each meeting gives
+the few best of each query, of which a task keeps a shortlist before any are shuffled. Original vectors are fetched for shortlisted candidates only.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ BOOKS, WORDS, BEAM, REFITS = 32, 64, 4, 3
 SAMPLE = 8192
 #: Candidates of a query that are scored exactly, however many there are in all. Rows of a chunk of codes and of a block of queries.
 SHORTLIST, CHUNK, BLOCK = 128, 16_384, 256
+#: Bytes of queries that are broadcast together.
+BROADCAST = 64 << 20
 SEED = 9
 
 
@@ -190,13 +193,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int =
 
     chunks, blocks = math.ceil(n / CHUNK), math.ceil(n_asked / BLOCK)
     by = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    upto = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     index = scratch.save(kept.withColumn("chunk", by(chunks)).groupBy("chunk").applyInPandas(_index(books), "chunk int, ids binary, codes binary, norms binary"), "index")
     packed = scratch.save(asked.withColumn("block", by(blocks)).groupBy("block").applyInPandas(lambda key, pdf: _pack(key, pdf), "block int, query_ids binary, queries binary"), "blocks")
-    met = packed.withColumn("chunk", upto(chunks)).join(index.withColumn("block", upto(blocks)), ["chunk", "block"])
-    near = scratch.save(met.mapInArrow(_search(books, shortlist), "query_id long, vec_id long, approximate float"), "near")
-    best = Window.partitionBy("query_id").orderBy(F.desc("approximate"), "vec_id")
-    short = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= shortlist).select("query_id", "vec_id")
+    together, best = max(1, BROADCAST // (2 * BLOCK * 8 * (size["d"] + 1))), Window.partitionBy("query_id").orderBy(F.desc("approximate"), "vec_id")
+    parts = []
+    for lo in range(0, blocks, together):
+        hi = min(blocks, lo + together) - 1
+        met = index.withColumn("block", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).join(F.broadcast(packed.where(F.col("block").between(lo, hi))), "block")
+        near = met.mapInArrow(_search(books, shortlist), "query_id long, vec_id long, approximate float")
+        parts.append(scratch.save(near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= shortlist).select("query_id", "vec_id"), "near"))
+    short = reduce(DataFrame.unionByName, parts)
     pairs = short.join(kept, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
     found = scratch.save(pairs.mapInArrow(_exact, "query_id long, vec_id long, score double"), "found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

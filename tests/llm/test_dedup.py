@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from stockroom.llm import minhash_dedup
 from stockroom.llm.components import components
 from stockroom.llm.minhash_dedup import SLOTS, banding, near_duplicates
 
@@ -123,3 +125,26 @@ def test_without_the_estimate(spark):
     rows = [(i, " ".join(edited(rnd, base, rnd.randrange(0, 3)))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df, estimate=False).collect()} == brute(rows)
+
+
+def test_long_texts_in_chunks(monkeypatch):
+    """Signatures are the same however texts are cut, and memory does not follow the longest one."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 3, 500, 0, 2000, 7, 1, 0]
+    h = np.concatenate([np.sort(rng.integers(0, 2**63, n).astype(np.uint64)) for n in sizes])
+    ptr = np.cumsum([0, *sizes])
+    whole = minhash_dedup.superminhash(h, ptr)
+    for chunk in (1, 37, 512):
+        monkeypatch.setattr(minhash_dedup, "CHUNK", chunk)
+        assert (minhash_dedup.superminhash(h, ptr) == whole).all()
+    monkeypatch.undo()
+    peaks = []
+    for n in (200_000, 2_000_000):
+        long = rng.integers(0, 2**63, n).astype(np.uint64)
+        tracemalloc.start()
+        minhash_dedup.superminhash(long, np.array([0, n]))
+        peaks.append(tracemalloc.get_traced_memory()[1] - 8 * n)
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 16 * 2_000_000
