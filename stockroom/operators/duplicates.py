@@ -22,14 +22,20 @@ def _few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 def staged(files: DataFrame) -> DataFrame:
     """path, size_bytes, attributes, identity, fingerprint, hash of the files (content) that share their size with others and may be read. hash is null where no
-    other file of the size has the same fingerprint: only the edges of those are read. Content is not shuffled while the keys are few."""
+    other file of the size has the same fingerprint: only the edges of those are read. The edges of a small file are all of it, so its fingerprint is its hash; content is read again for
+    large files only, and is not shuffled while the keys are few."""
     c, n = F.col("content"), F.col("size_bytes")
     shared = _few(scratch.save(size_buckets(files).select("size_bytes"), "shared-sizes"))
     readable = files.where((n > 0) & ~paths.avoids_content(F.col("attributes"))).select("path", "size_bytes", "attributes", "identity", "content").join(shared, "size_bytes", "left_semi")
     edges = scratch.save(readable.withColumn("fingerprint", paths.edge_digest(c, n)).drop("content"), "edges")
-    again = edges.join(_few(fingerprint_groups(edges).select("size_bytes", "fingerprint")), ["size_bytes", "fingerprint"], "left_semi").select("path")
-    full = scratch.save(readable.select("path", "content").join(_few(scratch.save(again, "again")), "path", "left_semi").select("path", F.sha2(c, 256).alias("hash")), "hashes")
-    return scratch.save(edges.join(full, "path", "left").select("path", "size_bytes", "attributes", "identity", "fingerprint", "hash"), "digests")
+    twice = _few(scratch.save(fingerprint_groups(edges).select("size_bytes", "fingerprint", F.lit(True).alias("twice")), "shared-fingerprints"))
+    small = paths.edge_bytes(n) == n
+    again = edges.where(~small).join(twice, ["size_bytes", "fingerprint"], "left_semi").select("path")
+    out = edges.join(twice, ["size_bytes", "fingerprint"], "left").withColumn("hash", F.when(F.col("twice") & small, F.col("fingerprint")))
+    if not (again := scratch.save(again, "again")).isEmpty():
+        full = readable.where(~small).select("path", "content").join(_few(again), "path", "left_semi").select("path", F.sha2(c, 256).alias("__full"))
+        out = out.join(scratch.save(full, "hashes"), "path", "left").withColumn("hash", F.coalesce("hash", "__full"))
+    return scratch.save(out.select("path", "size_bytes", "attributes", "identity", "fingerprint", "hash"), "digests")
 
 
 def size_buckets(files: DataFrame) -> DataFrame:

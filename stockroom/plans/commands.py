@@ -62,7 +62,7 @@ def _inventory(spark: SparkSession, root: str, job: Job | None = None) -> tuple[
     """(root, files, directories, counts): entries of a tree without links. Directories that are not local are counted and never opened."""
     root = tree.checked_root(root)
     with watched(job, spark, "scanning", "files") as (seen,):
-        entries = tree.read(spark, root, seen=seen)
+        entries = tree.read(spark, root, seen=seen, between=job and job.check)
     directories = tree.directories_of(entries, root)
     virtual = paths.avoids_content(F.col("attributes"))
     errors = entries.where("error is not null")
@@ -221,7 +221,7 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
     entries = _enumerated(bulk, root) if bulk is not None else None
     method = "walk" if entries is None else "bulk"
     with watched(job, spark, "indexing", "files") as (seen,):
-        entries = tree.read(spark, root, closed=REPARSE, seen=seen) if entries is None else scratch.save(entries, "entries")
+        entries = tree.read(spark, root, closed=REPARSE, seen=seen, between=job and job.check) if entries is None else scratch.save(entries, "entries")
     if own is not None:  # the store's own files change while it is written
         entries = entries.where(~paths.is_under(F.col("path"), own))
     if (first := entries.where("error is not null").first()) is not None:

@@ -105,13 +105,15 @@ def _batch(rows: list[tuple], seen) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in rows], schema=_ARROW)
 
 
-def read(spark: SparkSession, root: str, depth: str = "all", closed: int = NO_CONTENT_MASK, attributes: Attributes = own_attributes, seen=None) -> DataFrame:
+def read(spark: SparkSession, root: str, depth: str = "all", closed: int = NO_CONTENT_MASK, attributes: Attributes = own_attributes, seen=None, between: Callable[[], None] | None = None) -> DataFrame:
     """Entries below `root`; depth "1": its own entries only. closed: attribute bits of directories that are not opened; attributes: gives a path's bits, on the executors;
-    seen: an accumulator that counts files as tasks end. The table of each round lies in scratch space (see scratch.released())."""
+    seen: an accumulator that counts files as tasks end; between: called before each round, where a job may wait or be cancelled. The table of each round lies in scratch space (see scratch.released())."""
     scratch.ship(spark)
     text, raw = _text(checked_root(root))
     rounds, left, most = [], spark.createDataFrame([(text, raw)], "path string, raw_path binary"), FIRST
     while True:
+        if between is not None:
+            between()
         found = scratch.save(left.mapInArrow(_round(most if depth == "all" else 0x7FFFFFFF, depth == "all", closed, attributes, seen), SCHEMA), "walk")
         rounds.append(found.where(F.col("kind") != LEFT))
         left = found.where(F.col("kind") == LEFT).select("path", "raw_path")

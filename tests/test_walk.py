@@ -170,3 +170,33 @@ def test_cancelling_within_hashing_stops_it(spark, tmp_path):
     hashing = [t for t, e in zip(times, events, strict=True) if e["phase"] == "hashing"]
     assert all(b - a >= 0.24 for a, b in zip(hashing[1:], hashing[2:], strict=False))
     assert events[-1]["bytesRead"] < 48 << 30
+
+
+def test_pausing_within_a_walk_stops_it_between_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "FIRST", 1)
+    monkeypatch.setattr(tree, "MOST", 1)
+    (tmp_path / "a/b/c/d/e/f").mkdir(parents=True)
+    registry, rounds, save = jobs.Jobs(spark), [], tree.scratch.save
+
+    def told(df, name):
+        rounds.append(name)
+        if len(rounds) == 2:
+            registry.pause("job-00000010")
+        return save(df, name)
+
+    monkeypatch.setattr(tree.scratch, "save", told)
+    done = []
+
+    def work():
+        with registry.run("job-00000010") as job:
+            done.append(commands.scan_path(spark, str(tmp_path), analyze_duplicates=False, job=job)["directoriesScanned"])
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    while len(rounds) < 2:
+        time.sleep(0.05)
+    time.sleep(3)
+    assert len(rounds) == 2 and not done
+    assert registry.resume("job-00000010")
+    thread.join(60)
+    assert done == [6] and len(rounds) >= 6
