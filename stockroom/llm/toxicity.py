@@ -28,6 +28,8 @@ from . import scratch, textvec
 #: Labelled examples of each class that are indexed at most. Their choice goes by a hash of the id.
 EXAMPLES = 2048
 NEIGHBOURS, BLOCK, FREQUENT, SEED = 15, 64, 16, 6
+#: How near two cosines are taken for equal, and by how much a block's bound may fall short: more than single precision, in which weights are kept, can be off.
+CLOSE = 1e-6
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +86,9 @@ class Index:
         cells, of_cell = cells[by_block], of_cell[by_block]
         ends = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=len(most)))])
         order, kth, done = np.argsort(-most, kind="stable"), 1e-9, 0
-        while done < len(order) and most[order[done]] >= kth - 1e-12:
+        while done < len(order) and most[order[done]] >= max(kth - CLOSE, 1e-9):
             mine = order[done : done + max(8, 2 * done)]
-            mine = mine[most[mine] >= kth - 1e-12]
+            mine = mine[most[mine] >= max(kth - CLOSE, 1e-9)]
             done += len(mine)
             some = _spread(ends[mine], ends[mine + 1] - ends[mine])
             c = cells[some]
@@ -96,7 +98,7 @@ class Index:
             if leave >= 0:
                 best[leave] = 0.0
             kth = max(float(np.partition(best, size - k)[size - k]), 1e-9)
-        found = np.flatnonzero(best >= kth - 1e-12)
+        found = np.flatnonzero(best >= max(kth - CLOSE, 1e-9))
         found = found[np.lexsort((self.ids[found], -best[found]))]
         return found, np.minimum(best[found], 1.0)
 
@@ -104,7 +106,7 @@ class Index:
         """Share of toxic among the neighbours, weighted by closeness; those that tie for the last places share these places. Without any, the prior."""
         w = self.stands_for[found] * cosine / (1.02 - cosine)
         if len(found) > NEIGHBOURS:
-            tied = cosine <= cosine[-1] + 1e-12
+            tied = cosine <= cosine[-1] + CLOSE
             w[tied] *= (NEIGHBOURS - np.count_nonzero(~tied)) / np.count_nonzero(tied)
         return float((w * self.toxic[found]).sum() / w.sum()) if len(found) else self.prior
 

@@ -49,6 +49,39 @@ def test_index_and_votes_against_dense_vectors():
                 assert ix.vote(found, cosine) == pytest.approx((share * toxic[ix.ids[found]]).sum() / share.sum())
 
 
+def test_calibration_against_a_plain_logistic_fit():
+    """Leave-one-out votes recomputed with dense arrays; the slope and intercept are where the penalised likelihood of the labels has no gradient; scores follow from them."""
+    rng = np.random.default_rng(9)
+    words = [np.unique(rng.integers(0, 200, rng.integers(3, 25)).astype(np.uint64) * 5, return_counts=True) for _ in range(260)]
+    toxic = np.array([int(rng.random() < (0.85 if (t < 150).sum() > 3 else 0.1)) for t, _ in words])
+    vocabulary = np.unique(np.concatenate([t for t, _ in words]))
+    df = rng.integers(1, 900, len(vocabulary))
+    ix = toxicity.build(np.arange(260), toxic, words, {0: 700, 1: int(toxic.sum())}, vocabulary, df, 900, False)
+    dense = np.zeros((260, len(vocabulary)))
+    for i, (t, n) in enumerate(words):
+        dense[i, np.searchsorted(vocabulary, t)] = 1 + np.log(n)
+    dense *= np.log(901 / (1 + df)) + 1
+    dense /= np.sqrt((dense**2).sum(1, keepdims=True))
+    stands = np.where(toxic == 1, 1.0, 700 / (260 - toxic.sum()))
+    votes = []
+    for i in range(260):
+        every = dense @ dense[i]
+        every[i] = 0
+        kth = np.sort(every)[-toxicity.NEIGHBOURS]
+        found = np.flatnonzero(every >= kth - toxicity.CLOSE)
+        w = stands[found] * every[found] / (1.02 - every[found])
+        tied = every[found] <= kth + toxicity.CLOSE
+        if len(found) > toxicity.NEIGHBOURS:
+            w[tied] *= (toxicity.NEIGHBOURS - (~tied).sum()) / tied.sum()
+        votes.append((w * toxic[found]).sum() / w.sum())
+    x, weight = toxicity._logit(np.array(votes)), stands / stands.mean()
+    p = 1 / (1 + np.exp(-(ix.slope * x + ix.intercept)))
+    gradient = [(weight * (toxic - p) * x).sum() - 0.01 * (ix.slope - 1), (weight * (toxic - p)).sum() - 0.01 * ix.intercept]
+    assert np.abs(gradient).max() < 1e-2 * len(x) ** 0.5 and ix.slope > 0
+    assert ix.score(0.3) == pytest.approx(1 / (1 + np.exp(-(ix.slope * np.log(0.3 / 0.7) + ix.intercept))), rel=0.05)
+    assert ix.score(0.1) < ix.score(0.5) < ix.score(0.9)
+
+
 def test_document_frequencies_over_all_documents(spark):
     rows = [(i, f"common w{i % 7} w{i % 7} only{i}") for i in range(200)] + [(500, None), (501, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
