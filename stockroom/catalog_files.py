@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _files, query
-from .operators import journal
-from .plans import commands, jobs
+from .functions import display
+from .operators import journal, report
+from .plans import commands, jobs, store
 from .sources import content, scratch, tree
 from .sources.adapter import FILES_SQL, ROOT
 
@@ -169,3 +170,55 @@ def progress_of_a_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         commands.scan_path(spark, root, job=job)
     rows = [(e["phase"], e["files"] if e["phase"] == "scanned" else e["bytesRead"]) for e in events if e["phase"] in ("scanned", "fingerprinted")]
     return spark.createDataFrame(rows, "phase string, counted long")
+
+
+@query("SELECT event_id, CASE WHEN value - 100 >= 0 THEN CAST(floor((value - 100) * 1048576) AS BIGINT) END AS least_bytes FROM (SELECT event_id, CAST(value AS DOUBLE) AS value FROM events)")
+def sizes_in_megabytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes as a person types them, of which those below 0 are refused."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", display.megabytes_column(F.col("value").cast("double") - 100).alias("least_bytes"))
+
+
+@query(f"WITH {_WHOLE} SELECT 'd' || doc_id AS name, size_bytes FROM w WHERE doc_id % 4 <> 0")
+def flat_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of one directory without those of the directories in it, where every fourth document lies."""
+    root = _folder(spark)
+    name = F.concat(F.lit("/d"), F.col("doc_id").cast("string"))
+    _put(_files(spark, sf_dir).where("path is not null").withColumn("path", F.concat(F.lit(ROOT), F.when(F.col("doc_id") % 4 == 0, "/sub").otherwise(""), name)), root)
+    return tree.files_of(tree.read(spark, root, depth="1")).select(F.substr("path", F.lit(len(root) + 2)).alias("name"), "size_bytes")
+
+
+def _published(spark: SparkSession, sf_dir: str, watermark: dict | None = None) -> tuple[store.Store, store.Scope]:
+    """All documents as files of one directory."""
+    s = store.Store(spark, scratch.folder(spark, f"store-{uuid.uuid4().hex}"))
+    files = _files(spark, sf_dir).where("path is not null and size_bytes is not null").select(F.concat(F.lit("/all/d"), F.col("doc_id").cast("string")).alias("path"), F.lit("/all").alias("parent_path"), F.floor(F.col("size_bytes") / 50).cast("long").alias("size_bytes"), "modified_ns", "attributes")
+    return s, s.publish("/all", s.stage("/all", files, report.rollup(files, "/all")), watermark)
+
+
+@query(f"""WITH {_WHOLE}, n AS (SELECT '/all/d' || doc_id AS path, size_bytes // 50 AS size_bytes FROM w), k AS (SELECT *, row_number() OVER (ORDER BY size_bytes DESC, path) - 1 AS place FROM n)
+SELECT CAST(place // 60 AS INTEGER) + 1 AS page, path, size_bytes, true AS stale_refused FROM k WHERE place < 180""")
+def browsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of 60, each behind the cursor of the one before; a page of another generation is refused."""
+    s, scope = _published(spark, sf_dir)
+    rows, cursor, refused = [], None, False
+    for page in (1, 2, 3):
+        got = commands.browse_index_tree(spark, s.base, "/all", "/all", cursor, 60, scope.revision)
+        rows += [(page, n["path"], n["sizeBytes"]) for n in got["nodes"]]
+        cursor = got["nextCursor"]
+        if cursor is None:
+            break
+    try:
+        commands.browse_index_tree(spark, s.base, "/all", "/all", None, 60, scope.revision + 1)
+    except ValueError:
+        refused = True
+    return spark.createDataFrame([(*r, refused) for r in rows], "page int, path string, size_bytes long, stale_refused boolean")
+
+
+@query(f"WITH {_WHOLE} SELECT 'published' AS step, max(doc_id) AS next, count(*) AS files FROM w UNION ALL SELECT 'delta', max(doc_id) + 7, count(*) FROM w")
+def checkpoint_of_a_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal's position, kept and replaced together with the rows that it stands for."""
+    n = _files(spark, sf_dir).where("path is not null and size_bytes is not null").agg(F.max("doc_id")).first()[0]
+    s, scope = _published(spark, sf_dir, {"next": n})
+    out = [("published", s.scope("/all").watermark["next"], s.scope("/all").file_count)]
+    some = s.files(scope).where("size_bytes > 0").withColumn("size_bytes", F.col("size_bytes") + 1)
+    s.overlay(scope, some, s.directories(scope), {"next": n + 7})
+    return spark.createDataFrame([*out, ("delta", s.scope("/all").watermark["next"], s.files(s.scope("/all")).count())], "step string, next long, files long")

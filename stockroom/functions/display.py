@@ -60,6 +60,12 @@ def megabytes(mb: float) -> int:
     return int(mb * 1048576)
 
 
+def megabytes_column(mb: Column) -> Column:
+    """megabytes() of a column; null where that is an error."""
+    mb = mb.cast("double")
+    return F.when((mb >= 0) & (mb < float("inf")), F.floor(mb * 1048576)).cast("long")
+
+
 def digest_text(digest: Column) -> Column:
     """The first 16 digits of a digest."""
     return F.left(digest, F.lit(16))
