@@ -194,6 +194,24 @@ def test_vectors_recall(spark):
         assert np.mean([len(found[q] & set(want[q])) / 5 for q in want]) >= least
 
 
+def test_vectors_in_groups_of_blocks(spark, monkeypatch):
+    """With chunks, blocks and broadcasts so small that there are many, and a shortlist of all, the result is exact."""
+    for name, value in (("CHUNK", 40), ("BLOCK", 3), ("BROADCAST", 2 * 3 * 8 * 9 * 2)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(210, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    got = {}
+    for r in vectors.nearest(df, df.where("vec_id % 10 = 0"), shortlist=210).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in range(0, 210, 10):
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        assert [got[q][i] for i in range(1, 6)] == np.argsort(-cosine)[:5].tolist()
+    assert len(got) == 21
+
+
 def test_vectors_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0]), (1, None), (2, [0.0, 0.0, 0.0]), (3, [nan, 1.0, 0.0]), (4, [inf, 1.0, 0.0]), (5, [None, 1.0, 0.0]), (6, []), (7, [1.0, 2.0]), (None, [1.0, 0.0, 0.0]), (50, [1e-30, 1e-30, 0.0]), (51, [1e30, 1e30, 0.0]), (51, [1e30, 1e30, 0.0]), (52, [0.0, 0.0, 1.0])]
