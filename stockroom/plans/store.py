@@ -208,10 +208,11 @@ class Store:
         df = scratch.save(df.select([c.split()[0] for c in schema.split(", ")]), kind)
         n, by = max(1, -(-df.count() // FILE_ROWS)), ("parent_path", F.desc("size_bytes"), "path")
         path = self._at(root, kind, name)
-        rows = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+        ranged = lambda rows, n: (rows.repartition(1) if n == 1 else rows.repartitionByRange(n, *by)).sortWithinPartitions(*by)
+        rows = ranged(df, n)
         rows.write.option("parquet.page.row.count.limit", MARK_ROWS).option("parquet.enable.dictionary", "false").parquet(path)
         at = self.spark.read.schema(schema).parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "parent_path", "size_bytes", "path")
-        at.where(F.col("row") % MARK_ROWS == 0).repartitionByRange(max(1, n // 64), *by).sortWithinPartitions(*by).write.parquet(f"{path}-marks")
+        ranged(at.where(F.col("row") % MARK_ROWS == 0), max(1, n // 64)).write.parquet(f"{path}-marks")
 
     def stage(self, root: str, files: DataFrame, directories: DataFrame) -> str:
         """Write an unpublished generation, in a folder of its own, and return its name."""
