@@ -1,7 +1,7 @@
 """Quality rules: counted base rules and compression bands.
 
-Text that zstandard shrinks far more than prose of its length repeats itself; text that it can't shrink is noise, codes or encoded bytes. Short texts
-compress worse than long ones for the same kind of content, so the limits depend on length. Whole documents are measured, and chunks of even length
+Text that zstandard shrinks far more than other texts of its length repeats itself; text that it can't shrink is noise, codes or encoded bytes. Short texts
+compress worse than long ones for the same kind of content, so the limits depend on length, and are taken from the corpus. Whole documents are measured, and chunks of even length
 that cover all of a text: one outside its band shows a repetitive or random passage that the whole document's ratio hides.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +26,75 @@ _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of compressed bytes over bytes. `documents`: (bytes, least, most) for whole texts, in between by the logarithm of the length, behind the last as
-    there; `chunk`: for chunks.
+    """Limits of compressed bytes over bytes.
 
-    Up to 4 kB, the least values lie about 0.01 below the smallest ratio that documents labelled as good have at each length, the most values above the
-    largest, both in the training fold of the labels; from 8 kB on the least are lower still, as long texts of few words, such as licenses, compress well. A text is cut into bytes // chunk_bytes chunks, even to a byte, so each has chunk_bytes to 1.5 times as many and
-    no tail is left over; one of fewer than two chunks is measured whole. A document is rejected if its ratio is outside its band, or if more than
-    `bad_share` of its chunks are outside theirs. Texts of under the first length are too short for a ratio to tell anything and have no band.
+    `documents`: (bytes, least, most) for whole texts, in between by the logarithm of the length, beyond the ends as there. Without it they follow from the texts themselves, as
+    ratios of one corpus say little of another's: of the distinct texts of `short` bytes and more that pass the base rules, in each doubling of the length with `enough` of them, the limits lie
+    `spreads` times as far from the median as the quartiles do (by 0.005 at least). So up to a quarter of junk of either kind moves no limit. Beyond the lengths with enough
+    texts, limits widen by `slope` with each doubling; where no length has enough, `wide` holds, which no limit exceeds. `chunk`: for chunks of any text; far from what prose has, so that long texts don't fail by chance.
+
+    A text is cut into bytes // chunk_bytes chunks, even to a byte, so each has chunk_bytes to 1.5 times as many and no tail is left over; one of fewer than two chunks is measured
+    whole. A document is rejected if its ratio is outside its band, or if more than `bad_share` of its chunks are outside theirs. Texts of under `short` bytes are too short for a ratio to
+    tell anything and have no band.
     """
 
     level: int = 3
     chunk_bytes: int = 512
-    documents: tuple[tuple[int, float, float], ...] = ((256, 0.50, 0.80), (512, 0.49, 0.75), (1024, 0.465, 0.68), (2048, 0.44, 0.62), (4096, 0.425, 0.57), (8192, 0.395, 0.54), (16384, 0.37, 0.53), (32768, 0.355, 0.52), (65536, 0.34, 0.52), (262144, 0.32, 0.52), (1 << 20, 0.29, 0.52))
-    chunk: tuple[float, float] = (0.42, 0.74)
+    documents: tuple[tuple[float, float, float], ...] | None = None
+    chunk: tuple[float, float] = (0.25, 0.80)
     bad_share: float = 0.0
+    short: int = 256
+    spreads: float = 6.0
+    enough: int = 30
+    slope: float = 0.03
+    wide: tuple[float, float] = (0.15, 0.85)
 
     def limits(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and most ratio of whole texts of these sizes; 0 and infinity below the first."""
-        at, least, most = zip(*self.documents, strict=True)
-        some, x = size >= at[0], np.log2(np.maximum(size, 1))
+        """Least and most ratio of whole texts of these sizes; 0 and infinity below `short`."""
+        at, least, most = zip(*(self.documents or ((self.short, *self.wide),)), strict=True)
+        some, x = size >= self.short, np.log2(np.maximum(size, 1))
         return np.where(some, np.interp(x, np.log2(at), least), 0.0), np.where(some, np.interp(x, np.log2(at), most), np.inf)
 
 
+def _failed(found: dict[str, np.ndarray]) -> np.ndarray:
+    """Which texts the base rules reject."""
+    return (found["n_words"] < 50) | (100 * found["n_repeat_words"] > 50 * found["n_words"])
+
+
+def _measure(bands: Bands):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """print, size and ratio (in ten thousandths) of the texts that limits are taken from."""
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=bands.level, write_content_size=False, write_checksum=False)
+        for batch in batches:
+            for at, part in textvec.slices(batch.column("text")):
+                buf, ends = textvec.flat(part)
+                size = np.diff(ends)
+                some = np.flatnonzero((size >= bands.short) & ~_failed(counts(part)))
+                ratio = [round(10_000 * len(press.compress(buf[ends[i] : ends[i + 1]])) / int(size[i])) for i in some]
+                yield pa.RecordBatch.from_arrays([batch.column("print").take(pa.array(some + at)), pa.array(size[some]), pa.array(ratio, pa.int32())], ["print", "size", "ratio"])
+
+    return measure
+
+
+def fit(docs: DataFrame, bands: Bands = Bands()) -> Bands:
+    """`bands` with limits for whole texts that follow from the texts of `docs` (text): exact quartiles of all of them, from at most 10,000 numbers a length."""
+    scratch.ship(docs.sparkSession)
+    text = F.col("text").cast("string")
+    seen = docs.select(F.xxhash64(text).alias("print"), text.alias("text")).mapInArrow(_measure(bands), "print long, size long, ratio int").distinct()
+    held = seen.groupBy(F.floor(F.log2("size")).cast("int").alias("doubling"), "ratio").agg(F.count("*").alias("n"))
+    rows = held.groupBy("doubling").agg(F.sum("n").alias("n"), F.percentile("ratio", [0.25, 0.5, 0.75], F.col("n")).alias("q")).where(F.col("n") >= bands.enough).orderBy("doubling").collect()
+    table = []
+    for r in rows:  # one row a doubling of the length
+        low, middle, high = (q / 10_000 for q in r["q"])
+        table.append((2 ** (r["doubling"] + 0.5), max(bands.wide[0], middle - bands.spreads * max(middle - low, 0.005)), min(bands.wide[1], middle + bands.spreads * max(high - middle, 0.005))))
+    if table:  # longer texts compress better, shorter ones worse
+        table.insert(0, (table[0][0] / 8, table[0][1], min(bands.wide[1], table[0][2] + 3 * bands.slope)))
+        table.append((table[-1][0] * 1024, max(bands.wide[0], table[-1][1] - 10 * bands.slope), table[-1][2]))
+    return replace(bands, documents=tuple(table) or None)
+
+
 def _repeats(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Words of each text that lie in a 3-word window found twice or more in it."""
     docs = len(ptr) - 1
@@ -117,7 +164,7 @@ def _rate(bands: Bands):
                 buf, ends = textvec.flat(part)
                 whole, share, size = np.full(len(part), np.nan), np.full(len(part), np.nan), np.diff(ends)
                 for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                    if b - a >= bands.documents[0][0]:
+                    if b - a >= bands.short:
                         whole[i] = len(press.compress(buf[a:b])) / (b - a)
                         if (n := (b - a) // bands.chunk_bytes) > 1:  # else the whole text says as much
                             cuts = [a + (b - a) * j // n for j in range(n + 1)]
@@ -135,10 +182,11 @@ def rate(docs: DataFrame, bands: Bands = Bands(), column: str = "quality") -> Da
     (share of chunks outside their band), inside (the bands' verdict), base_failed, kept. A column of `docs` with that name is replaced.
 
     Words are runs of bytes other than ASCII white space. base_failed: under 50 words, or over half of them in repeated 3-word windows. kept: not
-    base_failed, and inside the bands. A null or blank text has no words: base_failed. Texts too short for a band have a null ratio; those of one
+    base_failed, and inside the bands, whose limits are fitted to `docs` unless `bands` has them. A null or blank text has no words: base_failed. Texts too short for a band have a null ratio; those of one
     chunk have null bad_chunks. Ids aren't looked at, so null or repeated ones change nothing. An empty table gives no rows.
     """
     scratch.ship(docs.sparkSession)
+    bands = bands if bands.documents else fit(docs, bands)
     names = [c for c in docs.columns if c != column]
     rows = docs.select(F.struct(*(F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in names)).alias("row"))
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("n_bytes", T.LongType()), T.StructField("ratio", T.DoubleType()), T.StructField("bad_chunks", T.DoubleType()), T.StructField("inside", T.BooleanType())])

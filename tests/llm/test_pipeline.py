@@ -8,14 +8,15 @@ import corpus_pipeline as cp
 from stockroom.llm.importance import resample
 from tests.llm.test_dedup import brute, edited
 from tests.llm.test_packing_pieces import check_packed
-from tests.llm.test_quality import kept_by_hand
+from tests.llm.test_quality import kept_by_hand, limits_by_hand
 
 
 def test_stages(spark, sf_dir):
     assert [n for n, _ in cp.STAGES] == ["quality rules", "quality classifier", "near-duplicates", "packing"] and cp.ORACLE_SQL is None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     one = cp.scratch.save(cp.quality_rules(spark, docs, sf_dir), "t1")
-    assert {r["doc_id"] for r in one.collect()} == {r["doc_id"] for r in docs.collect() if kept_by_hand(r["text"])} and one.columns == docs.columns
+    table = limits_by_hand([r["text"] for r in docs.collect()])
+    assert {r["doc_id"] for r in one.collect()} == {r["doc_id"] for r in docs.collect() if kept_by_hand(r["text"], table)} and one.columns == docs.columns
     two = cp.scratch.save(cp.quality_classifier(spark, one, sf_dir), "t2")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(r["doc_id"] for r in resample(one, labels).where("selected").collect()) and two.columns == docs.columns
