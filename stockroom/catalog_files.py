@@ -38,10 +38,7 @@ def _put(rows: DataFrame, root: str) -> None:
 
 
 def _folder(spark: SparkSession) -> str:
-    path = scratch.folder(spark, f"files-{uuid.uuid4().hex}")
-    if not path.startswith("file:"):
-        raise RuntimeError("files can only be written below a folder that has a path")
-    return "/" + path.removeprefix("file:").lstrip("/")
+    return scratch.local(scratch.folder(spark, f"files-{uuid.uuid4().hex}"))
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> str:

@@ -246,7 +246,7 @@ def journal_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch.folder(spark, f"journal-{uuid.uuid4().hex}")
     i, name = F.col("event_id"), F.concat("event_type", F.lit(" é漢😀 "), F.col("event_id").cast("string"))
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(i.alias("usn"), (F.col("user_id") * 4294967311).alias("file_id"), (i % 97).alias("parent_id"), F.expr(_REASON).cast("long").alias("reason"), F.when(i % 10 == 0, 16).otherwise(32).cast("long").alias("attributes"), name.alias("name"))
-    n, folder = e.count(), base.removeprefix("file://") + "/segments"
+    n, folder = e.count(), scratch.local(base) + "/segments"
     step = max(100, n // 20)
     segments.capture(e.where(F.col("usn") < n // 2 // step * step), folder, step)
     stream.follow(spark, folder, f"{base}/out", f"{base}/state", most=5 * step)

@@ -44,6 +44,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/stockroom/{name}"
 
 
+def local(path: str) -> str:
+    """The path that open() takes, of one on a file system that all machines mount; an error for any other."""
+    if "://" in path and not path.startswith("file:"):
+        raise RuntimeError(f"{path} can't be opened by its path: a mounted folder is needed")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

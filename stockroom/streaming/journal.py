@@ -53,7 +53,7 @@ def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, most: in
 
     `checkpoint` is a folder on shared storage; the driver opens it by its path as well.
     """
-    position = checkpoint.removeprefix("file://") + "/position/at.json"
+    position = scratch.local(checkpoint) + "/position/at.json"
     q = append(segments.stream(spark, folder, position, start, most), out, f"{checkpoint}/stream", processingTime="0 seconds")
     try:
         q.processAllAvailable()
