@@ -82,8 +82,8 @@ def fit(docs: DataFrame, bands: Bands = Bands()) -> Bands:
     """`bands` with limits for whole texts that follow from the texts of `docs` (text): exact quartiles of all of them, from at most 10,000 numbers a length."""
     scratch.ship(docs.sparkSession)
     text = F.col("text").cast("string")
-    seen = docs.select(F.xxhash64(text).alias("print"), text.alias("text")).mapInArrow(_measure(bands), "print long, size long, ratio int").distinct()
-    held = seen.groupBy(F.floor(F.log2("size")).cast("int").alias("doubling"), "ratio").agg(F.count("*").alias("n"))
+    seen = scratch.save(docs.select(F.xxhash64(text).alias("print"), text.alias("text")).mapInArrow(_measure(bands), "print long, size long, ratio int"), "measured")
+    held = seen.distinct().groupBy(F.floor(F.log2("size")).cast("int").alias("doubling"), "ratio").agg(F.count("*").alias("n"))
     rows = held.groupBy("doubling").agg(F.sum("n").alias("n"), F.percentile("ratio", [0.25, 0.5, 0.75], F.col("n")).alias("q")).where(F.col("n") >= bands.enough).orderBy("doubling").collect()
     table = []
     for r in rows:  # one row a doubling of the length
