@@ -1,12 +1,13 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation, exact by bounds.
 
 A unit vector is coded as the sum of one full-dimensional codeword from each of `BOOKS` codebooks. Codebooks start as k-means of residuals and are then
-refitted together by least squares; encoding is a beam search over the residual after each book. Beside the codes, the norm of the sum is stored. A query
-makes a table of its inner products with all codewords; a candidate's score is the sum of `BOOKS` entries over the stored norm. The `SHORTLIST` candidates of
-all that score best are scored exactly, in double precision, on the original vectors.
+refitted together by least squares; encoding is a beam search over the residual after each book. Beside the codes, the norm of the sum and its distance from the vector
+are stored. A query makes a table of its inner products with all codewords; a candidate's estimate is the sum of `BOOKS` entries, and its cosine is above that by the distance at
+most. The `SHORTLIST` candidates of a chunk that score best by their codes are scored exactly; every other one whose bound reaches the last of the k best of these is scored
+exactly too. So nothing is missed, whatever the vectors are: codes that tell them apart less well leave more to score.
 
-Queries are a stated set. Chunks of codes stay where they lie: blocks of queries go to all tasks as a broadcast of at most `BROADCAST` bytes at a time, and each meeting gives
-the few best of each query, of which a task keeps a shortlist before any are shuffled. Original vectors are fetched for shortlisted candidates only.
+Queries are a stated set. Chunks of codes and vectors stay where they lie: blocks of queries go to all tasks as a broadcast of at most `BROADCAST` bytes at a time, and each meeting gives
+the k nearest of each query, of which a task keeps k before any are shuffled.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from . import scratch
 BOOKS, WORDS, BEAM, REFITS = 32, 64, 4, 3
 #: Vectors that the codebooks are fitted to, at most; all vectors are indexed.
 SAMPLE = 8192
-#: Candidates of a query that are scored exactly, however many there are in all. Rows of a chunk of codes and of a block of queries.
-SHORTLIST, CHUNK, BLOCK = 128, 16_384, 256
+#: Candidates of a query and chunk that are scored exactly at first. Rows of a chunk, and bytes of its vectors, at most; rows of a block of queries.
+SHORTLIST, CHUNK, CHUNK_BYTES, BLOCK = 128, 16_384, 8 << 20, 256
 #: Bytes of queries that are broadcast together.
 BROADCAST = 64 << 20
 SEED = 9
@@ -112,9 +113,12 @@ def _index(books: np.ndarray):
     def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """One row for a chunk of candidates."""
         pdf = pdf.sort_values("vec_id", kind="stable")
-        codes = encode(_unit(_matrix(pdf["embedding"])).astype(np.float32), books)
-        norms = np.sqrt((decode(codes, books).astype(np.float64) ** 2).sum(1))
-        return pd.DataFrame({"chunk": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [norms.astype(np.float32).tobytes()]})
+        vectors = _matrix(pdf["embedding"])
+        x = _unit(vectors)
+        codes = encode(x.astype(np.float32), books)
+        sums = decode(codes, books.astype(np.float64))
+        norms, errors = np.sqrt((sums**2).sum(1)), np.sqrt(((x - sums) ** 2).sum(1))
+        return pd.DataFrame({"chunk": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [norms.astype(np.float32).tobytes()], "errors": [errors.astype(np.float32).tobytes()], "vectors": [vectors.tobytes()]})
 
     return index
 
@@ -123,40 +127,49 @@ def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "query_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "queries": [_matrix(pdf["embedding"]).tobytes()]})
 
 
-def _search(books: np.ndarray, shortlist: int):
+def _last(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best of each row, less what rounding may make of it; of fewer, the least of a double."""
+    n = scores.shape[1]
+    return np.partition(scores, n - k, axis=1)[:, n - k] - 1e-12 if n >= k else np.full(len(scores), -np.inf)
+
+
+def _search(books: np.ndarray, k: int, shortlist: int):
     words = books.reshape(-1, books.shape[2]).astype(np.float64)
+    slack = np.float32(4e-6 * (1 + np.sqrt((books.astype(np.float64) ** 2).sum(2)).max(1).sum()))  # of sums in single precision
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_buffer() for c in ("ids", "codes", "norms", "query_ids", "queries")}
-                ids, qids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["norms"], np.float32)
-                q = np.frombuffer(row["queries"], np.float64).reshape(-1, books.shape[2])
+                row = {c: batch.column(c)[i].as_buffer() for c in ("ids", "codes", "norms", "errors", "vectors", "query_ids", "queries")}
+                ids, qids, norms, errors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["norms"], np.float32), np.frombuffer(row["errors"], np.float32)
+                q, x = (_unit(np.frombuffer(row[c], np.float64).reshape(-1, books.shape[2])) for c in ("queries", "vectors"))
                 codes = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).T) + np.arange(len(books))[:, None] * books.shape[1]
                 scale = 1 / np.where(norms > 0, norms, np.float32(1))
-                n = min(shortlist, len(ids))
+                n = max(1, min(shortlist, len(ids)))
                 for lo in range(0, len(q), 32):
-                    lut = (_unit(q[lo : lo + 32]) @ words.T).astype(np.float32)
+                    some = q[lo : lo + 32]
+                    lut = (some @ words.T).astype(np.float32)
                     score = np.zeros((len(lut), len(ids)), np.float32)
                     for code in codes:
                         score += lut[:, code]
-                    score *= scale
-                    score[qids[lo : lo + 32, None] == ids] = -np.inf
-                    near = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    found, who = np.take_along_axis(score, near, 1).ravel(), np.repeat(qids[lo : lo + 32], n)
-                    other = found > -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(who[other]), pa.array(ids[near].ravel()[other]), pa.array(found[other])], ["query_id", "vec_id", "approximate"])
+                    other = qids[lo : lo + 32, None] != ids
+                    near = np.argpartition(np.where(other, -score * scale, np.inf), n - 1, axis=1)[:, :n]
+                    exact = np.where(np.take_along_axis(other, near, 1), np.einsum("qd,qnd->qn", some, x[near]), -np.inf)
+                    score += errors + slack
+                    left = other & (score >= _last(exact, k)[:, None])
+                    rows = np.flatnonzero(left.any(0))
+                    left = left[:, rows]
+                    exact = np.where(left, some @ x[rows].T, -np.inf)
+                    left &= exact >= _last(exact, k)[:, None]
+                    for j, query_id in enumerate(qids[lo : lo + 32].tolist()):
+                        found = rows[left[j]]
+                        cosine = (some[j] * x[found]).sum(1)
+                        first = np.lexsort((ids[found], -cosine))[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), query_id)), pa.array(ids[found[first]]), pa.array(cosine[first])], ["query_id", "vec_id", "score"])
 
     return search
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (_unit(batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1)) for c in ("query", "embedding"))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array((a * b).sum(1))], ["query_id", "vec_id", "score"])
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of `queries` the k rows of `vectors` found nearest by cosine, without the one of its own id.
 
@@ -164,8 +177,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int =
     hold a null or non-finite component, take no part; nor do vectors of another length than the most frequent one (the longest of equally
     frequent). Rows that repeat a vec_id count once, with the smallest vector. Fewer candidates than k give fewer rows; an empty table gives none.
 
-    Of equal vectors only the k + 1 smallest ids are candidates: no more can be among a query's k nearest. Exact scores are cosines in double
-    precision. Recall follows from `shortlist`: how many candidates of a query are scored exactly, those whose codes score best.
+    Of equal vectors only the k + 1 smallest ids are candidates: no more can be among a query's k nearest. Scores are cosines in double
+    precision, and no nearer vector is missed. `shortlist` is how many candidates of a query and chunk, those whose codes score best, set the mark that the bounds of the others are held against.
     """
     spark = vectors.sparkSession
     scratch.ship(spark)
@@ -191,19 +204,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shortlist: int =
     sample = kept.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE)
     books = np.frombuffer(sample.groupBy().applyInPandas(lambda pdf: _fit(pdf), "books binary").first()["books"], np.float32).reshape(BOOKS, WORDS, size["d"])
 
-    chunks, blocks = math.ceil(n / CHUNK), math.ceil(n_asked / BLOCK)
+    chunks, blocks = math.ceil(n / max(1, min(CHUNK, CHUNK_BYTES // (8 * size["d"])))), math.ceil(n_asked / BLOCK)
     by = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    index = scratch.save(kept.withColumn("chunk", by(chunks)).groupBy("chunk").applyInPandas(_index(books), "chunk int, ids binary, codes binary, norms binary"), "index")
+    index = scratch.save(kept.withColumn("chunk", by(chunks)).groupBy("chunk").applyInPandas(_index(books), "chunk int, ids binary, codes binary, norms binary, errors binary, vectors binary"), "index")
     packed = scratch.save(asked.withColumn("block", by(blocks)).groupBy("block").applyInPandas(lambda key, pdf: _pack(key, pdf), "block int, query_ids binary, queries binary"), "blocks")
-    together, best = max(1, BROADCAST // (2 * BLOCK * 8 * (size["d"] + 1))), Window.partitionBy("query_id").orderBy(F.desc("approximate"), "vec_id")
+    together, best = max(1, BROADCAST // (2 * BLOCK * 8 * (size["d"] + 1))), Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     parts = []
     for lo in range(0, blocks, together):
         hi = min(blocks, lo + together) - 1
         met = index.withColumn("block", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).join(F.broadcast(packed.where(F.col("block").between(lo, hi))), "block")
-        near = met.mapInArrow(_search(books, shortlist), "query_id long, vec_id long, approximate float")
-        parts.append(scratch.save(near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= shortlist).select("query_id", "vec_id"), "near"))
-    short = reduce(DataFrame.unionByName, parts)
-    pairs = short.join(kept, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    found = scratch.save(pairs.mapInArrow(_exact, "query_id long, vec_id long, score double"), "found")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        near = met.mapInArrow(_search(books, k, shortlist), "query_id long, vec_id long, score double")
+        parts.append(scratch.save(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "near"))
+    return reduce(DataFrame.unionByName, parts)

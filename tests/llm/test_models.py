@@ -233,3 +233,22 @@ def test_beam_search_is_no_worse_than_greedy(seed):
     x, books = rng.normal(size=(50, 8)).astype(np.float32), rng.normal(size=(4, 16, 8)).astype(np.float32)
     error = lambda beam: ((x - vectors.decode(vectors.encode(x, books, beam), books)) ** 2).sum()
     assert error(8) <= error(1) + 1e-3
+
+
+def test_vectors_exact_where_codes_tell_nothing(spark):
+    """Close copies of a few vectors among unrelated ones, and multiples of one vector: more of them than a shortlist has, alike to the codes."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1600, 64))
+    x[:600] = x[0] + 1e-4 * rng.normal(size=(600, 64))
+    x[600:900] = x[600] * 2.0 ** rng.integers(-3, 4, (300, 1))
+    place = rng.permutation(len(x))
+    df = spark.createDataFrame([(i, x[p].tolist()) for i, p in enumerate(place)], "vec_id long, embedding array<double>")
+    unit = vectors._unit(x[place])
+    got = {}
+    for r in vectors.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert len(got) == 32
+    for q in range(0, 1600, 50):
+        cosine = (unit * unit[q]).sum(1)
+        cosine[q] = -2
+        assert [got[q][i] for i in range(1, 6)] == np.lexsort((np.arange(1600), -cosine))[:5].tolist()
