@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from . import scratch, textvec
 
 #: Documents of the sample, and terms of one of them (those of the smallest hashes); levels that are fitted to it, at most; rounds of swaps a level.
 SAMPLE, SAMPLE_TERMS, LEVELS, ROUNDS = 4096, 256, 8, 6
-#: Documents of a shard, about, and of a cluster; items that are searched together.
-SHARD, CLUSTER, ITEMS = 4096, 64, 1024
+#: Documents of a shard, about, and of a cluster; items that are searched together. Postings of a shard, at most: what a task works on at once follows them, however long documents are.
+SHARD, CLUSTER, ITEMS, POSTINGS = 4096, 64, 1024, 1 << 20
 #: Fixed values of the score.
 K1, B, UNIT = 8, 75, 1_000_000_000
 _U = np.uint64
@@ -65,10 +66,11 @@ def bisect(ptr: np.ndarray, terms: np.ndarray, levels: int, rounds: int = ROUNDS
     are worked on together.
     """
     n = len(ptr) - 1
-    doc = np.repeat(np.arange(n), np.diff(ptr))
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ptr))
     names, term, degree = np.unique(terms, return_inverse=True, return_counts=True)
     some = degree[term] > 1  # a term of one document costs the same anywhere
-    doc, term = doc[some], term[some]
+    doc, term = doc[some], term[some].astype(np.int32)
+    del some, degree
     least = np.full(n, len(names))
     np.minimum.at(least, doc, term)
     order, starts, learned = np.argsort(least, kind="stable"), np.array([0, n]), []
@@ -76,9 +78,10 @@ def bisect(ptr: np.ndarray, terms: np.ndarray, levels: int, rounds: int = ROUNDS
         middle = (starts[:-1] + starts[1:] + 1) // 2
         sizes = np.diff(starts)
         node_at = np.repeat(np.arange(len(sizes)), sizes)
-        node, side = np.empty(n, np.int64), np.empty(n, bool)
+        node, side = np.empty(n, np.int64), np.empty(n, bool)  # keys of node and term need 64 bits
         node[order], side[order] = node_at, np.arange(n) >= middle[node_at]
         keys, key = np.unique(node[doc] * len(names) + term, return_inverse=True)
+        key = key.astype(np.int32)
         at = keys // max(1, len(names))
         left, right = (middle - starts[:-1])[at], (starts[1:] - middle)[at]
         total = np.bincount(key, minlength=len(keys))
@@ -89,8 +92,9 @@ def bisect(ptr: np.ndarray, terms: np.ndarray, levels: int, rounds: int = ROUNDS
             if i == rounds:
                 break
             now = _cost(on_left, left) + _cost(on_right, right)
-            gain = np.where(side[doc], (now - _cost(on_left + 1, left) - _cost(np.maximum(on_right - 1, 0), right))[key], (now - _cost(np.maximum(on_left - 1, 0), left) - _cost(on_right + 1, right))[key])
-            gain = np.bincount(doc, weights=gain, minlength=n)
+            to_left, to_right = now - _cost(on_left + 1, left) - _cost(np.maximum(on_right - 1, 0), right), now - _cost(np.maximum(on_left - 1, 0), left) - _cost(on_right + 1, right)
+            gain = np.bincount(doc, weights=np.where(side[doc], to_left[key], to_right[key]), minlength=n)
+            del now, to_left, to_right
             order = np.lexsort((-gain, side, node))
             place = np.flatnonzero(np.arange(n) < middle[node_at])
             partner = place + half[place]
@@ -198,14 +202,24 @@ def parts(tf: np.ndarray, n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarra
     return UNIT * tf // (1000 * tf + K1 * m)
 
 
+def _cuts(sizes: np.ndarray, rows: int, total: int) -> list[int]:
+    """Where to cut a sequence so that a part has `rows` at most and sizes of `total` at most, or one row. Parts are about equal."""
+    parts = max(1, -(-len(sizes) // rows), -(-int(sizes.sum()) // total))
+    rows, total, cuts, held = -(-len(sizes) // parts), min(total, 1.05 * sizes.sum() / parts), [0], 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > cuts[-1] and (i - cuts[-1] >= rows or held + size > total):
+            cuts.append(i)
+            held = 0
+        held += size
+    return [*cuts, len(sizes)]
+
+
 def _build(n_docs: int, n_terms: int):
     def build(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        """The index rows of a shard; of more than one, if it has got several times its documents."""
-        most = 4 * SHARD
-        done = []
-        for number, lo in enumerate(range(0, docs.num_rows, most)):
-            done.append(_shard(key[0].as_py() << 20 | number, docs.slice(lo, most), n_docs, n_terms))
-        return pa.concat_tables(done)
+        """The index rows of a shard; of more than one, if it has got several times its documents or postings."""
+        sizes = pc.binary_length(docs["terms"]).to_numpy() // 8
+        cuts = _cuts(sizes, 4 * SHARD, POSTINGS)
+        return pa.concat_tables([_shard(key[0].as_py() << 20 | number, docs.slice(lo, hi - lo), n_docs, n_terms) for number, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
 
     return build
 
@@ -219,6 +233,7 @@ def _shard(shard: int, docs: pa.Table, n_docs: int, n_terms: int) -> pa.Table:
     order, _ = bisect(ptr, terms, max(0, int(np.ceil(np.log2(max(1, n / CLUSTER))))))
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
+    place = place.astype(np.uint16)  # fewer than 2^16 documents
     ids = docs["doc_id"].combine_chunks().take(pa.array(order))
     place, part = np.repeat(place, np.diff(ptr)), parts(tf, np.repeat(docs["n"].to_numpy(), np.diff(ptr)), n_docs, n_terms)
     by = np.lexsort((place, terms))

@@ -71,6 +71,20 @@ def test_one_hot_group_of_copies(spark, small):
     assert sorted(map(tuple, got), key=repr) == plain_ranks(docs, items, 7)
 
 
+def test_shards_are_bounded_by_postings_too(spark, small, monkeypatch):
+    """Long documents make more shards instead of larger ones, with the same ranks."""
+    monkeypatch.setattr(lexical, "POSTINGS", 300)
+    rng = random.Random(9)
+    docs = [(i, t) for i, t in enumerate(invented(rng, 120) + [" ".join(f"w{rng.randrange(900)}" for _ in range(400)) for _ in range(40)])]
+    index = lexical.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    held = index.rows.where("term is not null").groupBy("shard").agg(F.sum("df").alias("postings")).collect()
+    alone = index.rows.where("term is null").where("df = 1").select("shard").collect()
+    assert all(r["postings"] <= 300 or (r["shard"],) in alone for r in held) and len(held) > 40
+    items = [(i, docs[i * 7][1]) for i in range(20)]
+    got = lexical.search(index, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_ranks(docs, items)
+
+
 def test_stopping_leaves_clusters_out(monkeypatch):
     """Clusters below the last rank found are not searched, and nothing is lost by it."""
     monkeypatch.setattr(lexical, "CLUSTER", 8)
