@@ -37,8 +37,6 @@ class Limits:
     pattern_bytes: int = 4096
     standard_budget: int = 8 << 30
     deep_budget: int = 64 << 30
-    compare_files: int = 250_000
-    compare_budget: int = 8 << 30
     index_batch: int = 1024
     delta_files: int = 2048
     delta_events: int = 20_000

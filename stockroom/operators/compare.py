@@ -14,8 +14,10 @@ def same_sizes(files: DataFrame, other: DataFrame) -> DataFrame:
     return files.where("size_bytes > 0").join(other.select("size_bytes").distinct(), "size_bytes", "left_semi")
 
 
-def within_prefix(files: DataFrame, limit: int) -> DataFrame:
-    """`files` with `admitted`: smallest first, as far as the budget goes. References are admitted first; candidates get what their reading left."""
+def within_prefix(files: DataFrame, limit: int | None) -> DataFrame:
+    """`files` with `admitted`: smallest first, as far as the budget goes; all without a limit. References are admitted first; candidates get what their reading left."""
+    if limit is None:
+        return files.withColumn("admitted", F.lit(True))
     return budget.admit(files, budget.prefix(files.groupBy("size_bytes").agg(F.count("*").alias("n")), limit))
 
 

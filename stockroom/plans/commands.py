@@ -143,28 +143,28 @@ def search_path(spark: SparkSession, root: str, regex: str | None = None, min_si
 
 
 @_releasing
-def compare_folders(spark: SparkSession, reference_root: str, candidate_root: str, max_files: int | None = None, job: Job | None = None) -> dict:
+def compare_folders(spark: SparkSession, reference_root: str, candidate_root: str, max_files: int | None = None, job: Job | None = None, read_budget: int | None = None) -> dict:
+    """Candidates that are independent copies of a reference, by content: of all files, unless `max_files` a tree or `read_budget` bytes in all are set. A report that left anything out is not complete."""
     clock, check = _Clock(), job.check if job else lambda *a, **k: None
     a, b = tree.checked_root(reference_root), tree.checked_root(candidate_root)
     if a == b or a.startswith(b.rstrip("/") + "/") or b.startswith(a.rstrip("/") + "/"):
         raise ValueError("the two trees overlap")
-    most = max(1, min(LIMITS.compare_files if max_files is None else max_files, LIMITS.compare_files))
     sides = []
     for root in (a, b):
         _, files, _, seen = _inventory(spark, root, job)
         links = seen["entries"].where("kind = 'symlink'").count()
-        some, cut = search.sample(files.where("size_bytes > 0"), most)
+        some, cut = search.sample(files.where("size_bytes > 0"), None if max_files is None else max(1, max_files))
         sides.append((scratch.save(some, "side"), cut, seen, links))
         check()
     (ref, cut_a, seen_a, links_a), (cand, cut_b, seen_b, links_b) = sides
     hash_clock = _Clock()
-    wanted = compare.within_prefix(compare.same_sizes(ref, cand), LIMITS.compare_budget)
+    wanted = compare.within_prefix(compare.same_sizes(ref, cand), read_budget)
     wanted = scratch.save(wanted, "wanted")
     left = _hashed(wanted.where("admitted").drop("admitted"), False, "hash", "left", job, "hashing reference")
     used = left.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]
     check("reference hashed", bytesRead=used)
     good = left.where("status = 'ok'")
-    right_wanted = compare.within_prefix(compare.same_sizes(cand, good), LIMITS.compare_budget - used)
+    right_wanted = compare.within_prefix(compare.same_sizes(cand, good), None if read_budget is None else read_budget - used)
     right_wanted = scratch.save(right_wanted, "wanted")
     right = _hashed(right_wanted.where("admitted").drop("admitted"), False, "hash", "right", job, "hashing candidates")
     read = used + right.agg(F.coalesce(F.sum("bytes_read"), F.lit(0))).first()[0]

@@ -222,3 +222,11 @@ def test_progress(spark):
     df, seen = commands.quick_progress(spark.createDataFrame([("/a", 3), ("/b", 4)], "path string, size_bytes long"))
     df.collect()
     assert seen.get == {"files_scanned": 2, "logical_bytes": 7}
+
+
+def test_compared_trees_are_whole(spark, tmp_path, monkeypatch):
+    """Of no tree a part is taken unless asked for."""
+    taken, sample = [], commands.search.sample
+    monkeypatch.setattr(commands.search, "sample", lambda files, most: (taken.append(most), sample(files, most))[1])
+    write(tmp_path, ref__a=b"123", cand__b=b"123")
+    assert commands.compare_folders(spark, str(tmp_path / "ref"), str(tmp_path / "cand"))["complete"] and taken == [None, None]
