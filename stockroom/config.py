@@ -38,8 +38,6 @@ class Limits:
     standard_budget: int = 8 << 30
     deep_budget: int = 64 << 30
     index_batch: int = 1024
-    delta_files: int = 2048
-    delta_events: int = 20_000
     journal_events: int = 100_000
     bulk_records: int = 2_000_000
     tree_depth: int = 128

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LIMITS, OFFLINE_MASK, REPARSE, STRUCTURAL_MASK
+from ..config import OFFLINE_MASK, REPARSE, STRUCTURAL_MASK
 from ..functions import paths
 
 
@@ -64,11 +64,6 @@ def apply(directories: DataFrame, changed: DataFrame, root: str) -> DataFrame:
     return directories.join(d, "path", "left").withColumn("size_bytes", total).select(*names)
 
 
-def small_enough(changed: DataFrame, records: DataFrame) -> bool:
-    """Whether a delta may be applied in place of a refresh."""
-    return records.limit(LIMITS.delta_events + 1).count() <= LIMITS.delta_events and changed.limit(LIMITS.delta_files + 1).count() <= LIMITS.delta_files
-
-
 def cursor(records: DataFrame) -> DataFrame:
     """One row: first and next, the records that are there and the number of the one to come (0 and 0 of an empty journal)."""
     return records.agg(F.coalesce(F.min("usn"), F.lit(0)).alias("first"), F.coalesce(F.max("usn") + 1, F.lit(0)).alias("next"))

@@ -20,6 +20,10 @@ from . import store
 from .jobs import Cancelled, Job, watched
 
 
+#: Rows of changed paths that are broadcast, at most.
+FEW = 100_000
+
+
 def _camel(name: str) -> str:
     first, *rest = name.split("_")
     return first + "".join(w.capitalize() for w in rest)
@@ -245,20 +249,23 @@ def refresh_index(spark: SparkSession, base: str, root: str, max_files: int | No
 
 
 @_releasing
-def apply_changes(spark: SparkSession, base: str, root: str, changed: list[tuple[str, int]], watermark: dict | None = None) -> store.Scope:
-    """Publish new sizes of known files, with the totals of all directories above them, as a new revision. An unknown path undoes the whole batch."""
+def apply_changes(spark: SparkSession, base: str, root: str, changed: list[tuple[str, int]] | DataFrame, watermark: dict | None = None) -> store.Scope:
+    """Publish new sizes of known files, with the totals of all directories above them, as a new revision. An unknown path undoes the whole batch. changed: pairs, or a table of
+    path and size_bytes of any length; of rows that repeat a path the largest size counts."""
     from ..operators import journal
 
     s = store.Store(spark, base)
     scope = s.scope(root)
     if scope is None:
         raise ValueError("nothing is published for this root")
-    if len(changed) > LIMITS.delta_files:
-        raise ValueError(f"at most {LIMITS.delta_files} files")
-    new = spark.createDataFrame(list(dict(changed).items()), "path string, new_size long")
+    if isinstance(changed, DataFrame):
+        new = scratch.save(changed.groupBy("path").agg(F.max("size_bytes").alias("new_size")), "changed")
+    else:
+        new = spark.createDataFrame(list(dict(changed).items()), "path string, new_size long")
+    n = new.count()
     files, dirs = s.files(scope), s.directories(scope)
-    hit = scratch.save(files.join(F.broadcast(new), "path"), "hit")
-    if hit.count() != new.count():
+    hit = scratch.save(files.join(F.broadcast(new) if n <= FEW else new, "path"), "hit")
+    if hit.count() != n:
         raise ValueError("a changed path is not in the snapshot")
     deltas = hit.select("path", (F.col("new_size") - F.col("size_bytes")).alias("delta"))
     rows = hit.select("path", "parent_path", F.col("new_size").alias("size_bytes"), "modified_ns", "attributes")
@@ -329,8 +336,8 @@ def list_quarantine(spark: SparkSession, manifest: DataFrame, folder: str) -> li
 def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records: DataFrame, ids: DataFrame, job: Job | None = None, bulk: tuple | None = None) -> dict:
     """Bring a snapshot up to `now` (a journal.Watermark) by the cheapest way that holds: `unchanged`, `delta`, `bulk` (see refresh_index()), or `walk`.
 
-    records: usn, file_id, reason, size_bytes; ids: file_id, path, one row a file. A delta needs an unbroken journal, no structural change, few enough
-    records and files, and every changed file in the snapshot. An unchanged tree keeps its watermark, so the next refresh reads these records again.
+    records: usn, file_id, reason, size_bytes; ids: file_id, path, one row a file. A delta needs an unbroken journal, no structural change,
+    and every changed file in the snapshot; it may have any number of files. An unchanged tree keeps its watermark, so the next refresh reads these records again.
     """
     from dataclasses import asdict
 
@@ -349,10 +356,11 @@ def refresh_from_journal(spark: SparkSession, base: str, root: str, now, records
             if {"hardlink_count", "attributes"} <= set(ids.columns):  # one name and one link a file, and none of it virtual
                 ids = journal.resolved(last, ids, root)
             changed = last.join(ids, "file_id", "left").select("path", F.col("size_bytes"))
-            if journal.structural(some).isEmpty() and journal.small_enough(changed, some) and changed.where("path is null").isEmpty():
-                rows = [(r["path"], r["size_bytes"]) for r in changed.collect()]  # LIMITS.delta_files at most
-                new = apply_changes(spark, base, root, rows, asdict(now))
-                return stats | {"changed": len(rows), "unchanged": scope.file_count - len(rows), "batchesWritten": 1, "completedAtUnix": new.completed_at_unix, "indexMethod": "delta", "elapsedMs": clock.ms()}
+            if journal.structural(some).isEmpty() and changed.where("path is null").isEmpty():
+                changed = scratch.save(changed, "changed")
+                n = changed.select("path").distinct().count()
+                new = apply_changes(spark, base, root, changed, asdict(now))
+                return stats | {"changed": n, "unchanged": scope.file_count - n, "batchesWritten": 1, "completedAtUnix": new.completed_at_unix, "indexMethod": "delta", "elapsedMs": clock.ms()}
         except ValueError:
             pass  # a changed file that the snapshot does not have: read the tree
     return refresh_index(spark, base, root, watermark=asdict(now), job=job, bulk=bulk)

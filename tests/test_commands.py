@@ -230,3 +230,18 @@ def test_compared_trees_are_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(commands.search, "sample", lambda files, most: (taken.append(most), sample(files, most))[1])
     write(tmp_path, ref__a=b"123", cand__b=b"123")
     assert commands.compare_folders(spark, str(tmp_path / "ref"), str(tmp_path / "cand"))["complete"] and taken == [None, None]
+
+
+def test_a_delta_of_many_files(spark, tmp_path):
+    """A delta may have any number of files."""
+    root, base, n = str(tmp_path / "data"), f"file://{tmp_path}/store", 2100
+    os.mkdir(root)
+    for i in range(n):
+        (tmp_path / f"data/f{i:04}").write_bytes(b"same")
+    mark = lambda n: journal.Watermark(7, 1, n, 55, "500")
+    records_ = spark.createDataFrame([(i + 10, i, 0x2, 9) for i in range(n)], stream.RECORDS)
+    ids = spark.createDataFrame([(i, f"{root}/f{i:04}") for i in range(n)], "file_id long, path string")
+    commands.refresh_from_journal(spark, base, root, mark(5), records_, ids)
+    r = commands.refresh_from_journal(spark, base, root, mark(n + 20), records_, ids)
+    assert (r["indexMethod"], r["changed"], r["unchanged"]) == ("delta", n, 0)
+    assert commands.search_index(spark, base, root, None, 9)["report"]["totalMatches"] == n
