@@ -83,7 +83,7 @@ _GROUPS = "g AS (SELECT text, size_bytes, count(*) AS n FROM w WHERE size_bytes
 count(*) FILTER (WHERE size_bytes >= 500 AND regexp_matches(path, '(?i)\\.(txt|md)$')) AS total_matches, (SELECT CAST(coalesce(sum((n - 1) * size_bytes), 0) AS BIGINT) FROM g) AS potential_savings_bytes, 0 AS errors, true AS complete, false AS truncated FROM w""")
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of a scan with exact duplicates."""
-    report = commands.scan_path(spark, _tree(spark, sf_dir), r"\.(txt|md)$", 500)
+    report = commands.scan_path(spark, _tree(spark, sf_dir), r"\.(txt|md)$", 500, hash_budget="unlimited")
     return _one(spark, report, "filesScanned files_scanned long, logicalBytes logical_bytes long, directoriesScanned directories_scanned long, totalMatches total_matches long, potentialSavingsBytes potential_savings_bytes long, errors errors int, duplicateAnalysisComplete complete boolean, truncated truncated boolean")
 
 
@@ -164,7 +164,7 @@ def progress_of_a_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     events: list[dict] = []
     registry, root = jobs.Jobs(spark, events.append), _tree(spark, sf_dir)
     with registry.run("progress-of-a-scan") as job:
-        commands.scan_path(spark, root, job=job)
+        commands.scan_path(spark, root, hash_budget="unlimited", job=job)
     rows = [(e["phase"], e["files"] if e["phase"] == "scanned" else e["bytesRead"]) for e in events if e["phase"] in ("scanned", "fingerprinted")]
     return spark.createDataFrame(rows, "phase string, counted long")
 

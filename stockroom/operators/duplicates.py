@@ -6,7 +6,7 @@ each stage really reads (see sources.content); the stages here only decide which
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
@@ -68,10 +68,19 @@ def top_groups(digests: DataFrame, n: int = LIMITS.top) -> DataFrame:
     return groups(digests).orderBy(F.desc("potential_savings_bytes"), "size_bytes", "hash").limit(n)
 
 
-def summary(digests: DataFrame, most: int = LIMITS.identity_group) -> DataFrame:
-    """One row over all groups, also those that a ranking does not show: groups, potential_savings_bytes, hardlink_aliases, oversize_groups."""
+def top_listed(digests: DataFrame, n: int = LIMITS.top, listed: int = LIMITS.identity_group) -> DataFrame:
+    """top_groups() of groups of any size: hash, size_bytes, copies (the first `listed` in order), independent_copies (all), potential_savings_bytes."""
+    best = [F.desc("potential_savings_bytes"), F.col("size_bytes"), F.col("hash")]
+    good = hash_groups(digests).where("independent > 1").select("hash", "size_bytes", F.col("independent").alias("independent_copies"), paths.multiply_capped(F.col("size_bytes"), F.col("independent") - 1).alias("potential_savings_bytes"))
+    first = digests.where("hash is not null").groupBy("size_bytes", "hash", "identity").agg(F.min("path").alias("path")).join(F.broadcast(good.orderBy(*best).limit(n)), ["size_bytes", "hash"])
+    some = first.withColumn("__place", F.row_number().over(Window.partitionBy("size_bytes", "hash").orderBy("path"))).where(F.col("__place") <= listed)
+    return some.groupBy("hash", "size_bytes", "independent_copies", "potential_savings_bytes").agg(F.sort_array(F.collect_list("path")).alias("copies")).orderBy(*best)
+
+
+def summary(digests: DataFrame, most: int | None = LIMITS.identity_group) -> DataFrame:
+    """One row over all groups, also those that a ranking does not show: groups, potential_savings_bytes, hardlink_aliases, oversize_groups. Without `most`, groups of any size count."""
     g = hash_groups(digests)
-    small, real = F.col("members") <= most, F.col("independent") > 1
+    small, real = F.lit(True) if most is None else F.col("members") <= most, F.col("independent") > 1
     total = lambda v, where: F.coalesce(F.sum(F.when(where, v)), F.lit(0)).cast("long")
     return g.agg(F.count_if(small & real).alias("groups"), total(F.col("size_bytes") * (F.col("independent") - 1), small & real).alias("potential_savings_bytes"), total(F.col("aliases"), small).alias("hardlink_aliases"), F.count_if(~small).alias("oversize_groups"))
 

@@ -123,12 +123,12 @@ def _duplicates(files: DataFrame, budget: int | None, seen: dict, truncated: boo
     full_ms = check_clock.ms()
     check("hashed", bytesRead=read + read_full)
     hashed = full.where("status = 'ok'")
-    total = _one(duplicates.summary(hashed))
+    total = _one(duplicates.summary(hashed, None))  # identities come with the walk, so groups of any size are verified
     bad = edges.where("status != 'ok'").count() + full.where("status != 'ok'").count()
     over = sampled.where("not admitted").count() + wanted.where("not admitted").count()
-    complete = not (seen["pruned"] or seen["errors"] or truncated or skipped or bad or over or total["oversize_groups"])
+    complete = not (seen["pruned"] or seen["errors"] or truncated or skipped or bad or over)
     found = {
-        "hashingSkipped": False, "duplicateAnalysisComplete": complete, "duplicates": _rows(duplicates.top_groups(hashed)), "potentialSavingsBytes": total["potential_savings_bytes"],
+        "hashingSkipped": False, "duplicateAnalysisComplete": complete, "duplicates": _rows(duplicates.top_listed(hashed)), "potentialSavingsBytes": total["potential_savings_bytes"],
         "hardlinkAliases": total["hardlink_aliases"], "skippedContentFiles": skipped + seen["pruned"], "hashBytesRead": read + read_full, "fingerprintBytesRead": read, "fullHashBytesRead": read_full,
         "fingerprintElapsedMs": edge_ms, "fullHashElapsedMs": full_ms, "hashReadBudgetBytes": budget, "errors": seen["errors"] + bad,
     }

@@ -245,3 +245,15 @@ def test_a_delta_of_many_files(spark, tmp_path):
     r = commands.refresh_from_journal(spark, base, root, mark(n + 20), records_, ids)
     assert (r["indexMethod"], r["changed"], r["unchanged"]) == ("delta", n, 0)
     assert commands.search_index(spark, base, root, None, 9)["report"]["totalMatches"] == n
+
+
+def test_savings_of_a_large_group_count(spark, tmp_path):
+    """A group of more copies than are listed counts, and is complete."""
+    root, n = str(tmp_path / "data"), 2100
+    os.mkdir(root)
+    for i in range(n):
+        (tmp_path / f"data/f{i:04}").write_bytes(b"same")
+    r = commands.scan_path(spark, root)
+    assert (r["potentialSavingsBytes"], r["duplicateAnalysisComplete"], len(r["duplicates"])) == (4 * (n - 1), True, 1)
+    d = r["duplicates"][0]
+    assert (d["independentCopies"], d["potentialSavingsBytes"], d["copies"]) == (n, 4 * (n - 1), [f"{root}/f{i:04}" for i in range(1024)])
