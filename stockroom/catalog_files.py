@@ -22,19 +22,20 @@ _WHOLE = f"{FILES_SQL}, w AS (SELECT * FROM files WHERE path IS NOT NULL AND tex
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            os.makedirs(os.path.dirname(row["path"]), exist_ok=True)
-            part = f"{os.path.dirname(row['path'])}/.{uuid.uuid4().hex}"
+        for path, content_ in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            part = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}"
             with open(part, "wb") as f:
-                f.write(row["content"])
-            os.replace(part, row["path"])
+                f.write(content_.as_buffer())  # no copy of a batch's content
+            os.replace(part, path)
         yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
 
 def _put(rows: DataFrame, root: str) -> None:
     """Write rows (path below ROOT, content) as files below `root`, which all tasks open by its path."""
     scratch.ship(rows.sparkSession)
-    rows.where("path is not null and content is not null").select(F.concat(F.lit(root), F.substr("path", F.lit(len(ROOT) + 1))).alias("path"), "content").mapInArrow(_write, "n long").agg(F.sum("n")).first()
+    with scratch.small_batches(rows.sparkSession):
+        rows.where("path is not null and content is not null").select(F.concat(F.lit(root), F.substr("path", F.lit(len(ROOT) + 1))).alias("path"), "content").mapInArrow(_write, "n long").agg(F.sum("n")).first()
 
 
 def _folder(spark: SparkSession) -> str:

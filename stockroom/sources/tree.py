@@ -68,20 +68,25 @@ def walk(paths: Iterator[str], most: int, deep: bool = True, closed: int = NO_CO
             here = todo.popleft()
             try:
                 with os.scandir(here) as entries:
-                    names = sorted(e.name for e in entries)
+                    for name in (e.name for e in entries):  # as they come, so memory does not follow a directory's length
+                        path = os.path.join(here, name)
+                        row = _row(path, attributes)
+                        seen += 1
+                        yield row
+                        if deep and row[1] == "directory" and not row[4] & closed:
+                            if seen < most:
+                                todo.append(path)
+                            else:
+                                yield _left(path)
             except OSError as e:
                 yield _error(here, e)
-                continue
-            for name in names:
-                path = os.path.join(here, name)
-                row = _row(path, attributes)
-                seen += 1
-                yield row
-                if deep and row[1] == "directory" and not row[4] & closed:
-                    todo.append(path)
     for path in todo:
-        text, raw = _text(path)
-        yield (text, LEFT, 0, 0, 0, None, None, None, None, raw)
+        yield _left(path)
+
+
+def _left(path: str) -> tuple:
+    text, raw = _text(path)
+    return (text, LEFT, 0, 0, 0, None, None, None, None, raw)
 
 
 def _round(most: int, deep: bool, closed: int, attributes: Attributes, seen=None):

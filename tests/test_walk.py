@@ -200,3 +200,32 @@ def test_pausing_within_a_walk_stops_it_between_rounds(spark, tmp_path, monkeypa
     assert registry.resume("job-00000010")
     thread.join(60)
     assert done == [6] and len(rounds) >= 6
+
+
+def test_a_directory_is_listed_as_it_is_read(tmp_path, monkeypatch):
+    """Entries come before the last one is read, and directories behind the bound are left at once."""
+    for i in range(20):
+        (tmp_path / f"d{i}").mkdir()
+    read, real = [], os.scandir
+
+    class Counted:
+        def __init__(self, path):
+            self.entries = real(path)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *args):
+            self.entries.close()
+
+        def __iter__(self):
+            for e in self.entries:
+                read.append(e.name)
+                yield e
+
+    monkeypatch.setattr(tree.os, "scandir", Counted)
+    rows = tree.walk(iter([str(tmp_path)]), 5)
+    next(rows)
+    assert len(read) == 1
+    rest = list(rows)
+    assert sum(r[1] == "directory" for r in rest) == 19 and sum(r[1] == tree.LEFT for r in rest) == 20
