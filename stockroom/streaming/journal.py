@@ -10,8 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -67,18 +66,13 @@ class _Latest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "usn long, size_bytes long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in rows:
-            top = pdf.loc[pdf["usn"].idxmax()]
-            if best is None or top["usn"] > best["usn"]:
-                best = top
-        old = self.last.get() if self.last.exists() else None
-        if best is not None and (old is None or best["usn"] > old[0]):
-            usn, size, reason = int(best["usn"]), None if pd.isna(best["size_bytes"]) else int(best["size_bytes"]), int(best["reason"])
-            self.last.update((usn, size))
-            delta = None if size is None else size - (old[1] or 0 if old else 0)
-            yield pd.DataFrame({"file_id": [key[0]], "usn": [usn], "reason": [reason], "size_bytes": pd.array([size], "Int64"), "delta": pd.array([delta], "Int64")})
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        best = max(rows, key=lambda r: r.usn)
+        old = self.last.get()
+        if old is None or best.usn > old[0]:
+            self.last.update((best.usn, best.size_bytes))
+            delta = None if best.size_bytes is None else best.size_bytes - ((old[1] or 0) if old else 0)
+            yield Row(file_id=key[0], usn=best.usn, reason=best.reason, size_bytes=best.size_bytes, delta=delta)
 
     def close(self) -> None:
         pass
@@ -88,8 +82,9 @@ def changes_of(stream: DataFrame) -> DataFrame:
     """file_id, usn, reason, size_bytes, delta of files whose last relevant record is a later one than before: at most one row a file and batch. State is a file's usn and
     size; a record that comes late, behind one of a higher usn, changes nothing. delta: against the size before, or 0 for a file not seen yet; null without a size.
     """
-    rows = journal.relevant(stream).where("file_id is not null and usn is not null")
-    return rows.groupBy("file_id").transformWithStateInPandas(_Latest(), CHANGES, "update", "none")
+    scratch.ship(stream.sparkSession)
+    rows = journal.relevant(stream).where("file_id is not null and usn is not null").select("file_id", "usn", "reason", "size_bytes")
+    return rows.groupBy("file_id").transformWithState(_Latest(), CHANGES, "update", "none")
 
 
 def latest_by_stream(records: DataFrame, parts: int = 4) -> DataFrame:
@@ -103,7 +98,8 @@ def latest_by_stream(records: DataFrame, parts: int = 4) -> DataFrame:
 
 
 class _Grants(StatefulProcessor):
-    """Holds a subject's grant that waits for its use: its time, in microseconds. A timer drops it when it is too old."""
+    """Holds a subject's grant that waits for its use: its time, in microseconds. A timer drops it when it is too old; the timer of one that was spent finds nothing, or a later one, which
+    it leaves."""
 
     def __init__(self, micros: int) -> None:
         self.micros = micros
@@ -111,29 +107,30 @@ class _Grants(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.waiting = handle, handle.getValueState("waiting", "at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["micros", "seq"], kind="stable")
-        at = self.waiting.get()[0] if self.waiting.exists() else None
-        seqs, granted = [], []
-        for kind, micros, seq in zip(pdf["kind"], pdf["micros"], pdf["seq"], strict=True):
-            if kind == "grant":
-                at = int(micros)
+    def _until(self, at: int) -> int:
+        return (at + self.micros) // 1000 + 1
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        old = self.waiting.get()
+        before = at = old[0] if old else None
+        for r in sorted(rows, key=lambda r: (r.micros, r.seq)):
+            if r.kind == "grant":
+                at = r.micros
             else:
-                seqs.append(int(seq))
-                granted.append(at is not None and 0 <= micros - at <= self.micros)
+                yield Row(subject=key[0], seq=r.seq, granted=at is not None and 0 <= r.micros - at <= self.micros)
                 at = None
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
+        if at == before:
+            return
         if at is None:
             self.waiting.clear()
         else:
             self.waiting.update((at,))
-            self.handle.registerTimer((at + self.micros) // 1000 + 1)
-        if seqs:
-            yield pd.DataFrame({"subject": [key[0]] * len(seqs), "seq": seqs, "granted": granted})
+            self.handle.registerTimer(self._until(at))
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.waiting.clear()
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        old = self.waiting.get()
+        if old and self._until(old[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.waiting.clear()
         return iter([])
 
     def close(self) -> None:
@@ -145,8 +142,9 @@ def grants_of(stream: DataFrame, seconds: int = LIMITS.grant_seconds, late: str
     more than `seconds` old, behind a restart too. Events may be out of order within a batch; those older than the watermark (`late` behind the latest) are dropped by Spark.
     State is one number a subject, gone when its grant is too old.
     """
+    scratch.ship(stream.sparkSession)
     rows = stream.withWatermark("at", late).select("subject", "at", "seq", "kind", F.unix_micros("at").alias("micros"))
-    return rows.groupBy("subject").transformWithStateInPandas(_Grants(seconds * 1_000_000), GRANTED, "append", "eventTime")
+    return rows.groupBy("subject").transformWithState(_Grants(seconds * 1_000_000), GRANTED, "append", "eventTime")
 
 
 def maintain(stream: DataFrame, files: Callable[[], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
